@@ -51,3 +51,33 @@ g AS (SELECT t, min(doc_id) AS keep_id, count(*) AS group_size FROM d GROUP BY t
 SELECT d.doc_id, g.keep_id, g.group_size, d.doc_id IS NOT DISTINCT FROM g.keep_id AS kept, sha256(d.t) AS text_sha256
 FROM d JOIN g USING (t)
 """
+
+OP3 = rf"""
+WITH RECURSIVE d AS (
+  SELECT row_number() OVER () AS r, doc_id, list_filter(regexp_split_to_array({_LOWER.format("coalesce(text, '')")}, '[\x20\x09-\x0D]+'), lambda w: w <> '') AS w FROM documents),
+s AS (SELECT r, doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+             ELSE list_distinct(list_transform(range(1, len(w) - 1), lambda i: array_to_string(w[i:i + 2], ' '))) END AS s FROM d),
+x AS (SELECT r, unnest(s) AS t FROM s),
+n AS (SELECT r, len(s) AS n FROM s),
+p AS (SELECT a.r AS a, b.r AS b, count(*) AS both FROM x a JOIN x b ON a.t = b.t AND a.r < b.r GROUP BY a.r, b.r),
+e AS (SELECT p.a, p.b FROM p JOIN n na ON na.r = p.a JOIN n nb ON nb.r = p.b WHERE 100 * p.both >= 90 * (na.n + nb.n - p.both)),
+both_ways AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
+reach AS (SELECT r AS a, r AS b FROM n UNION SELECT reach.a, w.b FROM reach JOIN both_ways w ON w.a = reach.b)
+SELECT s.doc_id, CAST(len(s.s) AS BIGINT) AS n_shingles, min(o.doc_id) AS component_id
+FROM s JOIN reach ON reach.a = s.r JOIN s o ON o.r = reach.b GROUP BY s.r, s.doc_id, s.s
+"""
+
+# base32 of a SHA-1: its 160 bits in 32 groups of five.
+OP7 = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
+q AS (SELECT page_id, strlen(h) AS n, sha1(h) AS hx FROM p),
+b AS (SELECT hx, n, max(page_id) AS first_id FROM q GROUP BY hx, n),
+bits AS (SELECT DISTINCT hx, array_to_string(list_transform(regexp_extract_all(hx, '.'), lambda c: list_extract(
+  ['0000','0001','0010','0011','0100','0101','0110','0111','1000','1001','1010','1011','1100','1101','1110','1111'], CAST('0x' || c AS INTEGER) + 1)), '') AS s FROM q),
+digest AS (SELECT hx, array_to_string(list_transform(regexp_extract_all(s, '.....'), lambda g: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+  CAST(16 * CAST(g[1] AS INTEGER) + 8 * CAST(g[2] AS INTEGER) + 4 * CAST(g[3] AS INTEGER) + 2 * CAST(g[4] AS INTEGER) + CAST(g[5] AS INTEGER) + 1 AS INTEGER), 1)), '') AS d FROM bits)
+SELECT q.page_id, CAST(q.n AS BIGINT) AS payload_bytes, digest.d AS payload_digest,
+       CASE WHEN q.page_id IS NOT DISTINCT FROM b.first_id THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN q.page_id IS NOT DISTINCT FROM b.first_id THEN NULL ELSE b.first_id END AS refers_to
+FROM q JOIN b USING (hx, n) JOIN digest USING (hx)
+"""
