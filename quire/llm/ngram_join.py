@@ -12,7 +12,8 @@ A group of near copies is not expanded into all its pairs. Documents with equal
 Among classes that share a token, each is first paired with a few centres only (ROUNDS times, with
 other centres); verified links are joined to components, and what is left to compare are pairs of
 classes that share a token but not a component. That last step has no limit and no choice of
-centres, so that no link between components is lost.
+centres, so that no link between components is lost; bits of parity, which two sets differ in at
+most as often as in tokens, rule out most of its pairs inside the join.
 
 Shingles are compared as 64-bit hashes of their words. Links are exact in integers:
 100 * intersection >= threshold * union.
@@ -25,6 +26,9 @@ table gives an empty result; extra columns are ignored by `components` and kept
 
 from __future__ import annotations
 
+import functools
+import operator
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -41,6 +45,8 @@ from .shared import cut, if_small, salted_left_join, text_key, without
 SKETCH_BITS, SKETCH_BLOCKS = 20, 16
 #: Global token orders, and centres for each token and round.
 ORDERS, CENTRES, ROUNDS = 3, 4, 2
+#: Bits of the parity filter; a power of two.
+BITS = 512
 _U = np.uint64
 _ODD = [_U(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5)]
 
@@ -51,22 +57,85 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _U(32))
 
 
-class Words(dict):
-    """Hash of each word met, remembered."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > 1_000_000:
-            self.clear()
-        found = self[word] = xxhash.xxh3_64_intdigest(word)
-        return found
-
-
-def shingles(text: str | None, width: int, words: Words) -> np.ndarray:
-    """Distinct shingle hashes of a text, ascending. bytes.lower() and bytes.split() are ASCII's own."""
-    found = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    if not found:
-        return np.empty(0, np.uint64)
-    h = np.fromiter(map(words.__getitem__, found), np.uint64, len(found))
+def _draws(n: int, seed: int) -> np.ndarray:
+    return mix((np.arange(n, dtype=np.uint64) + _U(seed)) * _ODD[2])
+
+
+#: Words are hashed in pieces of about so many bytes.
+PIECE = 1 << 20
+_BASE = 0x5851F42D4C957F2B  # odd, 3 modulo 8
+_SPACE = np.zeros(256, bool)
+_SPACE[[9, 10, 11, 12, 13, 32]] = True
+_LETTER = _draws(256, 7)
+_LETTER[65:91] = _LETTER[97:123]  # A-Z count as a-z
+
+
+class Words:
+    """64-bit hashes of the words of texts, all words of a piece at once: a running sum of a byte's
+    value times a power of the base, differences of which are the words' polynomials."""
+
+    def __init__(self):
+        self._grow(2 * PIECE)
+
+    def _grow(self, n: int) -> None:
+        self.power = np.concatenate(([_U(1)], np.full(n - 1, _BASE, np.uint64))).cumprod(dtype=np.uint64)
+        self.inverse = np.concatenate(([_U(1)], np.full(n - 1, pow(_BASE, -1, 1 << 64), np.uint64))).cumprod(dtype=np.uint64)
+
+    def piece(self, raw: bytes) -> tuple[np.ndarray, np.ndarray]:
+        """Where words start, and their hashes."""
+        a = np.frombuffer(raw, np.uint8)
+        if len(a) > len(self.power):
+            self._grow(len(a))
+        gap = np.concatenate(([True], _SPACE[a], [True]))
+        edge = np.flatnonzero(gap[1:] != gap[:-1])
+        first, last = edge[::2], edge[1::2]
+        total = np.concatenate(([_U(0)], np.cumsum(_LETTER[a] * self.power[: len(a)], dtype=np.uint64)))
+        return first, mix((total[last] - total[first]) * self.inverse[first] + (last - first).astype(np.uint64))
+
+    def of(self, texts: list[str | None]) -> list[np.ndarray]:
+        """The hashes of each text's words."""
+        out, held, size = [], [], 0
+
+        def flush() -> None:
+            nonlocal held, size
+            if held:
+                first, h = self.piece(b"\n".join(held))
+                bounds = np.cumsum([0] + [len(x) + 1 for x in held])
+                at = np.searchsorted(first, bounds)
+                out.extend(h[i:j] for i, j in zip(at, at[1:], strict=False))
+                held, size = [], 0
+
+        for t in texts:
+            raw = (t or "").encode("utf-8", "surrogatepass")
+            if len(raw) > PIECE:
+                flush()
+                out.append(self._long(raw))
+            else:
+                held.append(raw)
+                size += len(raw)
+                if size >= PIECE:
+                    flush()
+        flush()
+        return out
+
+    def _long(self, raw: bytes) -> np.ndarray:
+        """A text of several pieces, cut at white space."""
+        found, at = [], 0
+        while at < len(raw):
+            m = _CUT.search(raw, at + PIECE)
+            end = m.start() if m else len(raw)
+            found.append(self.piece(raw[at:end])[1])
+            at = end
+        return np.concatenate(found)
+
+
+_CUT = re.compile(rb"[\x20\x09-\x0D]")
+
+
+def shingles(h: np.ndarray, width: int) -> np.ndarray:
+    """Distinct shingle hashes of a text's words, ascending."""
+    if not len(h):
+        return h
     k = min(width, len(h))
     out = np.full(len(h) - k + 1, k, np.uint64)
     for i in range(k):
@@ -74,6 +143,10 @@ def shingles(text: str | None, width: int, words: Words) -> np.ndarray:
     return np.unique(out)
 
 
+def sets_of(texts: list[str | None], width: int, words: Words) -> list[np.ndarray]:
+    return [shingles(h, width) for h in words.of(texts)]
+
+
 def prefix_size(n: int, percent: int) -> int:
     """How many tokens a set of n must share one of: n - ceil(n * percent / 100) + 1."""
     return n - (n * percent + 99) // 100 + 1
@@ -89,6 +162,13 @@ def prefix(s: np.ndarray, counts: np.ndarray, order: int, percent: int) -> np.nd
     return s[np.argpartition(rank, size - 1)[:size]] if size < len(s) else s
 
 
+def parity(s: np.ndarray) -> np.ndarray:
+    """BITS bits, each the parity of how many tokens hash to it: two sets differ in at least as many
+    tokens as these differ in bits."""
+    odd = np.bincount((mix(s) & _U(BITS - 1)).astype(np.int64), minlength=BITS) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
 def set_key(s: np.ndarray) -> int:
     return xxhash.xxh3_64_intdigest(s.tobytes()) - (1 << 63) if len(s) else 0
 
@@ -112,7 +192,7 @@ def _rows(docs: DataFrame, width: int) -> DataFrame:
         kinds = (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary())
         names = _ROWS.replace(",", "").split()[::2]
         for b in batches:
-            sets = [shingles(t, width, words) for t in b.column(2).to_pylist()]
+            sets = sets_of(b.column(2).to_pylist(), width, words)
             if sets:
                 total += np.bincount((np.concatenate(sets) >> _U(64 - SKETCH_BITS)).astype(np.int64), minlength=cells)
             m = len(sets)
@@ -145,95 +225,105 @@ def corpus_counts(rows: DataFrame) -> np.ndarray:
 
 
 def _prefixes(docs: DataFrame, width: int, percent: int, held) -> DataFrame:
-    """token, class and n of each class's prefix under the first order."""
+    """class, size, parity bits and prefix under each order of the sets that aren't empty."""
 
     def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, counts = Words(), held.value
         for b in batches:
-            sets = [shingles(t, width, words) for t in b.column(2).to_pylist()]
-            got = [(prefix(s, counts, 0, percent).view(np.int64), set_key(s), len(s)) for s in sets if len(s)]
-            if got:
-                sizes = [len(p) for p, _, _ in got]
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([p for p, _, _ in got])), pa.array(np.repeat(np.array([c for _, c, _ in got], np.int64), sizes)), pa.array(np.repeat(np.array([n for _, _, n in got], np.int32), sizes))], ["token", "class", "n"])
+            sets = [s for s in sets_of(b.column(2).to_pylist(), width, words) if len(s)]
+            many = pa.list_(pa.int64())
+            cols = [pa.array([np.sort(prefix(s, counts, k, percent).view(np.int64)) for s in sets], many) for k in range(ORDERS)]
+            yield pa.RecordBatch.from_arrays([pa.array([set_key(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int32()), pa.array([parity(s) for s in sets], many), *cols], ["class", "n", "bits", *[f"p{k}" for k in range(ORDERS)]])
 
-    return docs.mapInArrow(part, "token long, class long, n int")
+    return docs.mapInArrow(part, "class long, n int, bits array<long>, " + ", ".join(f"p{k} array<long>" for k in range(ORDERS)))
 
 
-def _sets(docs: DataFrame, width: int, percent: int, held) -> DataFrame:
-    """class, its set, and its prefixes under the further orders."""
+def _sets(docs: DataFrame, width: int) -> DataFrame:
+    """class and its set."""
 
     def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, counts = Words(), held.value
-        many, longs = pa.list_(pa.int64()), pa.list_(pa.list_(pa.int64()))
+        words = Words()
         for b in batches:
-            sets = [s for s in (shingles(t, width, words) for t in b.column(2).to_pylist()) if len(s)]
-            more = [[np.sort(prefix(s, counts, k, percent).view(np.int64)) for k in range(1, ORDERS)] for s in sets]
-            yield pa.RecordBatch.from_arrays([pa.array([set_key(s) for s in sets], pa.int64()), pa.array(more, longs), pa.array([s.view(np.int64) for s in sets], many)], ["class", "prefixes", "tokens"])
+            sets = [s for s in sets_of(b.column(2).to_pylist(), width, words) if len(s)]
+            yield pa.RecordBatch.from_arrays([pa.array([set_key(s) for s in sets], pa.int64()), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], ["class", "tokens"])
 
-    return docs.mapInArrow(part, "class long, prefixes array<array<long>>, tokens array<long>")
+    return docs.mapInArrow(part, "class long, tokens array<long>")
 
 
-def _links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) that pass the further orders' filters and the verification."""
+def _with_both(pairs: DataFrame, of: DataFrame, columns: list[str]) -> DataFrame:
+    """pairs (a, b) with the columns of both classes, as x_ and y_."""
+    left = of.select(F.col("class").alias("_a"), *[F.col(c).alias(f"x_{c}") for c in columns])
+    right = of.select(F.col("class").alias("_b"), *[F.col(c).alias(f"y_{c}") for c in columns])
+    return pairs.join(left, pairs["a"] == F.col("_a")).join(right, F.col("b") == F.col("_b")).drop("_a", "_b")
 
-    def further(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            keep = [_share(x, y) for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)]
-            yield b.filter(pa.array(keep, pa.bool_())).select([0, 1])
 
-    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            keep = []
-            for i in range(len(b)):
-                x, y = (b.column(k)[i].values.to_numpy(zero_copy_only=False).view(np.uint64) for k in (2, 3))
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(100 * both >= percent * (len(x) + len(y) - both))
-            yield b.filter(pa.array(keep, pa.bool_())).select([0, 1])
+class Corpus:
+    """What pairs are tested against: documents that stand for their class, and prefixes by class."""
+
+    def __init__(self, docs: DataFrame, reps: DataFrame, prefixes: DataFrame, width: int, percent: int, once):
+        self.docs, self.reps, self.prefixes, self.width, self.percent, self.once = docs, reps, prefixes, width, percent, once
+
+    def filtered(self, pairs: DataFrame) -> DataFrame:
+        """pairs that share a prefix token under every further order."""
+        names = [f"p{k}" for k in range(1, ORDERS)]
+        share = [F.arrays_overlap(f"x_{c}", f"y_{c}") for c in names]
+        return _with_both(pairs, self.prefixes, names).where(functools.reduce(operator.and_, share)).select("a", "b")
 
-    def with_both(pairs: DataFrame, column: str) -> DataFrame:
-        s = sets.select("class", column)
-        left = pairs.join(s.withColumnRenamed(column, "x"), pairs["a"] == F.col("class")).drop("class")
-        return left.join(s.withColumnRenamed(column, "y"), F.col("b") == F.col("class")).select("a", "b", "x", "y")
+    def links(self, pairs: DataFrame) -> DataFrame:
+        """The pairs whose whole sets reach the threshold, read again from the texts of the classes they name."""
+        passed = cut(self.filtered(pairs), "passed")
+        named = passed.select(F.col("a").alias("class")).union(passed.select(F.col("b").alias("class"))).distinct()
+        wanted = cut(self.reps.join(named, "class", "left_semi"), "wanted")
+        some = of_rows(self.docs, wanted)
+        sets = cut(self.once(_sets(some, self.width)), "sets")
+        percent = self.percent
 
-    passed = cut(with_both(pairs, "prefixes").mapInArrow(further, "a long, b long"), "passed")
-    return cut(with_both(passed, "tokens").mapInArrow(verify, "a long, b long"), "links")
+        def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                keep = []
+                for i in range(len(b)):
+                    x, y = (b.column(k)[i].values.to_numpy(zero_copy_only=False) for k in (2, 3))
+                    both = len(np.intersect1d(x, y, assume_unique=True))
+                    keep.append(100 * both >= percent * (len(x) + len(y) - both))
+                yield b.filter(pa.array(keep, pa.bool_())).select([0, 1])
 
+        return cut(_with_both(passed, sets, ["tokens"]).mapInArrow(verify, "a long, b long"), "links")
 
-def _share(x: list[list[int]], y: list[list[int]]) -> bool:
-    """Whether two sets share a token in each of their prefixes."""
-    return all(not set(p).isdisjoint(q) for p, q in zip(x, y, strict=True))
 
+def of_rows(docs: DataFrame, rows: DataFrame) -> DataFrame:
+    """The rows of docs (id, tkey, text) that rows (rid, rkey, ...) names."""
+    r = rows.select("rid", "rkey")
+    return docs.join(if_small(r, 1_000_000), docs["id"].eqNullSafe(F.col("rid")) & (docs["tkey"] == F.col("rkey")), "left_semi")
 
-def classes_and_links(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame | None]:
+
+def classes_and_links(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
     """(rows, labels). rows: id, tkey, n, class. labels: class and the label of its component, for
-    classes with links; None where there are none."""
+    classes with links."""
     spark = docs.sparkSession
     text = F.col(text_col)
     d = docs.select(F.col(id_col).cast("long").alias("id"), text_key(text).alias("tkey"), text.alias("text"))
     both = cut(_rows(d, width), "shingle-rows")
     rows = both.where("kind = 0").select("id", "tkey", "n", "class")
     held = spark.sparkContext.broadcast(levels(corpus_counts(both)))  # 2 ** SKETCH_BITS bytes
-    met = _prefixes(d, width, percent, held).groupBy("token", "class", "n").agg(F.count("*").alias("copies"))
-    met = cut(met.select("token", "class", "n"), "prefix-tokens")
-    # tokens that several classes have, with their first centres
-    tokens = cut(_centres(met, 0), "tokens")
-    met = cut(met.join(tokens.select("token"), "token", "left_semi"), "shared-tokens")
-    meeting = met.select("class").distinct()
-    reps = rows.groupBy("class").agg(F.min(F.struct("id", "tkey")).alias("r")).join(meeting, "class", "left_semi").select(F.col("r.id").alias("rid"), F.col("r.tkey").alias("rkey"))
-    reps = cut(reps, "representatives")
-    some = d.join(if_small(reps, 1_000_000), d["id"].eqNullSafe(F.col("rid")) & (d["tkey"] == F.col("rkey")), "left_semi")
-    sets = cut(_sets(some, width, percent, held).dropDuplicates(["class"]), "sets")
-
+    first = rows.where("n > 0").groupBy("class").agg(F.min(F.struct("id", "tkey")).alias("r"))
+    reps = cut(first.select("class", F.col("r.id").alias("rid"), F.col("r.tkey").alias("rkey")), "representatives")
+    repeated = rows.groupBy("id", "tkey").count().where("count > 1").limit(1).count() > 0  # rows equal in id and text
+    once = (lambda x: x.dropDuplicates(["class"])) if repeated else (lambda x: x)
+    prefixes = cut(once(_prefixes(of_rows(d, reps), width, percent, held)), "prefixes")
+    met = prefixes.select("class", "n", F.explode("p0").alias("token"))
+    # tokens that several classes have
+    shared = cut(met.groupBy("token").agg(F.min("class").alias("lo"), F.max("class").alias("hi")).where("lo < hi").select("token"), "shared")
+    met = cut(met.join(shared, "token"), "shared-tokens")
+    corpus = Corpus(d, reps, prefixes, width, percent, once)
     links, labels, tested = None, None, None
     for k in range(ROUNDS):
-        pairs = cut(_star_pairs(met, tokens if k == 0 else _centres(met, k), labels, percent), "pairs")
+        pairs = cut(_star_pairs(met, _centres(met, k), labels, percent), "pairs")
         tested = pairs if tested is None else tested.union(pairs)
-        found = _links(pairs, sets, percent)
+        found = corpus.links(pairs)
         links = found if links is None else links.union(found)
         labels = label(links)
-    rest = cut(_other_pairs(met, labels, percent).join(tested, ["a", "b"], "left_anti"), "rest")
-    found = _links(rest, sets, percent)
-    return rows, label(links.union(found))
+    rest = cut(_other_pairs(met, prefixes.select("class", "bits"), labels, percent).join(tested, ["a", "b"], "left_anti"), "rest")
+    return rows, label(links.union(corpus.links(rest)))
 
 
 def _centres(met: DataFrame, k: int) -> DataFrame:
@@ -265,13 +355,21 @@ def _star_pairs(met: DataFrame, tokens: DataFrame, labels: DataFrame | None, per
     return at.select(F.least("class", "centre").alias("a"), F.greatest("class", "centre").alias("b")).distinct()
 
 
-def _other_pairs(met: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
-    """All pairs of classes that share a token but no component."""
+def _close(percent: int):
+    """The parity filter: with n + m tokens, sets that reach the threshold differ in so many at most."""
+    both = F.col("n") + F.col("m")
+    shared = F.floor((both * percent + (99 + percent)) / (100 + percent))
+    apart = [F.bit_count(F.col("bits")[i].bitwiseXOR(F.col("_bits")[i])) for i in range(BITS // 64)]
+    return functools.reduce(operator.add, apart) <= both - 2 * shared
+
+
+def _other_pairs(met: DataFrame, bits: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
+    """All pairs of classes that share a token but no component, and pass the filters on sizes and parities."""
     at = cut(_with_label(met, labels, "class", "label"), "labelled")
     mixed = at.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("many")).where("lo <> hi and many > 2").select("token")
-    at = cut(at.join(mixed, "token", "left_semi"), "mixed")
-    other = at.select(F.col("token").alias("_t"), F.col("class").alias("_c"), F.col("n").alias("m"), F.col("label").alias("_l"))
-    same = (at["token"] == F.col("_t")) & (at["class"] < F.col("_c")) & (at["label"] != F.col("_l")) & _near(percent)
+    at = cut(at.join(mixed, "token", "left_semi").join(bits, "class"), "mixed")
+    other = at.select(F.col("token").alias("_t"), F.col("class").alias("_c"), F.col("n").alias("m"), F.col("label").alias("_l"), F.col("bits").alias("_bits"))
+    same = (at["token"] == F.col("_t")) & (at["class"] < F.col("_c")) & (at["label"] != F.col("_l")) & _near(percent) & _close(percent)
     return at.join(other, same).select(F.col("class").alias("a"), F.col("_c").alias("b")).distinct()
 
 

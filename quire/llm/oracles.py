@@ -75,7 +75,7 @@ b AS (SELECT hx, n, max(page_id) AS first_id FROM q GROUP BY hx, n),
 bits AS (SELECT DISTINCT hx, array_to_string(list_transform(regexp_extract_all(hx, '.'), lambda c: list_extract(
   ['0000','0001','0010','0011','0100','0101','0110','0111','1000','1001','1010','1011','1100','1101','1110','1111'], CAST('0x' || c AS INTEGER) + 1)), '') AS s FROM q),
 digest AS (SELECT hx, array_to_string(list_transform(regexp_extract_all(s, '.....'), lambda g: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
-  CAST(16 * CAST(g[1] AS INTEGER) + 8 * CAST(g[2] AS INTEGER) + 4 * CAST(g[3] AS INTEGER) + 2 * CAST(g[4] AS INTEGER) + CAST(g[5] AS INTEGER) + 1 AS INTEGER), 1)), '') AS d FROM bits)
+  CAST(1 + 16 * CAST(g[1] AS INTEGER) + 8 * CAST(g[2] AS INTEGER) + 4 * CAST(g[3] AS INTEGER) + 2 * CAST(g[4] AS INTEGER) + CAST(g[5] AS INTEGER) AS INTEGER), 1)), '') AS d FROM bits)
 SELECT q.page_id, CAST(q.n AS BIGINT) AS payload_bytes, digest.d AS payload_digest,
        CASE WHEN q.page_id IS NOT DISTINCT FROM b.first_id THEN 'response' ELSE 'revisit' END AS record_type,
        CASE WHEN q.page_id IS NOT DISTINCT FROM b.first_id THEN NULL ELSE b.first_id END AS refers_to
