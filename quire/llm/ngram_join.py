@@ -4,9 +4,9 @@ Two sets can only reach a similarity of t if, under any one order of all tokens,
 (the first n - ceil(t n) + 1 tokens) share a token. Under the first order, tokens are dealt out and
 documents that share one meet; a pair must then share a prefix token under each further order too,
 and only pairs that pass all filters are verified on their whole sets. All orders put tokens that
-many documents have last, by a count over the whole corpus (a table of fixed size of hashed counters;
-counters only ever overestimate, and any order gives the same links), and differ in how they
-order the rest.
+many documents have last, and the first order puts those of rare words first, by counts over the
+whole corpus (tables of fixed size of hashed counters; counters may overestimate, and any order
+gives the same links).
 
 A group of near copies is not expanded into all its pairs. Documents with equal sets are one class.
 Among classes that share a token, each is first paired with a few centres only (ROUNDS times, with
@@ -132,19 +132,31 @@ class Words:
 _CUT = re.compile(rb"[\x20\x09-\x0D]")
 
 
-def shingles(h: np.ndarray, width: int) -> np.ndarray:
-    """Distinct shingle hashes of a text's words, ascending."""
-    if not len(h):
-        return h
+def _cells(h: np.ndarray) -> np.ndarray:
+    return (h >> _U(64 - SKETCH_BITS)).astype(np.int64)
+
+
+def _rolled(h: np.ndarray, width: int) -> np.ndarray:
+    """The hash of each place's shingle."""
     k = min(width, len(h))
     out = np.full(len(h) - k + 1, k, np.uint64)
     for i in range(k):
         out = mix(out + h[i : len(h) - k + 1 + i])
-    return np.unique(out)
+    return out
+
+
+def shingles(h: np.ndarray, width: int) -> np.ndarray:
+    """Distinct shingle hashes of a text's words, ascending."""
+    return np.unique(_rolled(h, width)) if len(h) else h
 
 
-def sets_of(texts: list[str | None], width: int, words: Words) -> list[np.ndarray]:
-    return [shingles(h, width) for h in words.of(texts)]
+def rated(h: np.ndarray, width: int, word_levels: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """shingles() and how common each one's words are together."""
+    if not len(h):
+        return h, h
+    s, at = np.unique(_rolled(h, width), return_index=True)
+    common = np.concatenate(([0], np.cumsum(word_levels[_cells(h)], dtype=np.int64)))
+    return s, (common[at + min(width, len(h))] - common[at]).astype(np.uint64)
 
 
 def prefix_size(n: int, percent: int) -> int:
@@ -152,13 +164,16 @@ def prefix_size(n: int, percent: int) -> int:
     return n - (n * percent + 99) // 100 + 1
 
 
-def prefix(s: np.ndarray, counts: np.ndarray, order: int, percent: int) -> np.ndarray:
-    """The first tokens of a set under an order: rare before common, then by a hash of the order's own."""
+def prefix(s: np.ndarray, common: np.ndarray, levels: np.ndarray, order: int, percent: int) -> np.ndarray:
+    """The first tokens of a set under an order. Under every order, tokens that the corpus holds far
+    more often than chance come last. Then order 0 has tokens of rare words first, and each order
+    goes by a hash of its own."""
     if not len(s):
         return s
     size = prefix_size(len(s), percent)
-    common = counts[(s >> _U(64 - SKETCH_BITS)).astype(np.int64)].astype(np.uint64)
-    rank = (common << _U(56)) | (mix(s + _ODD[order]) >> _U(8))
+    rank = (levels[_cells(s)].astype(np.uint64) << _U(56)) | (mix(s + _ODD[order]) >> _U(20))
+    if order == 0:
+        rank |= common << _U(44)
     return s[np.argpartition(rank, size - 1)[:size]] if size < len(s) else s
 
 
@@ -173,6 +188,11 @@ def set_key(s: np.ndarray) -> int:
     return xxhash.xxh3_64_intdigest(s.tobytes()) - (1 << 63) if len(s) else 0
 
 
+def word_levels(total: np.ndarray) -> np.ndarray:
+    """Counters of words as eighths of powers of two."""
+    return np.round(8 * np.log2(1.0 + total)).clip(0, 255).astype(np.uint8)
+
+
 def levels(total: np.ndarray) -> np.ndarray:
     """Counters as 8-bit levels: 0 up to about the load of chance, then powers of two of it."""
     load = 2 * max(1.0, total.mean())
@@ -188,18 +208,20 @@ def _rows(docs: DataFrame, width: int) -> DataFrame:
     per = cells // SKETCH_BLOCKS
 
     def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, total = Words(), np.zeros(cells, np.int64)
+        words, total = Words(), np.zeros((2, cells), np.int64)
         kinds = (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary())
         names = _ROWS.replace(",", "").split()[::2]
         for b in batches:
-            sets = sets_of(b.column(2).to_pylist(), width, words)
+            each = words.of(b.column(2).to_pylist())
+            sets = [shingles(h, width) for h in each]
             if sets:
-                total += np.bincount((np.concatenate(sets) >> _U(64 - SKETCH_BITS)).astype(np.int64), minlength=cells)
+                total[0] += np.bincount(_cells(np.concatenate(sets)), minlength=cells)
+                total[1] += np.bincount(_cells(np.concatenate(each)), minlength=cells)
             m = len(sets)
             yield pa.RecordBatch.from_arrays([pa.array([0] * m, kinds[0]), b.column(0), b.column(1), pa.array([len(s) for s in sets], kinds[3]), pa.array([set_key(s) for s in sets], kinds[4]), pa.nulls(m, kinds[5]), pa.nulls(m, kinds[6])], names)
         if total.any():
-            packed = [zlib.compress(total[k * per : (k + 1) * per].astype("<i8").tobytes(), 1) for k in range(SKETCH_BLOCKS)]
-            m = SKETCH_BLOCKS
+            flat, m = total.ravel(), 2 * SKETCH_BLOCKS
+            packed = [zlib.compress(flat[k * per : (k + 1) * per].astype("<i8").tobytes(), 1) for k in range(m)]
             yield pa.RecordBatch.from_arrays([pa.array([1] * m, kinds[0]), *[pa.nulls(m, k) for k in kinds[1:5]], pa.array(range(m), kinds[5]), pa.array(packed, kinds[6])], names)
 
     return docs.mapInArrow(part, _ROWS)
@@ -213,26 +235,27 @@ def _add(pdf):
 
 
 def corpus_counts(rows: DataFrame) -> np.ndarray:
-    """The counters of all tasks, added up in two levels; the driver gets one table of fixed size."""
+    """The counters of all tasks, of shingles and of words, added up in two levels; the driver gets
+    tables of fixed size."""
     some = rows.where("kind = 1").select("block", "counts").withColumn("salt", F.pmod(F.xxhash64("counts"), F.lit(32)).cast("int"))
     for salt in (F.col("salt"), F.lit(0)):
         some = some.withColumn("salt", salt).groupBy("block", "salt").applyInPandas(_add, "block int, salt int, counts binary")
     per = (1 << SKETCH_BITS) // SKETCH_BLOCKS
-    total = np.zeros(1 << SKETCH_BITS, np.int64)
+    total = np.zeros(2 << SKETCH_BITS, np.int64)
     for block, counts in some.select("block", "counts").collect():
         total[block * per : (block + 1) * per] = np.frombuffer(zlib.decompress(counts), "<i8")
-    return total
+    return total.reshape(2, -1)
 
 
 def _prefixes(docs: DataFrame, width: int, percent: int, held) -> DataFrame:
     """class, size, parity bits and prefix under each order of the sets that aren't empty."""
 
     def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, counts = Words(), held.value
+        words, (high, rare) = Words(), held.value
         for b in batches:
-            sets = [s for s in sets_of(b.column(2).to_pylist(), width, words) if len(s)]
-            many = pa.list_(pa.int64())
-            cols = [pa.array([np.sort(prefix(s, counts, k, percent).view(np.int64)) for s in sets], many) for k in range(ORDERS)]
+            both = [rated(h, width, rare) for h in words.of(b.column(2).to_pylist()) if len(h)]
+            sets, many = [s for s, _ in both], pa.list_(pa.int64())
+            cols = [pa.array([np.sort(prefix(s, c, high, k, percent).view(np.int64)) for s, c in both], many) for k in range(ORDERS)]
             yield pa.RecordBatch.from_arrays([pa.array([set_key(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int32()), pa.array([parity(s) for s in sets], many), *cols], ["class", "n", "bits", *[f"p{k}" for k in range(ORDERS)]])
 
     return docs.mapInArrow(part, "class long, n int, bits array<long>, " + ", ".join(f"p{k} array<long>" for k in range(ORDERS)))
@@ -244,7 +267,7 @@ def _sets(docs: DataFrame, width: int) -> DataFrame:
     def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = Words()
         for b in batches:
-            sets = [s for s in sets_of(b.column(2).to_pylist(), width, words) if len(s)]
+            sets = [shingles(h, width) for h in words.of(b.column(2).to_pylist()) if len(h)]
             yield pa.RecordBatch.from_arrays([pa.array([set_key(s) for s in sets], pa.int64()), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], ["class", "tokens"])
 
     return docs.mapInArrow(part, "class long, tokens array<long>")
@@ -264,10 +287,14 @@ class Corpus:
         self.docs, self.reps, self.prefixes, self.width, self.percent, self.once = docs, reps, prefixes, width, percent, once
 
     def filtered(self, pairs: DataFrame) -> DataFrame:
-        """pairs that share a prefix token under every further order."""
+        """pairs that pass the parity filter and share a prefix token under every further order."""
+        near = _with_both(pairs, self.prefixes, ["n", "bits"]).where(_close(self.percent, "x_n", "y_n", "x_bits", "y_bits")).select("a", "b")
+        near = cut(near, "near")
+        named = near.select(F.col("a").alias("class")).union(near.select(F.col("b").alias("class"))).distinct()
         names = [f"p{k}" for k in range(1, ORDERS)]
+        some = self.prefixes.select("class", *names).join(if_small(cut(named, "named"), 1_000_000), "class", "left_semi")
         share = [F.arrays_overlap(f"x_{c}", f"y_{c}") for c in names]
-        return _with_both(pairs, self.prefixes, names).where(functools.reduce(operator.and_, share)).select("a", "b")
+        return _with_both(near, some, names).where(functools.reduce(operator.and_, share)).select("a", "b")
 
     def links(self, pairs: DataFrame) -> DataFrame:
         """The pairs whose whole sets reach the threshold, read again from the texts of the classes they name."""
@@ -304,7 +331,8 @@ def classes_and_links(docs: DataFrame, width: int = 5, percent: int = 80, id_col
     d = docs.select(F.col(id_col).cast("long").alias("id"), text_key(text).alias("tkey"), text.alias("text"))
     both = cut(_rows(d, width), "shingle-rows")
     rows = both.where("kind = 0").select("id", "tkey", "n", "class")
-    held = spark.sparkContext.broadcast(levels(corpus_counts(both)))  # 2 ** SKETCH_BITS bytes
+    of_shingles, of_words = corpus_counts(both)
+    held = spark.sparkContext.broadcast((levels(of_shingles), word_levels(of_words)))  # 2 ** SKETCH_BITS bytes each
     first = rows.where("n > 0").groupBy("class").agg(F.min(F.struct("id", "tkey")).alias("r"))
     reps = cut(first.select("class", F.col("r.id").alias("rid"), F.col("r.tkey").alias("rkey")), "representatives")
     repeated = rows.groupBy("id", "tkey").count().where("count > 1").limit(1).count() > 0  # rows equal in id and text
@@ -355,11 +383,11 @@ def _star_pairs(met: DataFrame, tokens: DataFrame, labels: DataFrame | None, per
     return at.select(F.least("class", "centre").alias("a"), F.greatest("class", "centre").alias("b")).distinct()
 
 
-def _close(percent: int):
+def _close(percent: int, n: str, m: str, x: str, y: str):
     """The parity filter: with n + m tokens, sets that reach the threshold differ in so many at most."""
-    both = F.col("n") + F.col("m")
+    both = F.col(n) + F.col(m)
     shared = F.floor((both * percent + (99 + percent)) / (100 + percent))
-    apart = [F.bit_count(F.col("bits")[i].bitwiseXOR(F.col("_bits")[i])) for i in range(BITS // 64)]
+    apart = [F.bit_count(F.col(x)[i].bitwiseXOR(F.col(y)[i])) for i in range(BITS // 64)]
     return functools.reduce(operator.add, apart) <= both - 2 * shared
 
 
@@ -369,7 +397,7 @@ def _other_pairs(met: DataFrame, bits: DataFrame, labels: DataFrame, percent: in
     mixed = at.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("many")).where("lo <> hi and many > 2").select("token")
     at = cut(at.join(mixed, "token", "left_semi").join(bits, "class"), "mixed")
     other = at.select(F.col("token").alias("_t"), F.col("class").alias("_c"), F.col("n").alias("m"), F.col("label").alias("_l"), F.col("bits").alias("_bits"))
-    same = (at["token"] == F.col("_t")) & (at["class"] < F.col("_c")) & (at["label"] != F.col("_l")) & _near(percent) & _close(percent)
+    same = (at["token"] == F.col("_t")) & (at["class"] < F.col("_c")) & (at["label"] != F.col("_l")) & _near(percent) & _close(percent, "n", "m", "bits", "_bits")
     return at.join(other, same).select(F.col("class").alias("a"), F.col("_c").alias("b")).distinct()
 
 
