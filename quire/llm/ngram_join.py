@@ -341,7 +341,7 @@ def classes_and_links(docs: DataFrame, width: int = 5, percent: int = 80, id_col
     met = prefixes.select("class", "n", F.explode("p0").alias("token"))
     # tokens that several classes have
     shared = cut(met.groupBy("token").agg(F.min("class").alias("lo"), F.max("class").alias("hi")).where("lo < hi").select("token"), "shared")
-    met = cut(met.join(shared, "token"), "shared-tokens")
+    met = _once_each(cut(met.join(shared, "token"), "shared-tokens"))
     corpus = Corpus(d, reps, prefixes, width, percent, once)
     links, labels, tested = None, None, None
     for k in range(ROUNDS):
@@ -354,6 +354,14 @@ def classes_and_links(docs: DataFrame, width: int = 5, percent: int = 80, id_col
     return rows, label(links.union(corpus.links(rest)))
 
 
+def _once_each(met: DataFrame) -> DataFrame:
+    """met with one token of all that the same classes have: others would only repeat their pairs.
+    Equal members are told by their number and 128 bits of exclusive or."""
+    members = met.groupBy("token").agg(F.count("*").alias("many"), *[F.bit_xor(F.xxhash64("class", F.lit(f"member {i}"))).alias(f"m{i}") for i in (1, 2)])
+    chosen = cut(members.groupBy("many", "m1", "m2").agg(F.min("token").alias("token")).select("token"), "chosen")
+    return cut(met.join(chosen, "token", "left_semi"), "met")
+
+
 def _centres(met: DataFrame, k: int) -> DataFrame:
     """For each token that several classes have, a few of them: the ends of their order by size and by hashes."""
     by = lambda i: F.xxhash64("class", F.lit(i))
