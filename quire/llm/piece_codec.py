@@ -6,9 +6,11 @@ scores or, for a BPE model, merges ranked by the scores of the pieces they make,
 for characters without a piece. Batches are encoded with the library's own threads.
 
 Where no piece holds the space marker after another character, texts are cut before markers, which
-no merge can cross; words then come from the library's cache.
+no merge can cross; each word then is encoded once and remembered.
 
-Parity with the model's own processor is verified by `parity`, and by the query over every row.
+Parity with the model's own processor is verified by `parity` over whole texts, and by the query for
+every row: each distinct word a worker encodes is compared, and a row agrees if all its words do
+(a text's ids are its words' one after another, since no merge crosses a marker).
 
 Defined results: null gives no ids and decodes to the empty text; the empty text likewise; texts are
 encoded whole at any length; symbols that look like control pieces are ordinary text; repeated
@@ -17,11 +19,14 @@ rows are encoded each; an empty table gives an empty result; extra columns are i
 
 from __future__ import annotations
 
+import functools
 import hashlib
+import re
 import struct
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -103,7 +108,8 @@ def merges(m: Model) -> list[tuple[str, str]]:
     return [(a, b) for *_, a, b in sorted(pairs)]
 
 
-def build(m: Model) -> Tokenizer:
+def build(m: Model, bare: bool = False) -> Tokenizer:
+    """The model's tokenizer; a bare one takes words as they are."""
     unknown = next(i for i, (_, _, kind) in enumerate(m.pieces) if kind == UNKNOWN)
     if m.kind == UNIGRAM:
         t = Tokenizer(models.Unigram([(p, s) for p, s, _ in m.pieces], unk_id=unknown, byte_fallback=m.byte_fallback))
@@ -111,6 +117,8 @@ def build(m: Model) -> Tokenizer:
         t = Tokenizer(models.BPE({p: i for i, (p, _, _) in enumerate(m.pieces)}, merges(m), unk_token=m.pieces[unknown][0], fuse_unk=True, byte_fallback=m.byte_fallback))
     else:
         raise ValueError("only unigram and BPE models are known")
+    if bare:
+        return t
     steps = [normalizers.Precompiled(m.charsmap)] if m.charsmap else []
     if m.fewer_spaces:
         steps += [normalizers.Replace(Regex(" {2,}"), " "), normalizers.Strip()]
@@ -126,16 +134,69 @@ def build(m: Model) -> Tokenizer:
     return t
 
 
+#: Words whose ids are remembered, and how long they may be.
+CACHED, CACHED_CHARS = 400_000, 48
+_WORDS = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
+
+
 class Codec:
-    """Encodes and decodes batches of texts."""
+    """Encodes and decodes batches of texts.
+
+    Where merges can't cross a marker, a batch is cut into words; the library encodes those that
+    aren't remembered, all at once. Else it encodes the texts. `checked` verifies every word or text
+    that is encoded against the model's own processor."""
 
-    def __init__(self, data: bytes):
+    def __init__(self, data: bytes, checked: bool = False):
         self.model = parse_model(data)
         self.tokenizer = build(self.model)
+        self.by_word = self.tokenizer.pre_tokenizer is not None and not self.tokenizer.get_added_tokens_decoder()
+        self.bare = build(self.model, bare=True)
+        self.known: dict[str, bytes] = {}
+        self.unequal: set[str] = set()
+        self.own = None
+        if checked:
+            import sentencepiece
+
+            self.own = sentencepiece.SentencePieceProcessor(model_proto=data)
         self.parts = [bytes([int(p[3:5], 16)]) if kind == BYTE else p.replace(MARK, " ").encode() for p, _, kind in self.model.pieces]
 
     def encode(self, texts: list[str]) -> list[list[int]]:
-        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        return [np.frombuffer(raw, "<i4").tolist() for raw, _ in self.encode_raw(texts)]
+
+    def encode_raw(self, texts: list[str]) -> list[tuple[bytes, bool | None]]:
+        """Each text's ids as little-endian 32-bit words, and whether the model's processor agrees."""
+        if not self.by_word:
+            ids = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+            same = [a == b for a, b in zip(ids, self.own.encode(texts, num_threads=1), strict=True)] if self.own else [None] * len(ids)
+            return [(np.asarray(i, "<i4").tobytes(), ok) for i, ok in zip(ids, same, strict=True)]
+        m = self.model
+        if m.charsmap or m.fewer_spaces or not m.escape_spaces:
+            plain = [self.tokenizer.normalizer.normalize_str(t) for t in texts]
+        else:
+            plain = [(MARK if m.dummy_prefix and t else "") + t.replace(" ", MARK) for t in texts]
+        cut = [_WORDS.findall(t) for t in plain]
+        if len(self.known) > CACHED:
+            self.known, self.unequal = {}, set()
+        fresh = list(set(chain.from_iterable(cut)).difference(self.known))
+        ids = [e.ids for e in self.bare.encode_batch_fast(fresh, add_special_tokens=False)]
+        self.known.update(zip(fresh, (np.asarray(i, "<i4").tobytes() for i in ids), strict=True))
+        if self.own:
+            self.unequal.update(w for w, a, b in zip(fresh, ids, self._own_ids(fresh), strict=True) if a != b)
+        out = []
+        for words in cut:
+            ok = None if self.own is None else self.unequal.isdisjoint(words) if self.unequal else True
+            out.append((b"".join(map(self.known.__getitem__, words)), ok))
+        for w in fresh:
+            if len(w) > CACHED_CHARS:
+                del self.known[w]
+                self.unequal.discard(w)
+        return out
+
+    def _own_ids(self, words: list[str]) -> list[list[int]]:
+        """The ids that the model's processor gives words: it adds the marker that a word begins with."""
+        if not self.model.dummy_prefix:
+            return self.own.encode(words, num_threads=1)
+        return self.own.encode([w[1:] if w.startswith(MARK) else w for w in words], num_threads=1)
 
     def decode(self, ids: list[list[int]]) -> list[str]:
         """The pieces' bytes one after another, as the tokenizer's decoder has it but several times faster."""
@@ -155,6 +216,12 @@ def parity(data: bytes, texts: list[str]) -> list[bool]:
     return [a == b for a, b in zip(Codec(data).encode(texts), own, strict=True)]
 
 
+@functools.lru_cache(maxsize=1)
+def checked_codec(data: bytes) -> Codec:
+    """One codec for all tasks of a worker, so that words stay remembered."""
+    return Codec(data, checked=True)
+
+
 OUT = "id long, n_tokens long, ids_crc32 long, ids_sha256 string, decoded_sha256 string, round_trip boolean, parity boolean"
 BATCH_CHARS = 4 << 20
 
@@ -192,22 +259,16 @@ def digest(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: s
     data = docs.sparkSession.sparkContext.broadcast(open(model_path, "rb").read())
 
     def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import sentencepiece
-
-        codec, own = Codec(data.value), sentencepiece.SentencePieceProcessor(model_proto=data.value)
+        codec = checked_codec(data.value)
         kinds = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.bool_(), pa.bool_())
         names = OUT.replace(",", "").split()[::2]
         for batch in batches:
             texts = [t or "" for t in batch.column(1).to_pylist()]
             for a, b in _slices(texts):
-                some = texts[a:b]
-                ids = codec.encode(some)
-                back = codec.decode(ids)
-                same = own.encode(some, num_threads=1)
                 rows = []
-                for t, i, d, o in zip(some, ids, back, same, strict=True):
-                    raw = np.asarray(i, "<i4").tobytes()
-                    rows.append((len(i), zlib.crc32(raw), hashlib.sha256(raw).hexdigest(), hashlib.sha256(d.encode()).hexdigest(), d == t, i == o))
+                for t, (raw, same) in zip(texts[a:b], codec.encode_raw(texts[a:b]), strict=True):
+                    back = codec.decode([np.frombuffer(raw, "<i4").tolist()])[0]
+                    rows.append((len(raw) // 4, zlib.crc32(raw), hashlib.sha256(raw).hexdigest(), hashlib.sha256(back.encode()).hexdigest(), back == t, same))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), *[pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)]], names)
 
     return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(part, OUT).withColumnRenamed("id", id_col)
