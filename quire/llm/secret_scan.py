@@ -56,7 +56,8 @@ def random_samples(spark: SparkSession, n: int = RANDOM_SAMPLES) -> DataFrame:
 def identifier_samples(docs: DataFrame, n_docs: int = IDENTIFIER_DOCS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(token, label 0): words of letters from a bounded sample of documents, singly and joined as
     identifiers are (camel case, underscores, numbered)."""
-    some = docs.select(id_col, text_col).orderBy(F.xxhash64(id_col), F.xxhash64(text_col)).limit(n_docs)
+    ids = docs.select(id_col).distinct().orderBy(F.xxhash64(id_col), id_col).limit(n_docs)
+    some = docs.select(id_col, text_col).join(F.broadcast(ids), id_col)
     w = some.select(F.explode(F.regexp_extract_all(F.col(text_col), F.lit(r"(?<![A-Za-z0-9])[A-Za-z]{2,}(?![A-Za-z0-9])"), F.lit(0))).alias("w")).distinct()
     forms = F.array(F.col("w"), F.lower("w"), F.concat(F.lower("w"), F.initcap("w")), F.concat_ws("_", F.lower("w"), F.lower("w")), F.concat(F.upper("w"), F.lit("_"), F.length("w").cast("string")), F.concat_ws("/", F.lower("w"), F.lower("w")), F.concat_ws("-", F.lower("w"), F.length("w").cast("string")))
     return w.select(F.explode(forms).alias("token"), F.lit(0).alias("label"))
