@@ -3,7 +3,8 @@ r"""Exact Jaccard self-join on word shingles by prefix filters under several glo
 Two sets can only reach a similarity of t if, under any one order of all tokens, their prefixes
 (the first n - ceil(t n) + 1 tokens) share a token. Under the first order, tokens are dealt out and
 documents that share one meet; a pair must then share a prefix token under each further order too,
-and only pairs that pass all filters are verified on their whole sets. All orders put tokens that
+and only pairs that pass all filters, and don't differ too much
+within their prefixes, are verified on their whole sets. All orders put tokens that
 many documents have last, and the first order puts those of rare words first, by counts over the
 whole corpus (tables of fixed size of hashed counters; counters may overestimate, and any order
 gives the same links).
@@ -45,8 +46,8 @@ from .shared import cut, if_small, salted_left_join, text_key, without
 SKETCH_BITS, SKETCH_BLOCKS = 20, 16
 #: Global token orders, and centres for each token and round.
 ORDERS, CENTRES, ROUNDS = 3, 4, 2
-#: Bits of the parity filter; a power of two.
-BITS = 512
+#: Bits of the parity filter: in the last join, and for single pairs. Powers of two.
+BITS, WIDE = 512, 2048
 _U = np.uint64
 _ODD = [_U(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5)]
 
@@ -171,17 +172,28 @@ def prefix(s: np.ndarray, common: np.ndarray, levels: np.ndarray, order: int, pe
     if not len(s):
         return s
     size = prefix_size(len(s), percent)
-    rank = (levels[_cells(s)].astype(np.uint64) << _U(56)) | (mix(s + _ODD[order]) >> _U(20))
+    rank = rank_of(s, levels, order)
     if order == 0:
         rank |= common << _U(44)
     return s[np.argpartition(rank, size - 1)[:size]] if size < len(s) else s
 
 
-def parity(s: np.ndarray) -> np.ndarray:
-    """BITS bits, each the parity of how many tokens hash to it: two sets differ in at least as many
-    tokens as these differ in bits."""
-    odd = np.bincount((mix(s) & _U(BITS - 1)).astype(np.int64), minlength=BITS) & 1
-    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+def parity(s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """BITS and WIDE bits, each the parity of how many tokens hash to it: two sets differ in at least
+    as many tokens as these differ in bits. The few are the many, folded."""
+    odd = (np.bincount((mix(s) & _U(WIDE - 1)).astype(np.int64), minlength=WIDE) & 1).astype(np.uint8)
+    few = odd.reshape(-1, BITS).sum(axis=0, dtype=np.uint8) & 1
+    return np.packbits(few).view(np.int64), np.packbits(odd).view(np.int64)
+
+
+def rank_of(s: np.ndarray, levels: np.ndarray, order: int) -> np.ndarray:
+    """Places of tokens in an order, without what order 0 puts in between."""
+    return (levels[_cells(s)].astype(np.uint64) << _U(56)) | (mix(s + _ODD[order]) >> _U(20))
+
+
+def most_apart(n: int, m: int, percent: int) -> int:
+    """In how many tokens sets of n and m may differ that reach the threshold."""
+    return n + m - 2 * ((percent * (n + m) + 99 + percent) // (100 + percent))
 
 
 def set_key(s: np.ndarray) -> int:
@@ -255,10 +267,11 @@ def _prefixes(docs: DataFrame, width: int, percent: int, held) -> DataFrame:
         for b in batches:
             both = [rated(h, width, rare) for h in words.of(b.column(2).to_pylist()) if len(h)]
             sets, many = [s for s, _ in both], pa.list_(pa.int64())
+            odd = [parity(s) for s in sets]
             cols = [pa.array([np.sort(prefix(s, c, high, k, percent).view(np.int64)) for s, c in both], many) for k in range(ORDERS)]
-            yield pa.RecordBatch.from_arrays([pa.array([set_key(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int32()), pa.array([parity(s) for s in sets], many), *cols], ["class", "n", "bits", *[f"p{k}" for k in range(ORDERS)]])
+            yield pa.RecordBatch.from_arrays([pa.array([set_key(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int32()), *[pa.array([p[k] for p in odd], many) for k in (0, 1)], *cols], ["class", "n", "bits", "wide", *[f"p{k}" for k in range(ORDERS)]])
 
-    return docs.mapInArrow(part, "class long, n int, bits array<long>, " + ", ".join(f"p{k} array<long>" for k in range(ORDERS)))
+    return docs.mapInArrow(part, "class long, n int, bits array<long>, wide array<long>, " + ", ".join(f"p{k} array<long>" for k in range(ORDERS)))
 
 
 def _sets(docs: DataFrame, width: int) -> DataFrame:
@@ -283,18 +296,40 @@ def _with_both(pairs: DataFrame, of: DataFrame, columns: list[str]) -> DataFrame
 class Corpus:
     """What pairs are tested against: documents that stand for their class, and prefixes by class."""
 
-    def __init__(self, docs: DataFrame, reps: DataFrame, prefixes: DataFrame, width: int, percent: int, once):
+    def __init__(self, docs: DataFrame, reps: DataFrame, prefixes: DataFrame, width: int, percent: int, once, held):
+        self.held = held
         self.docs, self.reps, self.prefixes, self.width, self.percent, self.once = docs, reps, prefixes, width, percent, once
 
     def filtered(self, pairs: DataFrame) -> DataFrame:
-        """pairs that pass the parity filter and share a prefix token under every further order."""
-        near = _with_both(pairs, self.prefixes, ["n", "bits"]).where(_close(self.percent, "x_n", "y_n", "x_bits", "y_bits")).select("a", "b")
-        near = cut(near, "near")
-        named = near.select(F.col("a").alias("class")).union(near.select(F.col("b").alias("class"))).distinct()
-        names = [f"p{k}" for k in range(1, ORDERS)]
-        some = self.prefixes.select("class", *names).join(if_small(cut(named, "named"), 1_000_000), "class", "left_semi")
-        share = [F.arrays_overlap(f"x_{c}", f"y_{c}") for c in names]
-        return _with_both(near, some, names).where(functools.reduce(operator.and_, share)).select("a", "b")
+        """pairs that pass the parity filter, share a prefix token under every further order, and differ
+        little enough where both prefixes reach: up to the lesser of their last places, all tokens of
+        both sets are known."""
+        percent, held, orders = self.percent, self.held, range(1, ORDERS)
+        near = _with_both(pairs, self._named(pairs, ["n", "wide"]), ["n", "wide"]).where(_close(percent, WIDE, "x_n", "y_n", "x_wide", "y_wide"))
+        near = cut(near.select("a", "b"), "near")
+
+        def further(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            levels = held.value[0]
+            for b in batches:
+                keep = []
+                for i in range(len(b)):
+                    most, ok = most_apart(b.column(2)[i].as_py(), b.column(2 + ORDERS)[i].as_py(), percent), True
+                    for k in orders:
+                        x, y = (rank_of(b.column(c)[i].values.to_numpy(zero_copy_only=False).view(np.uint64), levels, k) for c in (2 + k, 2 + ORDERS + k))
+                        both = np.intersect1d(x, y)
+                        reach = min(x.max(), y.max())
+                        apart = (x <= reach).sum() + (y <= reach).sum() - 2 * (both <= reach).sum()
+                        ok = ok and len(both) > 0 and apart <= most
+                    keep.append(bool(ok))
+                yield b.filter(pa.array(keep, pa.bool_())).select([0, 1])
+
+        names = ["n", *[f"p{k}" for k in orders]]
+        return _with_both(near, self._named(near, names), names).select("a", "b", *[f"{p}_{c}" for p in "xy" for c in names]).mapInArrow(further, "a long, b long")
+
+    def _named(self, pairs: DataFrame, columns: list[str]) -> DataFrame:
+        """Columns of the classes that pairs name."""
+        named = cut(pairs.select(F.col("a").alias("class")).union(pairs.select(F.col("b").alias("class"))).distinct(), "named")
+        return self.prefixes.select("class", *columns).join(if_small(named, 1_000_000), "class", "left_semi")
 
     def links(self, pairs: DataFrame) -> DataFrame:
         """The pairs whose whole sets reach the threshold, read again from the texts of the classes they name."""
@@ -342,7 +377,7 @@ def classes_and_links(docs: DataFrame, width: int = 5, percent: int = 80, id_col
     # tokens that several classes have
     shared = cut(met.groupBy("token").agg(F.min("class").alias("lo"), F.max("class").alias("hi")).where("lo < hi").select("token"), "shared")
     met = _once_each(cut(met.join(shared, "token"), "shared-tokens"))
-    corpus = Corpus(d, reps, prefixes, width, percent, once)
+    corpus = Corpus(d, reps, prefixes, width, percent, once, held)
     links, labels, tested = None, None, None
     for k in range(ROUNDS):
         pairs = cut(_star_pairs(met, _centres(met, k), labels, percent), "pairs")
@@ -391,11 +426,11 @@ def _star_pairs(met: DataFrame, tokens: DataFrame, labels: DataFrame | None, per
     return at.select(F.least("class", "centre").alias("a"), F.greatest("class", "centre").alias("b")).distinct()
 
 
-def _close(percent: int, n: str, m: str, x: str, y: str):
+def _close(percent: int, bits: int, n: str, m: str, x: str, y: str):
     """The parity filter: with n + m tokens, sets that reach the threshold differ in so many at most."""
     both = F.col(n) + F.col(m)
     shared = F.floor((both * percent + (99 + percent)) / (100 + percent))
-    apart = [F.bit_count(F.col(x)[i].bitwiseXOR(F.col(y)[i])) for i in range(BITS // 64)]
+    apart = [F.bit_count(F.col(x)[i].bitwiseXOR(F.col(y)[i])) for i in range(bits // 64)]
     return functools.reduce(operator.add, apart) <= both - 2 * shared
 
 
@@ -405,7 +440,7 @@ def _other_pairs(met: DataFrame, bits: DataFrame, labels: DataFrame, percent: in
     mixed = at.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("many")).where("lo <> hi and many > 2").select("token")
     at = cut(at.join(mixed, "token", "left_semi").join(bits, "class"), "mixed")
     other = at.select(F.col("token").alias("_t"), F.col("class").alias("_c"), F.col("n").alias("m"), F.col("label").alias("_l"), F.col("bits").alias("_bits"))
-    same = (at["token"] == F.col("_t")) & (at["class"] < F.col("_c")) & (at["label"] != F.col("_l")) & _near(percent) & _close(percent, "n", "m", "bits", "_bits")
+    same = (at["token"] == F.col("_t")) & (at["class"] < F.col("_c")) & (at["label"] != F.col("_l")) & _near(percent) & _close(percent, BITS, "n", "m", "bits", "_bits")
     return at.join(other, same).select(F.col("class").alias("a"), F.col("_c").alias("b")).distinct()
 
 
