@@ -135,7 +135,9 @@ def build(m: Model, bare: bool = False) -> Tokenizer:
 
 
 #: Words whose ids are remembered, and how long they may be.
-CACHED, CACHED_CHARS = 400_000, 48
+CACHED, CACHED_CHARS = 150_000, 48
+#: So many words go to the library at once.
+AT_ONCE = 10_000
 _WORDS = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
 
 
@@ -178,10 +180,12 @@ class Codec:
         if len(self.known) > CACHED:
             self.known, self.unequal = {}, set()
         fresh = list(set(chain.from_iterable(cut)).difference(self.known))
-        ids = [e.ids for e in self.bare.encode_batch_fast(fresh, add_special_tokens=False)]
-        self.known.update(zip(fresh, (np.asarray(i, "<i4").tobytes() for i in ids), strict=True))
-        if self.own:
-            self.unequal.update(w for w, a, b in zip(fresh, ids, self._own_ids(fresh), strict=True) if a != b)
+        for k in range(0, len(fresh), AT_ONCE):
+            some = fresh[k : k + AT_ONCE]
+            ids = [e.ids for e in self.bare.encode_batch_fast(some, add_special_tokens=False)]
+            self.known.update(zip(some, (np.asarray(i, "<i4").tobytes() for i in ids), strict=True))
+            if self.own:
+                self.unequal.update(w for w, a, b in zip(some, ids, self._own_ids(some), strict=True) if a != b)
         out = []
         for words in cut:
             ok = None if self.own is None else self.unequal.isdisjoint(words) if self.unequal else True
@@ -223,7 +227,7 @@ def checked_codec(data: bytes) -> Codec:
 
 
 OUT = "id long, n_tokens long, ids_crc32 long, ids_sha256 string, decoded_sha256 string, round_trip boolean, parity boolean"
-BATCH_CHARS = 4 << 20
+BATCH_CHARS = 1 << 20
 
 
 def _slices(texts: list[str], limit: int = BATCH_CHARS) -> Iterator[tuple[int, int]]:
