@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import functools
 import hashlib
+import os
 import re
 import struct
 import zlib
@@ -135,7 +136,7 @@ def build(m: Model, bare: bool = False) -> Tokenizer:
 
 
 #: Words whose ids are remembered, and how long they may be.
-CACHED, CACHED_CHARS = 150_000, 48
+CACHED, CACHED_CHARS = 500_000, 48
 #: So many words go to the library at once.
 AT_ONCE = 10_000
 _WORDS = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
@@ -220,9 +221,14 @@ def parity(data: bytes, texts: list[str]) -> list[bool]:
     return [a == b for a, b in zip(Codec(data).encode(texts), own, strict=True)]
 
 
+#: Threads of the library in each worker; more only contend where several workers share a machine.
+THREADS = "2"
+
+
 @functools.lru_cache(maxsize=1)
 def checked_codec(data: bytes) -> Codec:
     """One codec for all tasks of a worker, so that words stay remembered."""
+    os.environ.setdefault("RAYON_NUM_THREADS", THREADS)
     return Codec(data, checked=True)
 
 
