@@ -31,10 +31,14 @@ class Store:
         return f"{self.folder}/{name}"
 
     def _exists(self, name: str) -> bool:
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(self._path(name))
-        return path.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(path)
+        """Whether a table has data; one without rows has no bucket folders."""
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(self._path(name) + ("/*" if name.startswith("_") else "/bucket=*"))
+        found = path.getFileSystem(self.spark._jsc.hadoopConfiguration()).globStatus(path)
+        return found is not None and len(found) > 0
 
     def table(self, name: str, document_id: str | None = None) -> DataFrame:
+        if not self._exists(name):
+            return self.spark.read.parquet(self._path(f"_schemas/{name}"))
         at = self.spark.read.parquet(self._path(name))
         if document_id is not None:  # prunes to one bucket, then to row groups
             number = self.spark.range(1).select(self.bucket(F.lit(document_id))).first()[0]
@@ -49,6 +53,7 @@ class Store:
             touched = ids.select(self.bucket(F.col("document_id")).alias("bucket")).distinct()  # at most self.buckets rows
             old = self.spark.read.parquet(self._path(name)).join(F.broadcast(touched), "bucket", "left_semi").join(ids, "document_id", "left_anti")
             new = old.unionByName(new, allowMissingColumns=True)
+        new.drop("bucket").limit(0).coalesce(1).write.mode("overwrite").parquet(self._path(f"_schemas/{name}"))
         staged = self._path(f"_staging/{name}")
         new.write.mode("overwrite").parquet(staged)
         out = self.spark.read.schema(new.schema).parquet(staged).repartition("bucket").sortWithinPartitions("document_id")
