@@ -122,13 +122,28 @@ KEYS = ["conv_id", "part", "block"]
 RESULT = "conv_id long, turn long, position long, role string, new_role string, action string, cost long, opens long, piece string"
 
 
+def _runs(pdf: pd.DataFrame, *columns: str):
+    """(conv_id, part, block) and the columns' values of each conversation in a block, in order."""
+    pdf = pdf.sort_values("seq")
+    held = {c: pdf[c].tolist() for c in (*KEYS, *columns)}
+    convs, many = [None if pd.isna(c) else c for c in held["conv_id"]], len(pdf)
+    a = 0
+    for b in range(1, many + 1):
+        if b == many or convs[b] != convs[a]:
+            yield (convs[a], held["part"][a], held["block"][a]), *(held[c][a:b] for c in columns)
+            a = b
+
+
 def _matrices(pdf: pd.DataFrame) -> pd.DataFrame:
-    rows = [(conv, part, block, matrix(list(g["role"]))) for (conv, part, block), g in pdf.sort_values("seq").groupby(KEYS, dropna=False, sort=False)]
+    rows = [(*key, matrix(roles)) for key, roles in _runs(pdf, "role")]
     return pd.DataFrame(rows, columns=[*KEYS, "m"])
 
 
 def _chain(pdf: pd.DataFrame) -> pd.DataFrame:
     """Costs at the entry of each block of a conversation, and the state at the end of the last."""
+    if len(pdf) == 1:
+        final = last_state([min(FAR, x) for x in pdf["m"].iloc[0][:4]])
+        return pdf[KEYS].assign(entry=[ENTRY0], final=final, is_last=True)
     pdf = pdf.sort_values(["part", "block"]).reset_index(drop=True)
     entry, entries = ENTRY0, []
     for m in pdf["m"]:
@@ -143,11 +158,9 @@ def _chain(pdf: pd.DataFrame) -> pd.DataFrame:
 def _exits(pdf: pd.DataFrame) -> pd.DataFrame:
     """For each block of a conversation, the state before it for each state after it."""
     rows = []
-    for (conv, part, block), g in pdf.sort_values("seq").groupby(KEYS, dropna=False, sort=False):
-        roles = list(g["role"])
-        costs = forward([int(c) for c in g["entry"].iloc[0]], roles)
-        back = [trace(costs, roles, s)[0] if costs[-1][s] < FAR else -1 for s in range(4)]
-        rows.append((conv, part, block, back, int(g["final"].iloc[0])))
+    for key, roles, entry, final in _runs(pdf, "role", "entry", "final"):
+        costs = forward([int(c) for c in entry[0]], roles)
+        rows.append((*key, [trace(costs, roles, s)[0] if costs[-1][s] < FAR else -1 for s in range(4)], int(final[0])))
     return pd.DataFrame(rows, columns=[*KEYS, "back", "final"])
 
 
@@ -164,11 +177,10 @@ def _settle(pdf: pd.DataFrame) -> pd.DataFrame:
 
 def _render(pdf: pd.DataFrame) -> pd.DataFrame:
     rows = []
-    for (conv, _, _), g in pdf.sort_values("seq").groupby(KEYS, dropna=False, sort=False):
-        roles, many = list(g["role"]), len(g)
-        closed = bool(g["is_last"].iloc[0])
-        steps = repair(roles, [int(c) for c in g["entry"].iloc[0]], int(g["exit"].iloc[0]))
-        for k, (turn, position, role, text, (a, action, before, b, cost)) in enumerate(zip(g["turn"], g["position"], roles, g["text"], steps, strict=True)):
+    for (conv, _, _), turns, positions, roles, texts, entry, exits, lasts in _runs(pdf, "turn", "position", "role", "text", "entry", "exit", "is_last"):
+        many, closed = len(roles), bool(lasts[0])
+        steps = repair(roles, [int(c) for c in entry[0]], int(exits[0]))
+        for k, (turn, position, role, text, (a, action, before, b, cost)) in enumerate(zip(turns, positions, roles, texts, steps, strict=True)):
             text = text if isinstance(text, str) else ""
             if "merge" in action:
                 piece, opens = "\n" + text, 0
