@@ -63,7 +63,7 @@ def _draws(n: int, seed: int) -> np.ndarray:
 
 
 #: Words are hashed in pieces of about so many bytes.
-PIECE = 1 << 20
+PIECE = 1 << 18
 _BASE = 0x5851F42D4C957F2B  # odd, 3 modulo 8
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
@@ -211,6 +211,17 @@ def levels(total: np.ndarray) -> np.ndarray:
     return np.clip(np.ceil(np.log2(np.maximum(total, 1) / load)), 0, 255).astype(np.uint8)
 
 
+#: Rows of a batch that are worked on at once.
+ROWS = 1000
+
+
+def _small(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches of few rows, so that a worker holds few sets."""
+    for b in batches:
+        for at in range(0, b.num_rows, ROWS):
+            yield b.slice(at, ROWS)
+
+
 _ROWS = "kind int, id long, tkey long, n long, class long, block int, counts binary"
 
 
@@ -223,7 +234,7 @@ def _rows(docs: DataFrame, width: int) -> DataFrame:
         words, total = Words(), np.zeros((2, cells), np.int64)
         kinds = (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary())
         names = _ROWS.replace(",", "").split()[::2]
-        for b in batches:
+        for b in _small(batches):
             each = words.of(b.column(2).to_pylist())
             sets = [shingles(h, width) for h in each]
             if sets:
@@ -264,7 +275,7 @@ def _prefixes(docs: DataFrame, width: int, percent: int, held) -> DataFrame:
 
     def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, (high, rare) = Words(), held.value
-        for b in batches:
+        for b in _small(batches):
             both = [rated(h, width, rare) for h in words.of(b.column(2).to_pylist()) if len(h)]
             sets, many = [s for s, _ in both], pa.list_(pa.int64())
             odd = [parity(s) for s in sets]
@@ -279,7 +290,7 @@ def _sets(docs: DataFrame, width: int) -> DataFrame:
 
     def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = Words()
-        for b in batches:
+        for b in _small(batches):
             sets = [shingles(h, width) for h in words.of(b.column(2).to_pylist()) if len(h)]
             yield pa.RecordBatch.from_arrays([pa.array([set_key(s) for s in sets], pa.int64()), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], ["class", "tokens"])
 
