@@ -19,7 +19,6 @@ rows are encoded each; an empty table gives an empty result; extra columns are i
 
 from __future__ import annotations
 
-import functools
 import hashlib
 import os
 import re
@@ -136,7 +135,7 @@ def build(m: Model, bare: bool = False) -> Tokenizer:
 
 
 #: Words whose ids are remembered, and how long they may be.
-CACHED, CACHED_CHARS = 500_000, 48
+CACHED, CACHED_CHARS = 400_000, 48
 #: So many words go to the library at once.
 AT_ONCE = 10_000
 _WORDS = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
@@ -225,9 +224,8 @@ def parity(data: bytes, texts: list[str]) -> list[bool]:
 THREADS = "2"
 
 
-@functools.lru_cache(maxsize=1)
 def checked_codec(data: bytes) -> Codec:
-    """One codec for all tasks of a worker, so that words stay remembered."""
+    """A codec for one task; workers are reused, and what one keeps would stay with later stages."""
     os.environ.setdefault("RAYON_NUM_THREADS", THREADS)
     return Codec(data, checked=True)
 

@@ -152,7 +152,7 @@ def score(docs: DataFrame, trees: Trees, id_col: str = "doc_id", text_col: str =
     schema = some.drop("_text").withColumn("score", F.lit(0.0)).schema
 
     def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in (whole.slice(k, 1000) for whole in batches for k in range(0, whole.num_rows, 1000)):
             x = np.array([statistics(t) for t in b.column(0).to_pylist()], float).reshape(-1, len(FEATURES))
             yield pa.RecordBatch.from_arrays([*b.columns[1:], pa.array(held.value.score(x))], [*b.schema.names[1:], "score"])
 
