@@ -200,7 +200,9 @@ class Codec:
         """The ids that the model's processor gives words: it adds the marker that a word begins with."""
         if not self.model.dummy_prefix:
             return self.own.encode(words, num_threads=1)
-        return self.own.encode([w[1:] if w.startswith(MARK) else w for w in words], num_threads=1)
+        ids = self.own.encode([w[1:] if w.startswith(MARK) else w for w in words], num_threads=1)
+        # a lone marker is left without text, to which the processor adds none
+        return [[self.own.piece_to_id(MARK)] if w == MARK else i for w, i in zip(words, ids, strict=True)]
 
     def decode(self, ids: list[list[int]]) -> list[str]:
         """The pieces' bytes one after another, as the tokenizer's decoder has it but several times faster."""

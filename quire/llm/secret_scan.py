@@ -34,8 +34,9 @@ MIN_VALUE, MIN_ACCESS, MIN_HEX = 6, 20, 24
 MIN_TOKEN = 20
 TOKEN = rf"[A-Za-z0-9+/_=-]{{{MIN_TOKEN},}}"
 ALPHABET = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_=-"
-#: Mean log-likelihood ratio a character from which a token counts as random.
-THRESHOLD = 0.5
+#: Mean log-likelihood ratio a character from which a token counts as random: dated or numbered
+#: names come to about 0.8, random strings to 1.5 and more.
+THRESHOLD = 1.1
 #: Labelled samples: so many random strings are drawn, and so many documents give identifiers.
 RANDOM_SAMPLES, IDENTIFIER_DOCS = 4000, 2000
 

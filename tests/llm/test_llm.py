@@ -130,7 +130,8 @@ def brute_base(t):
 
 
 def test_secrets(spark):
-    key = "".join(random.Random(5).choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789") for _ in range(40))
+    draw = random.Random(5)
+    key = "".join(draw.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789") for _ in range(40))
     texts = [*edge_texts(), 'é🙂 token = "abcdef12" secret:token : abcdefgh', "AKIA" + "B7" * 8 + " AKIAX " + "0a" * 15, f"see {key} and common_configuration_value_name", "password:short API-key=no apikey==abcdefg" * 3, "secret=" + "a1" * 20]
     got = {r.doc_id: r for r in secret_scan.report(frame(spark, texts)).collect()}
     for i, t in enumerate(texts):
