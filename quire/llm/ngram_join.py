@@ -317,7 +317,7 @@ class Corpus:
         both sets are known."""
         percent, held, orders = self.percent, self.held, range(1, ORDERS)
         near = _with_both(pairs, self._named(pairs, ["n", "wide"]), ["n", "wide"]).where(_close(percent, WIDE, "x_n", "y_n", "x_wide", "y_wide"))
-        near = cut(near.select("a", "b"), "near")
+        near = cut(near.select("a", "b"), "near", pairs.count())
 
         def further(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             levels = held.value[0]
@@ -339,14 +339,14 @@ class Corpus:
 
     def _named(self, pairs: DataFrame, columns: list[str]) -> DataFrame:
         """Columns of the classes that pairs name."""
-        named = cut(pairs.select(F.col("a").alias("class")).union(pairs.select(F.col("b").alias("class"))).distinct(), "named")
+        named = cut(pairs.select(F.col("a").alias("class")).union(pairs.select(F.col("b").alias("class"))).distinct(), "named", 2 * pairs.count())
         return self.prefixes.select("class", *columns).join(if_small(named, 1_000_000), "class", "left_semi")
 
     def links(self, pairs: DataFrame) -> DataFrame:
         """The pairs whose whole sets reach the threshold, read again from the texts of the classes they name."""
-        passed = cut(self.filtered(pairs), "passed")
+        passed = cut(self.filtered(pairs), "passed", pairs.count())  # pairs is a written table
         named = passed.select(F.col("a").alias("class")).union(passed.select(F.col("b").alias("class"))).distinct()
-        wanted = cut(self.reps.join(named, "class", "left_semi"), "wanted")
+        wanted = cut(self.reps.join(named, "class", "left_semi"), "wanted", 2 * passed.count())
         some = of_rows(self.docs, wanted)
         sets = cut(self.once(_sets(some, self.width)), "sets")
         percent = self.percent
@@ -360,7 +360,7 @@ class Corpus:
                     keep.append(100 * both >= percent * (len(x) + len(y) - both))
                 yield b.filter(pa.array(keep, pa.bool_())).select([0, 1])
 
-        return cut(_with_both(passed, sets, ["tokens"]).mapInArrow(verify, "a long, b long"), "links")
+        return cut(_with_both(passed, sets, ["tokens"]).mapInArrow(verify, "a long, b long"), "links", passed.count())
 
 
 def of_rows(docs: DataFrame, rows: DataFrame) -> DataFrame:
