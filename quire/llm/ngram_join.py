@@ -309,6 +309,7 @@ class Corpus:
 
     def __init__(self, docs: DataFrame, reps: DataFrame, prefixes: DataFrame, width: int, percent: int, once, held):
         self.held = held
+        self.many = prefixes.count()  # what a join with them reads counts towards its tasks
         self.docs, self.reps, self.prefixes, self.width, self.percent, self.once = docs, reps, prefixes, width, percent, once
 
     def filtered(self, pairs: DataFrame) -> DataFrame:
@@ -317,7 +318,7 @@ class Corpus:
         both sets are known."""
         percent, held, orders = self.percent, self.held, range(1, ORDERS)
         near = _with_both(pairs, self._named(pairs, ["n", "wide"]), ["n", "wide"]).where(_close(percent, WIDE, "x_n", "y_n", "x_wide", "y_wide"))
-        near = cut(near.select("a", "b"), "near", pairs.count())
+        near = cut(near.select("a", "b"), "near", pairs.count() + self.many)
 
         def further(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             levels = held.value[0]
@@ -344,9 +345,9 @@ class Corpus:
 
     def links(self, pairs: DataFrame) -> DataFrame:
         """The pairs whose whole sets reach the threshold, read again from the texts of the classes they name."""
-        passed = cut(self.filtered(pairs), "passed", pairs.count())  # pairs is a written table
+        passed = cut(self.filtered(pairs), "passed", pairs.count() + self.many)  # both are counts of written tables
         named = passed.select(F.col("a").alias("class")).union(passed.select(F.col("b").alias("class"))).distinct()
-        wanted = cut(self.reps.join(named, "class", "left_semi"), "wanted", 2 * passed.count())
+        wanted = cut(self.reps.join(named, "class", "left_semi"), "wanted", 2 * passed.count() + self.many)
         some = of_rows(self.docs, wanted)
         sets = cut(self.once(_sets(some, self.width)), "sets")
         percent = self.percent
@@ -360,7 +361,7 @@ class Corpus:
                     keep.append(100 * both >= percent * (len(x) + len(y) - both))
                 yield b.filter(pa.array(keep, pa.bool_())).select([0, 1])
 
-        return cut(_with_both(passed, sets, ["tokens"]).mapInArrow(verify, "a long, b long"), "links", passed.count())
+        return cut(_with_both(passed, sets, ["tokens"]).mapInArrow(verify, "a long, b long"), "links")
 
 
 def of_rows(docs: DataFrame, rows: DataFrame) -> DataFrame:
