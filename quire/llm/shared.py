@@ -39,8 +39,8 @@ PER_FILE = 20_000
 def cut(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
     """Write df as Parquet to the shared folder and read it again: lineage ends here, and a lost
     executor costs nothing that was written. rows: about how many it has at most, where that is known
-    of a narrow table; it then has no more files than these need. Each file costs its writer a process
-    (without Hadoop's native library, chmod is run for it), so thousands of tiny ones are dear."""
+    of a narrow table; it then has no more files than these need. Child processes were
+    seen at many file writes (likely chmod, without Hadoop's native library), so tiny ones are dear."""
     path = scratch_path(df.sparkSession, name)
     if rows is not None:
         df = df.coalesce(max(1, -(-rows // PER_FILE)))
