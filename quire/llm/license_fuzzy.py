@@ -4,7 +4,8 @@ Base places are exact: a phrase's words standing consecutively. The method adds
 that were retyped or damaged: a notice with up to k edits is split into k + 1 seeds, of which at
 least one must survive unharmed (pigeonhole); all seeds of all notices are found in one pass of an
 Aho-Corasick automaton, and only around them the regex library matches the notice with at most k
-errors and reports its span and edits.
+errors and reports its span and edits. Notices that stand next to each other, or share a few
+characters, are all reported; a match goes only where a nearer one takes up most of the same place.
 
 Words are maximal runs of [0-9a-z] and non-ASCII characters after lower-casing A-Z. For the fuzzy
 search, a text is its words joined by single spaces.
@@ -69,10 +70,11 @@ class Searcher:
             self.automaton.add_word(seed, (len(seed), of))
         self.automaton.make_automaton()
         self.patterns = [regex.compile(f"(?b)(?:{regex.escape(notice)}){{e<={edits}}}") for notice, _, edits in notices]
+        self.whole: dict[tuple[int, int], regex.Pattern] = {}  # by notice and edits, compiled when needed
 
     def spans(self, text: str) -> list[tuple[int, int, str, int]]:
         """(start, end, label, edits) of the notices in a text of words joined by spaces, each around
-        at least one seed; of those that overlap one after another, the nearest match."""
+        at least one seed; of two that share more than half of the shorter one, the nearer match."""
         near: dict[int, list[int]] = {}
         for end, (n, of) in self.automaton.iter(text):
             for k, at in of:
@@ -88,18 +90,37 @@ class Searcher:
                 else:
                     windows.append([a, b])
             for a, b in windows:
-                for m in self.patterns[k].finditer(text, a, b):
-                    out.append((m.start(), m.end(), label, sum(m.fuzzy_counts)))
+                out += [(x, y, label, e) for x, y, e in self.matches(k, text, a, b)]
         kept: list[tuple[int, int, str, int]] = []
-        reach = 0
-        best: list[tuple[int, int, str, int]] = []
-        for span in [*sorted(out), (len(text) + 1, len(text) + 1, "", 0)]:
-            if span[0] >= reach and best:  # of spans that overlap, the one with the fewest edits for its length
-                kept.append(min(best, key=lambda x: (x[3] / (x[1] - x[0]), x)))
-                best = []
-            best.append(span)
-            reach = max(reach, span[1]) if len(best) > 1 else span[1]
-        return kept
+        for span in sorted(out, key=lambda x: (x[3] / (x[1] - x[0]), x)):  # the fewest edits for their length first
+            if all(2 * (min(span[1], x[1]) - max(span[0], x[0])) <= min(span[1] - span[0], x[1] - x[0]) for x in kept):
+                kept.append(span)
+        return sorted(kept)
+
+    def matches(self, k: int, text: str, start: int, end: int) -> list[tuple[int, int, int]]:
+        """(start, end, edits) of a notice in a window: the best match, then those before and after it."""
+        notice, _, edits = self.notices[k]
+        found, rest = [], [(start, end)]
+        while rest:
+            a, b = rest.pop()
+            m = self.patterns[k].search(text, a, b) if b - a >= len(notice) - edits else None
+            if m:
+                x, y, e = self.tight(k, text, m.start(), m.end(), sum(m.fuzzy_counts))
+                found.append((x, y, e))
+                rest += [(a, x), (y, b)]
+        return found
+
+    def tight(self, k: int, text: str, a: int, b: int, edits: int) -> tuple[int, int, int]:
+        """A match without characters at its edges that save no edit: those belong to its neighbours."""
+        if edits:
+            if (k, edits) not in self.whole:
+                self.whole[k, edits] = regex.compile(f"(?:{regex.escape(self.notices[k][0])}){{e<={edits}}}")
+            fits = self.whole[k, edits].fullmatch
+            while b - a > 1 and fits(text, a + 1, b):
+                a += 1
+            while b - a > 1 and fits(text, a, b - 1):
+                b -= 1
+        return a, b, edits
 
 
 def base_places(words: list[bytes]) -> list[tuple[int, str]]:

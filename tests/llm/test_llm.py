@@ -207,6 +207,23 @@ def test_licenses(spark):
             assert any(s[2] == label for s in search.spans("some words " + "".join(t) + " more words")), (notice, "".join(t))
 
 
+def test_licenses_side_by_side():
+    """A damaged notice doesn't disappear beside another, before or after it."""
+    search = license_fuzzy.Searcher()
+    labels = lambda t: [s[2] for s in search.spans(t)]
+    assert search.spans("all rights reserved distribution and use in source and binary forms") == [(0, 19, "reserved", 0), (20, 67, "bsd", 2)]
+    assert search.spans("released under the mit lice all rights reserved") == [(0, 27, "mit", 3), (28, 47, "reserved", 0)]
+    assert labels("all rights reservedistribution and use in source and binary forms") == ["reserved", "bsd"]
+    # the best match of a window is neither the first nor the last
+    assert search.spans("all rghts reserved all rights reserved all rights reservd") == [(0, 18, "reserved", 1), (19, 38, "reserved", 0), (39, 57, "reserved", 1)]
+    # two readings of one place are one notice
+    assert search.spans("licensed under cc by nc 4 0") == [(0, 27, "cc-by-nc", 0)]
+    # any two neighbours, damaged inside
+    for (a, x, _), (b, y, _) in itertools.permutations(license_fuzzy.NOTICES, 2):
+        t = f"some {a[:7]}{a[8:]} {b[:4]}z{b[5:]} words"
+        assert {x, y} <= set(labels(t)), t
+
+
 def test_exact_dedup(spark):
     texts = [*edge_texts(), "A b c", "A\tb c", "", "A b c"]
     ids = [*range(len(texts) - 1), 4]
