@@ -146,6 +146,21 @@ def test_secrets(spark):
     assert secret_scan.report(frame(spark, [])).count() == 0
 
 
+def test_secrets_of_letters_and_short(spark):
+    """Random strings without digits and keys of 16 characters are found; names, rules and numbers are not."""
+    draw = random.Random(11)
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
+    keys = ["".join(draw.choice(a) for _ in range(n)) for a in (letters, letters + "0123456789") for n in (16, 17, 19, 20, 32) for _ in range(20)]
+    names = ["MAX_RETRY_COUNT_VALUE", "state-of-the-art-technology", "mother-in-law-like", "getUserAccountDetails", "path/to/some/file", "IMG_20240115_101530", "-" * 30, "=" * 20, "_" * 16, "x" * 40, "4183418637171908", "2024-01-15-2024-01-16"]
+    corpus = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    model = secret_scan.train(secret_scan.random_samples(spark).unionByName(secret_scan.identifier_samples(corpus)))
+    texts = [f"see {k} there" for k in keys + names]
+    found = {r.doc_id: r.w for r in secret_scan.spans(frame(spark, texts), model).select("doc_id", secret_scan.written(F.col("spans")).alias("w")).collect()}
+    missed = [k for i, k in enumerate(keys) if found[i] != f"markov:4:{4 + len(k)}"]
+    assert len(missed) <= 2, missed
+    assert not [k for i, k in enumerate(names, len(keys)) if found[i]]
+
+
 def test_decontaminate(spark):
     bench = spark.createDataFrame([(1, " ".join(f"b{i}" for i in range(14))), (2, "Short item"), (3, None), (4, "")], "item_id long, text string")
     hit = "x B3 b4, b5-b6 b7 b8 b9 b10 b11 b12 y"
