@@ -106,11 +106,18 @@ def exact_slice_roundtrip(spark, d):
 
 def paragraph_content_class(spark, d):
     docs = corpus.plain_documents(spark, d)
-    head = F.substring(F.regexp_replace("text", r"\n", " "), 1, 40)
-    said = F.element_at(F.array(head, F.concat(F.lit("```\n"), head, F.lit("\n```")), F.concat(F.lit("    "), head), F.concat(F.lit("a | b\n--- | ---\n"), head)), (F.col("doc_id") % 4 + 1).cast("int"))
+    whole = F.col("text")
+    said = F.element_at(F.array(whole, F.concat(F.lit("```\n"), whole, F.lit("\n```")), F.concat(F.lit("    "), F.replace(whole, F.lit("\n"), F.lit("\n    "))), F.concat(F.lit("a | b\n--- | ---\n"), whole)), (F.col("doc_id") % 4 + 1).cast("int"))
     return docs.select("doc_id", text.fallback_class(said).alias("content_class"))
 
 
+def paragraph_classes(spark, d):
+    """Classes of all paragraphs of all documents and conversations, as they stand in their texts."""
+    both = (corpus.plain_sections(corpus.plain_documents(spark, d)).drop("doc_id"), corpus.joined_chats(spark, d))
+    docs, chats = (units.paragraphs(s).select("document_id", F.col("paragraph_index").cast("long").alias("paragraph_index"), "range_start", "range_end", "content_class") for s in both)
+    return docs.unionByName(chats)
+
+
 def _plain_units(spark, d):
     docs = corpus.plain_documents(spark, d)
     secs = corpus.plain_sections(docs)
@@ -251,7 +258,7 @@ QUERIES: dict[str, Query] = {
     for f in (
         ingest_document_identity, normalized_hash_flat, normalized_hash_tree, section_catalog, section_count_budget, outline_depth_limited, outline_first_n,
         ancestors, children, siblings, section_neighbours, render_section_tree, read_page, paragraph_units, paragraph_coverage, paragraph_ids, exact_slice_roundtrip,
-        paragraph_content_class, sentence_units, sentence_coverage, token_postings, document_frequency, lexical_candidates, search_all_tokens, text_unit_page,
+        paragraph_content_class, paragraph_classes, sentence_units, sentence_coverage, token_postings, document_frequency, lexical_candidates, search_all_tokens, text_unit_page,
         text_unit_page_backward, atomic_item_budget, locator_resolution, html_documents, html_sections, html_paragraphs, html_block_checks, html_coverage, json_properties,
     )
 } | {"search_rank_phrase": search_rank_phrase, "search_rank_bm25": search_rank_bm25}

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from quire.functions import text
 from quire.operators import blocks, lexical, tree, units
+from quire.plans import queries
 from quire.plans.store import Store
 from quire.plans.verbs import InvalidRequest, Library
 from quire.sources import files, router
@@ -207,3 +208,18 @@ def test_entry_and_contract(spark):
 
     assert set(e.oracle_sql()) <= set(e.queries())
     assert e.entry(spark).limit(1).count() == 1
+
+
+def test_classes_of_whole_paragraphs(spark, tmp_path):
+    """Every paragraph of a text is classified by its own lines, wherever it stands."""
+    long = "Prose that goes on for far more than forty characters in its first line.\nAnd on.\n\n"
+    texts = [(4, long + "```\ncode\n```\n\na | b\n--- | ---\n1 | 2\n\n    indented\n    more\n\nEnd."), (8, "x | y of a first line of more than forty characters here\n--- | ---\n1 | 2"), (5, None)]
+    spark.createDataFrame(texts, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(1, 0, "user", "See:\n\n~~~\nrun\n~~~"), (1, 1, "assistant", "Done.")], "conv_id long, turn int, role string, text string").write.parquet(str(tmp_path / "conversations.parquet"))
+    rows = queries.paragraph_classes(spark, str(tmp_path)).collect()
+    got = {}
+    for r in sorted(rows, key=lambda r: (r.document_id, r.paragraph_index)):
+        got.setdefault(r.document_id, []).append(r.content_class)
+    prose = "prose_or_unknown"
+    assert sorted(got.values()) == sorted([[prose, "code_block", "table", "code_block", prose], ["table"], [prose, "code_block", prose]])
+    assert {r.doc_id: r.content_class for r in queries.paragraph_content_class(spark, str(tmp_path)).collect()}[8] == "table"
