@@ -55,12 +55,13 @@ def rank_phrase(units: DataFrame, queries: DataFrame, limit: int = 10, per: tupl
     return _top(m, [F.desc("score"), "kind_order", "document_id", "section_id", F.coalesce("range_start", F.lit(0)), "source_order"], limit, list(per))
 
 
-def rank_bm25(units: DataFrame, queries: DataFrame, limit: int = 10, per: tuple[str, ...] = ("query_id",), k1: float = 1.2, b: float = 0.75) -> DataFrame:
+def rank_bm25(units: DataFrame, queries: DataFrame, limit: int = 10, per: tuple[str, ...] = ("query_id",), k1: float = 1.2, b: float = 0.75, whole: DataFrame | None = None) -> DataFrame:
     """BM25 over distinct tokens: within a query, order is by number of tokens, then place. The score
-    is 1 / (1 + rank), with counts over all documents."""
+    is 1 / (1 + rank), with counts over all documents: those of whole, where units are only a part."""
+    whole = units if whole is None else whole
     m = matches(units, queries)
-    totals = units.agg(F.count("*").alias("n_units"), F.avg(F.size("tokens")).alias("avg_len"))  # one row
-    q = queries.select("query_id", F.explode(text.tokens(F.trim("query"))).alias("token")).join(document_frequency(units), "token")
+    totals = whole.agg(F.count("*").alias("n_units"), F.avg(F.size("tokens")).alias("avg_len"))  # one row
+    q = queries.select("query_id", F.explode(text.tokens(F.trim("query"))).alias("token")).join(document_frequency(whole), "token")
     idf = F.log((F.col("n_units") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weights = q.join(F.broadcast(totals)).withColumn("idf", F.when(idf > 0, idf).otherwise(1e-6)).groupBy("query_id").agg(F.sum("idf").alias("idf"), F.first("avg_len").alias("avg_len"))
     m = m.withColumn("n_tokens", F.size("tokens")).join(weights, "query_id")

@@ -60,7 +60,7 @@ class Library:
         self.store.ensure()
         own = self.store.table("lexical_units", document_id)
         q = self.spark.createDataFrame([(0, query.strip())], "query_id int, query string")
-        ranked = lexical.rank_bm25(own, q, limit) if rank == "bm25" else lexical.rank_phrase(own, q, limit)
+        ranked = lexical.rank_bm25(own, q, limit, whole=self.store.table("lexical_units")) if rank == "bm25" else lexical.rank_phrase(own, q, limit)
         titles = self.store.table("sections", document_id).select("section_id", "title")
         return ranked.join(titles, "section_id").select("rank", "section_id", "title", "kind", "paragraph_index", "sentence_index", "snippet", "score").orderBy("rank")
 

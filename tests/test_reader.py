@@ -210,6 +210,24 @@ def test_entry_and_contract(spark):
     assert e.entry(spark).limit(1).count() == 1
 
 
+def test_search_scores_use_the_whole_store(spark):
+    class Tables:
+        """A store of two documents in memory."""
+
+        rows = [("a", "s", 0, "section", 0, 0, "s", "s", "A", ["a"]), ("a", "s", 1, "paragraph", 1, 0, "s", "s", "x", ["replacement", "works"]), ("b", "s", 0, "section", 0, 0, "s", "s", "B", ["b"]), ("b", "s", 1, "paragraph", 1, 0, "s", "s", "y", ["nothing", "of", "it", "here"])]
+        units = spark.createDataFrame(rows, "document_id string, section_id string, source_order int, kind string, paragraph_index int, sentence_index int, snippet string, text string, unused string, tokens array<string>")
+
+        def ensure(self):
+            pass
+
+        def table(self, name, document_id=None):
+            found = self.units if name == "lexical_units" else spark.createDataFrame([("a", "s", "A"), ("b", "s", "B")], "document_id string, section_id string, title string")
+            return found if document_id is None else found.where(F.col("document_id") == document_id)
+
+    (hit,) = Library(spark, Tables(), []).search_document("a", "replacement").collect()
+    assert hit.score == pytest.approx(lexical.bm25_score(lexical.idf(4, 1), 2, 2.0))
+
+
 def test_classes_of_whole_paragraphs(spark, tmp_path):
     """Every paragraph of a text is classified by its own lines, wherever it stands."""
     long = "Prose that goes on for far more than forty characters in its first line.\nAnd on.\n\n"
