@@ -5,18 +5,23 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import cut, if_small
+from .shared import cut, if_small, last_only
 
 MAX_ROUNDS = 100
 
 
 def label(edges: DataFrame, max_broadcast_rows: int = 500_000) -> DataFrame:
     """(node, label): the smallest node of each node's component, for the nodes of edges (a, b).
+    Edges with a null end are ignored, repeated ones and loops change nothing, no edges give no rows.
 
     Each round lowers a node's label to the least among its neighbours, hooks the trees that labels
     form onto each other, and shortens their paths, so that rounds grow with the logarithm of a
     component's diameter. Every round is written to the shared folder. edges is a table already
     written, so that counting it reads footers only."""
+    return last_only(edges.sparkSession, lambda: _label(edges, max_broadcast_rows))
+
+
+def _label(edges: DataFrame, max_broadcast_rows: int) -> DataFrame:
     rows = 2 * edges.count()
     both = cut(edges.select("a", "b").union(edges.select("b", "a")).where("a <> b").distinct(), "edges", rows)
     now = cut(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("label")), "labels", rows)

@@ -10,24 +10,29 @@ whole corpus (tables of fixed size of hashed counters; counters may overestimate
 gives the same links).
 
 A group of near copies is not expanded into all its pairs. Documents with equal sets are one class.
-Among classes that share a token, each is first paired with a few centres only (ROUNDS times, with
-other centres); verified links are joined to components, and what is left to compare are pairs of
-classes that share a token but not a component. That last step has no limit and no choice of
-centres, so that no link between components is lost; bits of parity, which two sets differ in at
-most as often as in tokens, rule out most of its pairs inside the join.
-
-Shingles are compared as 64-bit hashes of their words. Links are exact in integers:
+Among classes that share a token and are of like size, each is first paired with a few centres only
+(ROUNDS times, with other centres); verified links are joined to components, and what is left to
+compare are pairs of classes that share a token but not a component. No link between components is
+lost: where a token has at most LIGHT members outside its largest component, these are compared with
+all; where it has more, members are dealt again by the tokens in which they differ from a centre, of
+which linked ones must share one that is among the first of both (see Corpus._differences). What is
+still crowded after LEVELS times is compared pair by pair too.
+
+Words are told by 62 bits of polynomials modulo a prime, shingles by 64 bits of those, and equal sets
+by 128 bits. Links are verified on other hashes, of the shingles' own bytes, and exact in integers:
 100 * intersection >= threshold * union.
 
 Defined results: null and empty texts, and texts without words, have no shingles and are linked with
-nothing (component: their own id); fewer words than a shingle's are one shingle; a null id belongs to
-its component, whose smallest id is null only if all are; repeated rows each give a row; an empty
-table gives an empty result; extra columns are ignored by `components` and kept by `keep_first`.
+nothing (component: their own id); fewer words than a shingle's are one shingle; ids may be of any type
+that can be compared; a null id belongs to its component, whose smallest id is null only if all are;
+repeated rows each give a row; an empty table gives an empty result; extra columns are ignored by
+`components` and kept by `keep_first`.
 """
 
 from __future__ import annotations
 
 import functools
+import math
 import operator
 import re
 import zlib
@@ -40,7 +45,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import label
-from .shared import cut, if_small, salted_left_join, text_key, without
+from .shared import cut, if_small, last_only, one_of_each, salted_left_join, text_key, without
 
 #: Counters of the corpus-wide token counts: 2 ** SKETCH_BITS, in so many blocks.
 SKETCH_BITS, SKETCH_BLOCKS = 20, 16
@@ -48,6 +53,9 @@ SKETCH_BITS, SKETCH_BLOCKS = 20, 16
 ORDERS, CENTRES, ROUNDS = 3, 4, 2
 #: Bits of the parity filter: in the last join, and for single pairs. Powers of two.
 BITS, WIDE = 512, 2048
+#: Keys with at most so many members outside their largest component are compared pair by pair; the
+#: members of others are dealt again, so many times at most, by what tells them from a centre.
+LIGHT, LEVELS = 16, 4
 _U = np.uint64
 _ODD = [_U(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5)]
 
@@ -64,34 +72,58 @@ def _draws(n: int, seed: int) -> np.ndarray:
 
 #: Words are hashed in pieces of about so many bytes.
 PIECE = 1 << 18
-_BASE = 0x5851F42D4C957F2B  # odd, 3 modulo 8
+#: A prime modulus (modulo a power of two, words as short as 1024 letters can be built that collide
+#: under any base) and two bases.
+PRIME = (1 << 31) - 1
+BASES = (1_021_834_919, 1_719_436_253)
+_P, _P_BITS = _U(PRIME), _U(31)
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
-_LETTER = _draws(256, 7)
+_LETTER = _draws(256, 7) % _P
 _LETTER[65:91] = _LETTER[97:123]  # A-Z count as a-z
 
 
+def _fold(x: np.ndarray) -> np.ndarray:
+    """x modulo PRIME, but for a multiple of PRIME that the rest may be too large by."""
+    return (x & _P) + (x >> _P_BITS)
+
+
+def _rest(x: np.ndarray) -> np.ndarray:
+    x = _fold(_fold(x))
+    return np.where(x >= _P, x - _P, x)
+
+
+def _powers(base: int, n: int) -> np.ndarray:
+    """The first n powers of base, by doubling."""
+    out = np.ones(1, np.uint64)
+    while len(out) < n:
+        out = np.concatenate((out, _rest(out * _U(pow(base, len(out), PRIME)))))
+    return out[:n]
+
+
 class Words:
-    """64-bit hashes of the words of texts, all words of a piece at once: a running sum of a byte's
-    value times a power of the base, differences of which are the words' polynomials."""
+    """62-bit hashes of the words of texts, all words of a piece at once: running sums of a byte's value
+    times a power of each base, differences of which are the words' polynomials modulo PRIME."""
 
     def __init__(self):
         self._grow(2 * PIECE)
 
     def _grow(self, n: int) -> None:
-        self.power = np.concatenate(([_U(1)], np.full(n - 1, _BASE, np.uint64))).cumprod(dtype=np.uint64)
-        self.inverse = np.concatenate(([_U(1)], np.full(n - 1, pow(_BASE, -1, 1 << 64), np.uint64))).cumprod(dtype=np.uint64)
+        self.powers = [(_powers(b, n), _powers(pow(b, -1, PRIME), n)) for b in BASES]
 
     def piece(self, raw: bytes) -> tuple[np.ndarray, np.ndarray]:
         """Where words start, and their hashes."""
         a = np.frombuffer(raw, np.uint8)
-        if len(a) > len(self.power):
+        if len(a) > len(self.powers[0][0]):
             self._grow(len(a))
         gap = np.concatenate(([True], _SPACE[a], [True]))
         edge = np.flatnonzero(gap[1:] != gap[:-1])
         first, last = edge[::2], edge[1::2]
-        total = np.concatenate(([_U(0)], np.cumsum(_LETTER[a] * self.power[: len(a)], dtype=np.uint64)))
-        return first, mix((total[last] - total[first]) * self.inverse[first] + (last - first).astype(np.uint64))
+        letters, both = _LETTER[a], []
+        for power, inverse in self.powers:
+            total = np.concatenate(([_U(0)], np.cumsum(_fold(letters * power[: len(a)]), dtype=np.uint64)))
+            both.append(_rest(_rest(total[last] - total[first]) * inverse[first]))
+        return first, mix(((both[0] << _P_BITS) | both[1]) + _ODD[3] * (last - first).astype(np.uint64))
 
     def of(self, texts: list[str | None]) -> list[np.ndarray]:
         """The hashes of each text's words."""
@@ -175,7 +207,7 @@ def prefix(s: np.ndarray, common: np.ndarray, levels: np.ndarray, order: int, pe
     rank = rank_of(s, levels, order)
     if order == 0:
         rank |= common << _U(44)
-    return s[np.argpartition(rank, size - 1)[:size]] if size < len(s) else s
+    return s[rank <= np.partition(rank, size - 1)[size - 1]] if size < len(s) else s  # with all that tie with the last
 
 
 def parity(s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -196,8 +228,26 @@ def most_apart(n: int, m: int, percent: int) -> int:
     return n + m - 2 * ((percent * (n + m) + 99 + percent) // (100 + percent))
 
 
-def set_key(s: np.ndarray) -> int:
-    return xxhash.xxh3_64_intdigest(s.tobytes()) - (1 << 63) if len(s) else 0
+def set_keys(s: np.ndarray) -> tuple[int, int]:
+    """128 bits of a set, as two longs; the first is its class."""
+    d = xxhash.xxh3_128_digest(s.tobytes())
+    return (int.from_bytes(d[:8], "little", signed=True), int.from_bytes(d[8:], "little", signed=True)) if len(s) else (0, 0)
+
+
+def class_of(keys: tuple[int, int], clash: frozenset) -> int:
+    """The class of a set: sets whose first 64 bits are those of another set are told by all 128."""
+    return keys[0] ^ keys[1] if keys[0] in clash else keys[0]
+
+
+_WORD = re.compile(rb"[^\x20\x09-\x0D]+")
+
+
+def exact_set(text: str | None, width: int) -> np.ndarray:
+    """Hashes of the bytes of a text's shingles, which owe nothing to the words' own hashes."""
+    words = _WORD.findall((text or "").encode("utf-8", "surrogatepass").lower())
+    k = min(width, len(words))
+    found = {xxhash.xxh3_64_intdigest(b" ".join(words[i : i + k])) for i in range(len(words) - k + 1)} if k else set()
+    return np.sort(np.fromiter(found, np.uint64, len(found)))
 
 
 def word_levels(total: np.ndarray) -> np.ndarray:
@@ -215,39 +265,37 @@ def levels(total: np.ndarray) -> np.ndarray:
 ROWS = 1000
 
 
-def _small(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _small(batches: Iterator[pa.RecordBatch], rows: int = ROWS) -> Iterator[pa.RecordBatch]:
     """Batches of few rows, so that a worker holds few sets."""
     for b in batches:
-        for at in range(0, b.num_rows, ROWS):
-            yield b.slice(at, ROWS)
-
-
-_ROWS = "kind int, id long, tkey long, n long, class long, block int, counts binary"
+        for at in range(0, b.num_rows, rows):
+            yield b.slice(at, rows)
 
 
 def _rows(docs: DataFrame, width: int) -> DataFrame:
-    """kind 0: id, size of the set and class of every document; kind 1: each task's token counts."""
+    """kind 0: id, size of the set and 128 bits of it of every document; kind 1: each task's token counts."""
     cells = 1 << SKETCH_BITS
     per = cells // SKETCH_BLOCKS
+    names = ["kind", "id", "tkey", "n", "class", "more", "block", "counts"]
+    schema = f"kind int, id {docs.schema['id'].dataType.simpleString()}, tkey long, n long, class long, more long, block int, counts binary"
 
     def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, total = Words(), np.zeros((2, cells), np.int64)
-        kinds = (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary())
-        names = _ROWS.replace(",", "").split()[::2]
+        words, total, id_type = Words(), np.zeros((2, cells), np.int64), None
         for b in _small(batches):
+            id_type, m = b.schema.field(0).type, b.num_rows
             each = words.of(b.column(2).to_pylist())
             sets = [shingles(h, width) for h in each]
             if sets:
                 total[0] += np.bincount(_cells(np.concatenate(sets)), minlength=cells)
                 total[1] += np.bincount(_cells(np.concatenate(each)), minlength=cells)
-            m = len(sets)
-            yield pa.RecordBatch.from_arrays([pa.array([0] * m, kinds[0]), b.column(0), b.column(1), pa.array([len(s) for s in sets], kinds[3]), pa.array([set_key(s) for s in sets], kinds[4]), pa.nulls(m, kinds[5]), pa.nulls(m, kinds[6])], names)
+            keys = [set_keys(s) for s in sets]
+            yield pa.RecordBatch.from_arrays([pa.array([0] * m, pa.int32()), b.column(0), b.column(1), pa.array([len(s) for s in sets], pa.int64()), *[pa.array([k[i] for k in keys], pa.int64()) for i in (0, 1)], pa.nulls(m, pa.int32()), pa.nulls(m, pa.binary())], names)
         if total.any():
             flat, m = total.ravel(), 2 * SKETCH_BLOCKS
             packed = [zlib.compress(flat[k * per : (k + 1) * per].astype("<i8").tobytes(), 1) for k in range(m)]
-            yield pa.RecordBatch.from_arrays([pa.array([1] * m, kinds[0]), *[pa.nulls(m, k) for k in kinds[1:5]], pa.array(range(m), kinds[5]), pa.array(packed, kinds[6])], names)
+            yield pa.RecordBatch.from_arrays([pa.array([1] * m, pa.int32()), pa.nulls(m, id_type), *[pa.nulls(m, pa.int64())] * 4, pa.array(range(m), pa.int32()), pa.array(packed, pa.binary())], names)
 
-    return docs.mapInArrow(part, _ROWS)
+    return docs.mapInArrow(part, schema)
 
 
 def _add(pdf):
@@ -274,25 +322,27 @@ def _prefixes(docs: DataFrame, width: int, percent: int, held) -> DataFrame:
     """class, size, parity bits and prefix under each order of the sets that aren't empty."""
 
     def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, (high, rare) = Words(), held.value
+        words, (high, rare, clash) = Words(), held.value
         for b in _small(batches):
             both = [rated(h, width, rare) for h in words.of(b.column(2).to_pylist()) if len(h)]
             sets, many = [s for s, _ in both], pa.list_(pa.int64())
             odd = [parity(s) for s in sets]
             cols = [pa.array([np.sort(prefix(s, c, high, k, percent).view(np.int64)) for s, c in both], many) for k in range(ORDERS)]
-            yield pa.RecordBatch.from_arrays([pa.array([set_key(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int32()), *[pa.array([p[k] for p in odd], many) for k in (0, 1)], *cols], ["class", "n", "bits", "wide", *[f"p{k}" for k in range(ORDERS)]])
+            yield pa.RecordBatch.from_arrays([pa.array([class_of(set_keys(s), clash) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int32()), *[pa.array([p[k] for p in odd], many) for k in (0, 1)], *cols], ["class", "n", "bits", "wide", *[f"p{k}" for k in range(ORDERS)]])
 
     return docs.mapInArrow(part, "class long, n int, bits array<long>, wide array<long>, " + ", ".join(f"p{k} array<long>" for k in range(ORDERS)))
 
 
-def _sets(docs: DataFrame, width: int) -> DataFrame:
-    """class and its set."""
+def _sets(docs: DataFrame, width: int, held, exact: bool) -> DataFrame:
+    """class and its set: of shingles' hashes as everywhere here, or exact_set()."""
 
     def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = Words()
+        words, clash = Words(), held.value[2]
         for b in _small(batches):
-            sets = [shingles(h, width) for h in words.of(b.column(2).to_pylist()) if len(h)]
-            yield pa.RecordBatch.from_arrays([pa.array([set_key(s) for s in sets], pa.int64()), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], ["class", "tokens"])
+            texts = b.column(2).to_pylist()
+            both = [(shingles(h, width), t) for h, t in zip(words.of(texts), texts, strict=True) if len(h)]
+            sets = [exact_set(t, width) if exact else s for s, t in both]
+            yield pa.RecordBatch.from_arrays([pa.array([class_of(set_keys(s), clash) for s, _ in both], pa.int64()), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], ["class", "tokens"])
 
     return docs.mapInArrow(part, "class long, tokens array<long>")
 
@@ -304,6 +354,10 @@ def _with_both(pairs: DataFrame, of: DataFrame, columns: list[str]) -> DataFrame
     return pairs.join(left, pairs["a"] == F.col("_a")).join(right, F.col("b") == F.col("_b")).drop("_a", "_b")
 
 
+def _unsigned(column: pa.Array, row: int) -> np.ndarray:
+    return column[row].values.to_numpy(zero_copy_only=False).view(np.uint64)
+
+
 class Corpus:
     """What pairs are tested against: documents that stand for their class, and prefixes by class."""
 
@@ -327,7 +381,7 @@ class Corpus:
                 for i in range(len(b)):
                     most, ok = most_apart(b.column(2)[i].as_py(), b.column(2 + ORDERS)[i].as_py(), percent), True
                     for k in orders:
-                        x, y = (rank_of(b.column(c)[i].values.to_numpy(zero_copy_only=False).view(np.uint64), levels, k) for c in (2 + k, 2 + ORDERS + k))
+                        x, y = (rank_of(_unsigned(b.column(c), i), levels, k) for c in (2 + k, 2 + ORDERS + k))
                         both = np.intersect1d(x, y)
                         reach = min(x.max(), y.max())
                         apart = (x <= reach).sum() + (y <= reach).sum() - 2 * (both <= reach).sum()
@@ -343,26 +397,116 @@ class Corpus:
         named = cut(pairs.select(F.col("a").alias("class")).union(pairs.select(F.col("b").alias("class"))).distinct(), "named", 2 * pairs.count())
         return self.prefixes.select("class", *columns).join(if_small(named, 1_000_000), "class", "left_semi")
 
+    def sets(self, pairs: DataFrame, exact: bool) -> DataFrame:
+        """The sets of the classes that pairs, a written table, name, read again from their texts."""
+        named = pairs.select(F.col("a").alias("class")).union(pairs.select(F.col("b").alias("class"))).distinct()
+        wanted = cut(self.reps.join(named, "class", "left_semi"), "wanted", 2 * pairs.count() + self.many)
+        return cut(self.once(_sets(of_rows(self.docs, wanted), self.width, self.held, exact)), "sets")
+
     def links(self, pairs: DataFrame) -> DataFrame:
-        """The pairs whose whole sets reach the threshold, read again from the texts of the classes they name."""
+        """The pairs whose whole sets reach the threshold."""
+        return last_only(pairs.sparkSession, lambda: self._links(pairs))
+
+    def _links(self, pairs: DataFrame) -> DataFrame:
         passed = cut(self.filtered(pairs), "passed", pairs.count() + self.many)  # both are counts of written tables
-        named = passed.select(F.col("a").alias("class")).union(passed.select(F.col("b").alias("class"))).distinct()
-        wanted = cut(self.reps.join(named, "class", "left_semi"), "wanted", 2 * passed.count() + self.many)
-        some = of_rows(self.docs, wanted)
-        sets = cut(self.once(_sets(some, self.width)), "sets")
-        percent = self.percent
+        sets, percent = self.sets(passed, exact=True), self.percent
 
         def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
                 keep = []
                 for i in range(len(b)):
-                    x, y = (b.column(k)[i].values.to_numpy(zero_copy_only=False) for k in (2, 3))
+                    x, y = (_unsigned(b.column(k), i) for k in (2, 3))
                     both = len(np.intersect1d(x, y, assume_unique=True))
                     keep.append(100 * both >= percent * (len(x) + len(y) - both))
                 yield b.filter(pa.array(keep, pa.bool_())).select([0, 1])
 
         return cut(_with_both(passed, sets, ["tokens"]).mapInArrow(verify, "a long, b long"), "links")
 
+    def others(self, met: DataFrame, labels: DataFrame) -> DataFrame:
+        """All pairs (a < b) of classes in different components that may be linked, from the keys they share."""
+        return last_only(met.sparkSession, lambda: self._others(met, labels))
+
+    def _others(self, met: DataFrame, labels: DataFrame) -> DataFrame:
+        found, met = [], met.withColumn("side", F.lit(0))
+        for level in range(LEVELS + 1):
+            at = _mixed(met, labels)
+            heavy = cut(at.where(F.col("others") > LIGHT).select("token", "class"), "heavy") if level < LEVELS else None
+            found.append(cut(self._in_keys(at if heavy is None else at.where(F.col("others") <= LIGHT)), "in-keys"))
+            if heavy is None or not heavy.count():
+                break
+            to = self._to_centres(heavy)
+            found.append(to.select("a", "b"))
+            met = self._differences(to)
+        return cut(functools.reduce(DataFrame.union, found).distinct(), "others")
+
+    def _in_keys(self, at: DataFrame) -> DataFrame:
+        """Pairs of a key's members in different components, one of which isn't the key's largest; members
+        of keys with very many rows are dealt over several tasks."""
+        at = at.join(self.prefixes.select("class", "bits"), "class")
+        salts = F.ceil(F.col("all") / 50_000).cast("int")
+        big = at.withColumn("salt", F.pmod(F.xxhash64("class"), salts).cast("int"))
+        few = at.where("label <> main").select(F.explode(F.sequence(F.lit(0), salts - 1)).alias("_s"), *[F.col(c).alias(f"_{c}") for c in ("token", "class", "n", "label", "bits", "side")])
+        same = (F.col("token") == F.col("_token")) & (F.col("salt") == F.col("_s")) & (F.col("label") != F.col("_label")) & ((F.col("label") == F.col("main")) | (F.col("class") < F.col("_class")))
+        of_use = ((F.col("side") == 0) | (F.col("side") != F.col("_side"))) & _near(self.percent, "n", "_n") & _close(self.percent, BITS, "n", "_n", "bits", "_bits")
+        return big.join(few, same & of_use).select(F.least("class", "_class").alias("a"), F.greatest("class", "_class").alias("b")).distinct()
+
+    def _to_centres(self, heavy: DataFrame) -> DataFrame:
+        """class, centre, and both as a pair (a, b): one member of each key is its centre, by a hash, so
+        that keys with much the same members have the same one."""
+        centre = heavy.groupBy("token").agg(F.min_by("class", F.xxhash64("class", F.lit("centre"))).alias("centre"))
+        to = heavy.join(centre, "token").where("class <> centre").select("class", "centre").distinct()
+        return cut(to.withColumn("a", F.least("class", "centre")).withColumn("b", F.greatest("class", "centre")), "to-centres")
+
+    def _differences(self, to: DataFrame) -> DataFrame:
+        """(token, class, n, side): the members of keys dealt again by how they differ from a centre.
+
+        For sets x, y and their centre c, x and y differ in |X| + |Y| - 2 |X and Y| tokens, X and Y being
+        their differences from c. If they differ in at most k, X and Y share o = (|X| + |Y| - k) / 2 tokens
+        or more. Where o <= 0, both are linked to c by the triangle inequality, and so already joined
+        through c. Else the first |X| - o + 1 tokens of X and |Y| - o + 1 of Y, under any one order, share
+        one. The order of a centre has what a member adds first, which few others do. Of two members in
+        different components, at most one is linked to c. Keys of side 0 are for pairs of which neither
+        is, those of sides 1 (is) and 2 (isn't) for the rest: each bounds the other's difference, and so o."""
+        held, percent = self.held, self.percent
+        sets = self.sets(to, exact=False)
+        own = to.join(sets, "class").withColumnRenamed("tokens", "x")
+        both = salted_left_join(own, sets.select(F.col("class").alias("centre"), F.col("tokens").alias("y")), ["centre"], F.col("class"))
+
+        def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            high = held.value[0]
+            for b in _small(batches, 200):
+                out = [differing(_unsigned(b.column(2), i), _unsigned(b.column(3), i), b.column(1)[i].as_py(), high, percent) for i in range(len(b))]
+                keys, sides = (np.concatenate([o[k] for o in out]) for k in (0, 1))
+                times = [len(o[0]) for o in out]
+                classes, sizes = np.repeat(b.column(0).to_numpy(), times), np.repeat([len(b.column(2)[i]) for i in range(len(b))], times)
+                yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(classes, pa.int64()), pa.array(sizes, pa.int32()), pa.array(sides, pa.int32())], ["token", "class", "n", "side"])
+
+        dealt = cut(both.select("class", "centre", "x", "y").mapInArrow(part, "token long, class long, n int, side int"), "differences")
+        return _once_each(_of_several(dealt))
+
+
+def differing(x: np.ndarray, c: np.ndarray, centre: int, levels: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Keys and sides of a set: the first tokens of its difference from a centre (see _differences)."""
+    parts = []
+    for s, of in ((x, c), (c, x)):
+        s = s[np.isin(s, of, assume_unique=True, invert=True)]
+        parts.append(s[np.lexsort((s, rank_of(s, levels, 0)))])
+    both = np.concatenate(parts)
+    n, m, d = len(x), len(c), len(both)
+    most = n * (100 - percent) // percent  # in how many tokens x and what is linked to it differ at most
+    linked = (100 - percent) * (n + m) >= (100 + percent) * d
+    short = min(d, most + 1, max(0, ((100 + percent) * d + (100 - percent) * (n - m)) // (2 * (100 + percent)) + 1))
+    long = min(d, (d - 1 + most) // 2 + 1)
+    if linked:
+        taken = [(short, 1)]
+    elif (100 + percent) * (d - most) > (100 - percent) * (100 * n // percent + 1 + m):  # too far for what is linked to c
+        taken = [(short, 0)]
+    else:
+        taken = [(short, 0), (long, 2)]
+    salt = [mix(np.array([centre], np.int64).view(np.uint64) + _ODD[min(side, 1)]) for _, side in taken]
+    keys = [mix(both[:k] ^ q) for (k, _), q in zip(taken, salt, strict=True)]
+    return np.concatenate(keys), np.concatenate([np.full(len(q), side, np.int32) for q, (_, side) in zip(keys, taken, strict=True)])
+
 
 def of_rows(docs: DataFrame, rows: DataFrame) -> DataFrame:
     """The rows of docs (id, tkey, text) that rows (rid, rkey, ...) names."""
@@ -375,20 +519,28 @@ def classes_and_links(docs: DataFrame, width: int = 5, percent: int = 80, id_col
     classes with links."""
     spark = docs.sparkSession
     text = F.col(text_col)
-    d = docs.select(F.col(id_col).cast("long").alias("id"), text_key(text).alias("tkey"), text.alias("text"))
+    d = docs.select(F.col(id_col).alias("id"), text_key(text).alias("tkey"), text.alias("text"))
     both = cut(_rows(d, width), "shingle-rows")
-    rows = both.where("kind = 0").select("id", "tkey", "n", "class")
+    rows = both.where("kind = 0").select("id", "tkey", "n", "class", "more")
     of_shingles, of_words = corpus_counts(both)
-    held = spark.sparkContext.broadcast((levels(of_shingles), word_levels(of_words)))  # 2 ** SKETCH_BITS bytes each
-    first = rows.where("n > 0").groupBy("class").agg(F.min(F.struct("id", "tkey")).alias("r"))
-    reps = cut(first.select("class", F.col("r.id").alias("rid"), F.col("r.tkey").alias("rkey")), "representatives")
+
+    def representatives(rows: DataFrame) -> DataFrame:
+        first = rows.where("n > 0").groupBy("class").agg(F.min(F.struct("id", "tkey")).alias("r"), F.min("more").alias("lo"), F.max("more").alias("hi"))
+        return cut(first.select("class", F.col("r.id").alias("rid"), F.col("r.tkey").alias("rkey"), (F.col("lo") != F.col("hi")).alias("clash")), "representatives")
+
+    reps = representatives(rows)
+    clash = frozenset(r[0] for r in reps.where("clash").select("class").collect())  # one in ten at 10 ** 10 classes
+    if clash:
+        rows = rows.withColumn("class", F.when(F.col("class").isin(*clash), F.col("class").bitwiseXOR(F.col("more"))).otherwise(F.col("class")))
+        reps = representatives(rows)
+    held = spark.sparkContext.broadcast((levels(of_shingles), word_levels(of_words), clash))  # 2 ** SKETCH_BITS bytes each
     repeated = rows.groupBy("id", "tkey").count().where("count > 1").limit(1).count() > 0  # rows equal in id and text
     once = (lambda x: x.dropDuplicates(["class"])) if repeated else (lambda x: x)
     prefixes = cut(once(_prefixes(of_rows(d, reps), width, percent, held)), "prefixes")
     met = prefixes.select("class", "n", F.explode("p0").alias("token"))
     # tokens that several classes have
     shared = cut(met.groupBy("token").agg(F.min("class").alias("lo"), F.max("class").alias("hi")).where("lo < hi").select("token"), "shared")
-    met = _once_each(cut(met.join(shared, "token"), "shared-tokens"))
+    met = _once_each(_of_several(cut(_by_size(met.join(shared, "token"), percent), "shared-tokens")))
     corpus = Corpus(d, reps, prefixes, width, percent, once, held)
     links, labels, tested = None, None, None
     for k in range(ROUNDS):
@@ -397,29 +549,43 @@ def classes_and_links(docs: DataFrame, width: int = 5, percent: int = 80, id_col
         found = corpus.links(pairs)
         links = found if links is None else links.union(found)
         labels = label(links)
-    rest = cut(_other_pairs(met, prefixes.select("class", "bits"), labels, percent).join(tested, ["a", "b"], "left_anti"), "rest")
-    return rows, label(links.union(corpus.links(rest)))
+    rest = cut(corpus.others(met, labels).join(tested, ["a", "b"], "left_anti"), "rest")
+    return rows.drop("more"), label(links.union(corpus.links(rest)))
+
+
+def _by_size(met: DataFrame, percent: int) -> DataFrame:
+    """met with keys of a token and a range of sizes: sets whose sizes are within the threshold of each
+    other share one of the two ranges that each is dealt to."""
+    at = F.floor(F.log(F.col("n")) / (1.001 * math.log(100 / min(percent, 99)))).cast("int")
+    return met.select(F.explode(F.array(at, at + 1)).alias("_r"), "token", "class", "n").select(F.xxhash64("token", "_r").alias("token"), "class", "n")
+
+
+def _of_several(met: DataFrame) -> DataFrame:
+    """The rows of keys that several classes share."""
+    several = met.groupBy("token").agg(F.min("class").alias("lo"), F.max("class").alias("hi")).where("lo < hi").select("token")
+    return cut(met.join(several, "token", "left_semi"), "several")
 
 
 def _once_each(met: DataFrame) -> DataFrame:
-    """met with one token of all that the same classes have: others would only repeat their pairs.
+    """met with one key of all that the same members have: others would only repeat their pairs.
     Equal members are told by their number and 128 bits of exclusive or."""
-    members = met.groupBy("token").agg(F.count("*").alias("many"), *[F.bit_xor(F.xxhash64("class", F.lit(f"member {i}"))).alias(f"m{i}") for i in (1, 2)])
+    own = [c for c in met.columns if c != "token"]
+    members = met.groupBy("token").agg(F.count("*").alias("many"), *[F.bit_xor(F.xxhash64(*own, F.lit(f"member {i}"))).alias(f"m{i}") for i in (1, 2)])
     chosen = cut(members.groupBy("many", "m1", "m2").agg(F.min("token").alias("token")).select("token"), "chosen")
     return cut(met.join(chosen, "token", "left_semi"), "met")
 
 
 def _centres(met: DataFrame, k: int) -> DataFrame:
-    """For each token that several classes have, a few of them: the ends of their order by size and by hashes."""
+    """For each key that several classes have, a few of them: the ends of their order by size and by hashes."""
     by = lambda i: F.xxhash64("class", F.lit(i))
     first = [F.min_by("class", F.struct("n", "class")), F.max_by("class", F.struct("n", "class"))] if k == 0 else []
     picks = first + [F.min_by("class", by(CENTRES * k + i)) for i in range(CENTRES - len(first))]
     return met.groupBy("token").agg(F.count("*").alias("many"), F.array_distinct(F.array(*picks)).alias("centres")).where("many > 1")
 
 
-def _near(percent: int):
+def _near(percent: int, n: str, m: str):
     """The size filter: neither set has less than its share of the other."""
-    return (F.col("n") * 100 >= F.col("m") * percent) & (F.col("m") * 100 >= F.col("n") * percent)
+    return (F.col(n) * 100 >= F.col(m) * percent) & (F.col(m) * 100 >= F.col(n) * percent)
 
 
 def _with_label(d: DataFrame, labels: DataFrame | None, column: str, out: str) -> DataFrame:
@@ -430,10 +596,10 @@ def _with_label(d: DataFrame, labels: DataFrame | None, column: str, out: str) -
 
 
 def _star_pairs(met: DataFrame, tokens: DataFrame, labels: DataFrame | None, percent: int) -> DataFrame:
-    """Pairs (a < b) of a class and a centre of one of its tokens, not yet in one component."""
+    """Pairs (a < b) of a class and a centre of one of its keys, not yet in one component."""
     size = met.select(F.col("class").alias("centre"), F.col("n").alias("m")).distinct()
     at = met.join(tokens, "token").select("class", "n", F.explode("centres").alias("centre")).where("class <> centre").distinct()
-    at = at.join(size, "centre").where(_near(percent))
+    at = at.join(size, "centre").where(_near(percent, "n", "m"))
     at = _with_label(_with_label(at, labels, "class", "la"), labels, "centre", "lb").where("la <> lb" if labels is not None else "true")
     return at.select(F.least("class", "centre").alias("a"), F.greatest("class", "centre").alias("b")).distinct()
 
@@ -446,18 +612,20 @@ def _close(percent: int, bits: int, n: str, m: str, x: str, y: str):
     return functools.reduce(operator.add, apart) <= both - 2 * shared
 
 
-def _other_pairs(met: DataFrame, bits: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
-    """All pairs of classes that share a token but no component, and pass the filters on sizes and parities."""
+def _mixed(met: DataFrame, labels: DataFrame) -> DataFrame:
+    """The rows of keys whose members are in several components, with their labels, the label that most
+    of a key's rows have (main), and how many rows the key has (all) and have other labels (others).
+    Keys with sides but 0 are of use only if members of both sides have them."""
     at = cut(_with_label(met, labels, "class", "label"), "labelled")
-    mixed = at.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("many")).where("lo <> hi and many > 2").select("token")
-    at = cut(at.join(mixed, "token", "left_semi").join(bits, "class"), "mixed")
-    other = at.select(F.col("token").alias("_t"), F.col("class").alias("_c"), F.col("n").alias("m"), F.col("label").alias("_l"), F.col("bits").alias("_bits"))
-    same = (at["token"] == F.col("_t")) & (at["class"] < F.col("_c")) & (at["label"] != F.col("_l")) & _near(percent) & _close(percent, BITS, "n", "m", "bits", "_bits")
-    return at.join(other, same).select(F.col("class").alias("a"), F.col("_c").alias("b")).distinct()
+    by = at.groupBy("token", "label").agg(F.count("*").alias("many"), F.min("side").alias("lo"), F.max("side").alias("hi"))
+    top = by.groupBy("token").agg(F.max_by("label", F.struct("many", "label")).alias("main"), F.sum("many").alias("all"), F.max("many").alias("most"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+    top = top.where("all > most and (hi = 0 or lo < hi)").select("token", "main", "all", (F.col("all") - F.col("most")).alias("others"))
+    return cut(at.join(top, "token"), "mixed")
 
 
 def components(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id_col, tkey (of the text), n_shingles and component_id for every row of docs."""
+    """id_col, tkey (of the text), n_shingles, component_id and component (a hash; null without
+    shingles) for every row of docs."""
     rows, labels = classes_and_links(docs, width, percent, id_col, text_col)
     # classes of several rows or with links; what is in neither is its own component
     c = rows.where("n > 0").groupBy("class").agg(F.min("id").alias("first_id"), F.count("*").alias("many"))
@@ -465,18 +633,27 @@ def components(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str =
     joined = c.join(labels.select("node"), c["class"] == F.col("node"), "left").where("many > 1 or node is not null").select("class", "label", "first_id")
     joined = cut(joined, "joined")
     least = joined.groupBy("label").agg(F.min("first_id").alias("component_id"))
-    of = cut(salted_left_join(joined, least, ["label"], F.col("class")).select("class", "component_id", F.lit(True).alias("known")), "component-of")
-    out = salted_left_join(rows, of, ["class"], F.coalesce("id", F.lit(0)))
-    mine = F.when((F.col("n") > 0) & F.col("known"), F.col("component_id")).otherwise(F.col("id"))
-    return out.select(F.col("id").alias(id_col), "tkey", F.col("n").alias("n_shingles"), mine.alias("component_id"))
+    of = cut(salted_left_join(joined, least, ["label"], F.col("class")).select("class", "label", "component_id", F.lit(True).alias("known")), "component-of")
+    out = salted_left_join(rows, of, ["class"], F.coalesce(F.xxhash64("id"), F.lit(0)))
+    known = (F.col("n") > 0) & F.col("known")
+    mine, component = F.when(known, F.col("component_id")).otherwise(F.col("id")), F.when(F.col("n") > 0, F.coalesce("label", "class"))
+    return out.select(F.col("id").alias(id_col), "tkey", F.col("n").alias("n_shingles"), mine.alias("component_id"), component.alias("component"))
 
 
 def report(docs: DataFrame, width: int = 3, percent: int = 90, **how) -> DataFrame:
-    return components(docs, width, percent, **how).drop("tkey")
+    return components(docs, width, percent, **how).drop("tkey", "component")
 
 
 def keep_first(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with the document of the smallest id of each component; columns unchanged."""
-    c = components(docs, width, percent, id_col, text_col)
-    losers = cut(c.where(~F.col(id_col).eqNullSafe(F.col("component_id"))).select(id_col, F.col("tkey").alias("_key")).distinct(), "near-copies")
-    return without(docs, losers, id_col, text_key(F.col(text_col)))
+    """docs with one document of each component, that of the smallest id (null sorting last; of equal
+    ids that of the smallest hash of its text; of rows equal in both one); columns unchanged."""
+    c = cut(components(docs, width, percent, id_col, text_col), "components")
+    rank = F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.col("tkey").alias("tkey"))
+    first = c.where("component is not null").groupBy("component").agg(F.count("*").alias("many"), F.min(rank).alias("first")).where("many > 1")
+    first = cut(first.select("component", "first"), "first-of")
+    c = salted_left_join(c, first, ["component"], F.col("tkey"))
+    named = lambda d: d.select(id_col, F.col("tkey").alias("_key"))
+    losers = cut(named(c.where(F.col("first").isNotNull() & (rank != F.col("first")))).distinct(), "near-copies")
+    again = cut(named(c.where(F.col("first").isNotNull() & rank.eqNullSafe(F.col("first")))).groupBy(id_col, "_key").count().where("count > 1").drop("count"), "repeated")
+    key = text_key(F.col(text_col))
+    return one_of_each(without(docs, losers, id_col, key), again, id_col, key)

@@ -8,17 +8,18 @@ for characters without a piece. Batches are encoded with the library's own threa
 Where no piece holds the space marker after another character, texts are cut before markers, which
 no merge can cross; each word then is encoded once and remembered.
 
-Parity with the model's own processor is verified by `parity` over whole texts, and by the query for
-every row: each distinct word a worker encodes is compared, and a row agrees if all its words do
-(a text's ids are its words' one after another, since no merge crosses a marker).
+Parity with the model's own processor is verified over whole texts: by `parity`, and by the query for
+every row.
 
 Defined results: null gives no ids and decodes to the empty text; the empty text likewise; texts are
 encoded whole at any length; symbols that look like control pieces are ordinary text; repeated
-rows are encoded each; an empty table gives an empty result; extra columns are ignored.
+rows are encoded each; ids may be of any type and null; an empty table gives an empty result; extra
+columns are ignored.
 """
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import os
 import re
@@ -108,6 +109,20 @@ def merges(m: Model) -> list[tuple[str, str]]:
     return [(a, b) for *_, a, b in sorted(pairs)]
 
 
+def crossed(m: Model) -> bool:
+    """Whether a piece holds the space marker after another character, so that words can't be told apart."""
+    return any(MARK in p.lstrip(MARK) for p, _, kind in m.pieces if kind in (NORMAL, USER))
+
+
+def normaliser(m: Model) -> normalizers.Normalizer:
+    steps = [normalizers.Precompiled(m.charsmap)] if m.charsmap else []
+    if m.fewer_spaces:
+        steps += [normalizers.Replace(Regex(" {2,}"), " "), normalizers.Strip()]
+    if m.escape_spaces:
+        steps += [normalizers.Prepend(MARK)] * m.dummy_prefix + [normalizers.Replace(" ", MARK)]
+    return normalizers.Sequence(steps)
+
+
 def build(m: Model, bare: bool = False) -> Tokenizer:
     """The model's tokenizer; a bare one takes words as they are."""
     unknown = next(i for i, (_, _, kind) in enumerate(m.pieces) if kind == UNKNOWN)
@@ -119,13 +134,8 @@ def build(m: Model, bare: bool = False) -> Tokenizer:
         raise ValueError("only unigram and BPE models are known")
     if bare:
         return t
-    steps = [normalizers.Precompiled(m.charsmap)] if m.charsmap else []
-    if m.fewer_spaces:
-        steps += [normalizers.Replace(Regex(" {2,}"), " "), normalizers.Strip()]
-    if m.escape_spaces:
-        steps += [normalizers.Prepend(MARK)] * m.dummy_prefix + [normalizers.Replace(" ", MARK)]
-    t.normalizer = normalizers.Sequence(steps)
-    if not any(MARK in p.lstrip(MARK) for p, _, kind in m.pieces if kind in (NORMAL, USER)):
+    t.normalizer = normaliser(m)
+    if not crossed(m):
         t.pre_tokenizer = pre_tokenizers.Split(Regex(f"{MARK}*[^{MARK}]+|{MARK}+"), "isolated")
     t.decoder = decoders.Sequence([decoders.Replace(MARK, " "), decoders.ByteFallback(), decoders.Fuse()] + [decoders.Strip(" ", 1, 0)] * m.dummy_prefix)
     own = [AddedToken(p, normalized=False, special=False) for p, _, kind in m.pieces if kind == USER]
@@ -134,8 +144,10 @@ def build(m: Model, bare: bool = False) -> Tokenizer:
     return t
 
 
-#: Words whose ids are remembered, and how long they may be.
-CACHED, CACHED_CHARS = 400_000, 48
+#: Words whose ids are remembered take about so many bytes, and are at most so long.
+CACHED_BYTES, CACHED_CHARS = 32 << 20, 48
+#: What Python keeps for a word besides its characters and ids.
+ENTRY_BYTES = 200
 #: So many words go to the library at once.
 AT_ONCE = 10_000
 _WORDS = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
@@ -145,64 +157,60 @@ class Codec:
     """Encodes and decodes batches of texts.
 
     Where merges can't cross a marker, a batch is cut into words; the library encodes those that
-    aren't remembered, all at once. Else it encodes the texts. `checked` verifies every word or text
-    that is encoded against the model's own processor."""
+    aren't remembered, all at once. Else it encodes the texts. `checked` compares the ids of every
+    whole text with those of the model's own processor."""
 
     def __init__(self, data: bytes, checked: bool = False):
-        self.model = parse_model(data)
-        self.tokenizer = build(self.model)
-        self.by_word = self.tokenizer.pre_tokenizer is not None and not self.tokenizer.get_added_tokens_decoder()
-        self.bare = build(self.model, bare=True)
+        self.model = m = parse_model(data)
+        self.by_word = not crossed(m) and not any(kind == USER for *_, kind in m.pieces)
         self.known: dict[str, bytes] = {}
-        self.unequal: set[str] = set()
+        self.held = 0
         self.own = None
         if checked:
             import sentencepiece
 
             self.own = sentencepiece.SentencePieceProcessor(model_proto=data)
-        self.parts = [bytes([int(p[3:5], 16)]) if kind == BYTE else p.replace(MARK, " ").encode() for p, _, kind in self.model.pieces]
+        self.parts = [bytes([int(p[3:5], 16)]) if kind == BYTE else p.replace(MARK, " ").encode() for p, _, kind in m.pieces]
+
+    @functools.cached_property
+    def tokenizer(self) -> Tokenizer:
+        return build(self.model)
+
+    @functools.cached_property
+    def bare(self) -> Tokenizer:
+        return build(self.model, bare=True)
 
     def encode(self, texts: list[str]) -> list[list[int]]:
-        return [np.frombuffer(raw, "<i4").tolist() for raw, _ in self.encode_raw(texts)]
+        return [np.frombuffer(raw, "<i4").tolist() for raw in self.encode_raw(texts)]
 
-    def encode_raw(self, texts: list[str]) -> list[tuple[bytes, bool | None]]:
-        """Each text's ids as little-endian 32-bit words, and whether the model's processor agrees."""
+    def encode_raw(self, texts: list[str]) -> list[bytes]:
+        """Each text's ids as little-endian 32-bit words."""
         if not self.by_word:
-            ids = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-            same = [a == b for a, b in zip(ids, self.own.encode(texts, num_threads=1), strict=True)] if self.own else [None] * len(ids)
-            return [(np.asarray(i, "<i4").tobytes(), ok) for i, ok in zip(ids, same, strict=True)]
+            return [np.asarray(e.ids, "<i4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
         m = self.model
         if m.charsmap or m.fewer_spaces or not m.escape_spaces:
-            plain = [self.tokenizer.normalizer.normalize_str(t) for t in texts]
+            steps = normaliser(m)
+            plain = [steps.normalize_str(t) for t in texts]
         else:
             plain = [(MARK if m.dummy_prefix and t else "") + t.replace(" ", MARK) for t in texts]
         cut = [_WORDS.findall(t) for t in plain]
-        if len(self.known) > CACHED:
-            self.known, self.unequal = {}, set()
+        if self.held > CACHED_BYTES:
+            self.known, self.held = {}, 0
         fresh = list(set(chain.from_iterable(cut)).difference(self.known))
         for k in range(0, len(fresh), AT_ONCE):
             some = fresh[k : k + AT_ONCE]
-            ids = [e.ids for e in self.bare.encode_batch_fast(some, add_special_tokens=False)]
-            self.known.update(zip(some, (np.asarray(i, "<i4").tobytes() for i in ids), strict=True))
-            if self.own:
-                self.unequal.update(w for w, a, b in zip(some, ids, self._own_ids(some), strict=True) if a != b)
-        out = []
-        for words in cut:
-            ok = None if self.own is None else self.unequal.isdisjoint(words) if self.unequal else True
-            out.append((b"".join(map(self.known.__getitem__, words)), ok))
+            self.known.update(zip(some, (np.asarray(e.ids, "<i4").tobytes() for e in self.bare.encode_batch_fast(some, add_special_tokens=False)), strict=True))
+        out = [b"".join(map(self.known.__getitem__, words)) for words in cut]
         for w in fresh:
             if len(w) > CACHED_CHARS:
                 del self.known[w]
-                self.unequal.discard(w)
+            else:
+                self.held += ENTRY_BYTES + len(w) + len(self.known[w])
         return out
 
-    def _own_ids(self, words: list[str]) -> list[list[int]]:
-        """The ids that the model's processor gives words: it adds the marker that a word begins with."""
-        if not self.model.dummy_prefix:
-            return self.own.encode(words, num_threads=1)
-        ids = self.own.encode([w[1:] if w.startswith(MARK) else w for w in words], num_threads=1)
-        # a lone marker is left without text, to which the processor adds none
-        return [[self.own.piece_to_id(MARK)] if w == MARK else i for w, i in zip(words, ids, strict=True)]
+    def agrees(self, texts: list[str], raw: list[bytes]) -> list[bool]:
+        """Whether the model's own processor gives each whole text these ids."""
+        return [np.asarray(a, "<i4").tobytes() == b for a, b in zip(self.own.encode(texts, num_threads=1), raw, strict=True)]
 
     def decode(self, ids: list[list[int]]) -> list[str]:
         """The pieces' bytes one after another, as the tokenizer's decoder has it but several times faster."""
@@ -216,10 +224,8 @@ class Codec:
 
 def parity(data: bytes, texts: list[str]) -> list[bool]:
     """Whether each text has the ids that the model's own processor gives it."""
-    import sentencepiece
-
-    own = sentencepiece.SentencePieceProcessor(model_proto=data).encode(texts, num_threads=1)
-    return [a == b for a, b in zip(Codec(data).encode(texts), own, strict=True)]
+    codec = Codec(data, checked=True)
+    return codec.agrees(texts, codec.encode_raw(texts))
 
 
 #: Threads of the library in each worker; more only contend where several workers share a machine.
@@ -232,8 +238,8 @@ def checked_codec(data: bytes) -> Codec:
     return Codec(data, checked=True)
 
 
-OUT = "id long, n_tokens long, ids_crc32 long, ids_sha256 string, decoded_sha256 string, round_trip boolean, parity boolean"
-BATCH_CHARS = 1 << 20
+OUT = "n_tokens long, ids_crc32 long, ids_sha256 string, decoded_sha256 string, round_trip boolean, parity boolean"
+BATCH_CHARS, BATCH_ROWS = 1 << 20, 500
 
 
 def _slices(texts: list[str], limit: int = BATCH_CHARS) -> Iterator[tuple[int, int]]:
@@ -248,37 +254,45 @@ def _slices(texts: list[str], limit: int = BATCH_CHARS) -> Iterator[tuple[int, i
         yield a, len(texts)
 
 
+def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, list[str]]]:
+    """ids and texts of a few rows at a time."""
+    for batch in batches:
+        for k in range(0, batch.num_rows, BATCH_ROWS):
+            some = batch.slice(k, BATCH_ROWS)
+            texts = [t or "" for t in some.column(1).to_pylist()]
+            for a, b in _slices(texts):
+                yield some.column(0).slice(a, b - a), texts[a:b]
+
+
 def encode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, ids (array of int) and decoded text of every row of docs."""
+    """id_col, ids (array of int) and decoded text of every row of docs."""
     data = docs.sparkSession.sparkContext.broadcast(open(model_path, "rb").read())  # one model, of fixed size
+    own = docs.schema[id_col].dataType.simpleString()
 
     def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = Codec(data.value)
-        for batch in batches:
-            texts = [t or "" for t in batch.column(1).to_pylist()]
-            for a, b in _slices(texts):
-                ids = codec.encode(texts[a:b])
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(ids, pa.list_(pa.int32())), pa.array(codec.decode(ids), pa.string())], ["id", "ids", "decoded"])
+        for at, texts in _runs(batches):
+            ids = codec.encode(texts)
+            yield pa.RecordBatch.from_arrays([at, pa.array(ids, pa.list_(pa.int32())), pa.array(codec.decode(ids), pa.string())], ["_id", "ids", "decoded"])
 
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(part, "id long, ids array<int>, decoded string").withColumnRenamed("id", id_col)
+    return docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("text")).mapInArrow(part, f"_id {own}, ids array<int>, decoded string").withColumnRenamed("_id", id_col)
 
 
 def digest(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """For every row the number of its ids, their digests (as little-endian 32-bit words), the digest
     of the decoded text, whether that is the text, and whether the model's processor agrees."""
     data = docs.sparkSession.sparkContext.broadcast(open(model_path, "rb").read())
+    own = docs.schema[id_col].dataType.simpleString()
 
     def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = checked_codec(data.value)
         kinds = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.bool_(), pa.bool_())
-        names = OUT.replace(",", "").split()[::2]
-        for batch in batches:
-            texts = [t or "" for t in batch.column(1).to_pylist()]
-            for a, b in _slices(texts):
-                rows = []
-                for t, (raw, same) in zip(texts[a:b], codec.encode_raw(texts[a:b]), strict=True):
-                    back = codec.decode([np.frombuffer(raw, "<i4").tolist()])[0]
-                    rows.append((len(raw) // 4, zlib.crc32(raw), hashlib.sha256(raw).hexdigest(), hashlib.sha256(back.encode()).hexdigest(), back == t, same))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), *[pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)]], names)
-
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(part, OUT).withColumnRenamed("id", id_col)
+        names = ["_id", *OUT.replace(",", "").split()[::2]]
+        for at, texts in _runs(batches):
+            rows, raws = [], codec.encode_raw(texts)
+            for t, raw, same in zip(texts, raws, codec.agrees(texts, raws), strict=True):
+                back = codec.decode([np.frombuffer(raw, "<i4").tolist()])[0]
+                rows.append((len(raw) // 4, zlib.crc32(raw), hashlib.sha256(raw).hexdigest(), hashlib.sha256(back.encode()).hexdigest(), back == t, same))
+            yield pa.RecordBatch.from_arrays([at, *[pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)]], names)
+
+    return docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("text")).mapInArrow(part, f"_id {own}, {OUT}").withColumnRenamed("_id", id_col)

@@ -3,14 +3,16 @@ folder, size-checked broadcasts, salted joins and a few native text expressions.
 
 from __future__ import annotations
 
+import contextvars
 import functools
 import operator
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Used only where the session names no shared folder, as in tests.
+#: Used only in local mode, where the session names no shared folder, as in tests.
 LOCAL_SHARED = "/tmp/checkpoints"
 
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -22,6 +24,8 @@ def shared_dir(spark: SparkSession) -> str:
     if not found:
         sc = spark.sparkContext
         if sc.getCheckpointDir() is None:
+            if not sc.master.startswith("local"):
+                raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
             sc.setCheckpointDir(LOCAL_SHARED)
         found = sc.getCheckpointDir()
     return found.rstrip("/")
@@ -45,9 +49,40 @@ def cut(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
     if rows is not None:
         df = df.coalesce(max(1, -(-rows // PER_FILE)))
     df.write.mode("overwrite").parquet(path)
+    if (made := _made.get()) is not None:
+        made.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+_made: contextvars.ContextVar[list[str] | None] = contextvars.ContextVar("made", default=None)
+
+
+def last_only(spark: SparkSession, make: Callable[[], DataFrame]) -> DataFrame:
+    """What make() returns, which must read nothing but the last table that it has cut; the tables cut
+    before that one are deleted, so that a finished step holds no more disk than its result."""
+    outer, mine = _made.get(), []
+    token = _made.set(mine)
+    try:
+        out = make()
+    finally:
+        _made.reset(token)
+    if outer is not None:
+        outer += mine[-1:]
+    conf = spark._jsc.hadoopConfiguration()
+    for path in mine[:-1]:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(conf).delete(at, True)
+    return out
+
+
+def unused(name: str, *frames: DataFrame) -> str:
+    """name, or with underscores before it, so that none of the frames has such a column."""
+    taken = {c.lower() for f in frames for c in f.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def if_small(df: DataFrame, max_rows: int) -> DataFrame:
     """df marked for broadcast if it has at most max_rows rows; else df, for a shuffled join.
     df is a table already written, so that counting it reads footers only."""
@@ -69,9 +104,29 @@ def salted_left_join(big: DataFrame, small: DataFrame, on: list[str], salt_from:
 
 def without(docs: DataFrame, losers: DataFrame, id_col: str, key: Column, max_rows: int = 1_000_000) -> DataFrame:
     """docs without the rows whose (id, key) losers (id_col, _key) has; columns of docs unchanged."""
-    gone = losers.select(F.col(id_col).alias("_gone_id"), F.col("_key").alias("_gone_key"))
-    at = docs.withColumn("_own_key", key)
-    return at.join(if_small(gone, max_rows), at[id_col].eqNullSafe(F.col("_gone_id")) & (F.col("_own_key") == F.col("_gone_key")), "left_anti").drop("_own_key")
+    return _matching(docs, losers, id_col, key, "left_anti", max_rows)
+
+
+def within(docs: DataFrame, some: DataFrame, id_col: str, key: Column, max_rows: int = 1_000_000) -> DataFrame:
+    """docs with only the rows whose (id, key) some (id_col, _key) has; columns of docs unchanged."""
+    return _matching(docs, some, id_col, key, "left_semi", max_rows)
+
+
+def _matching(docs: DataFrame, named: DataFrame, id_col: str, key: Column, how: str, max_rows: int) -> DataFrame:
+    own, theirs, its_id = (unused(c, docs) for c in ("own_key", "their_key", "their_id"))
+    named = named.select(F.col(id_col).alias(its_id), F.col("_key").alias(theirs))
+    at = docs.withColumn(own, key)
+    return at.join(if_small(named, max_rows), F.col(id_col).eqNullSafe(F.col(its_id)) & (F.col(own) == F.col(theirs)), how).drop(own)
+
+
+def one_of_each(docs: DataFrame, repeated: DataFrame, id_col: str, key: Column) -> DataFrame:
+    """docs with one row of all that share an (id, key) which repeated (id_col, _key), a table already
+    written, names; columns unchanged."""
+    if not repeated.count():
+        return docs
+    own = unused("own_key", docs)
+    more = within(docs, repeated, id_col, key).withColumn(own, key).dropDuplicates([id_col, own]).drop(own)
+    return without(docs, repeated, id_col, key).unionByName(more)
 
 
 def text_key(text: Column) -> Column:

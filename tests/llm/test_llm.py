@@ -109,11 +109,85 @@ def test_ngram_join(spark, width, percent):
     assert ngram_join.report(frame(spark, []), width, percent).count() == 0
 
 
+@pytest.mark.parametrize("light", [0, 3])
+def test_ngram_join_of_crowded_keys(spark, monkeypatch, light):
+    """Families of near copies that mostly aren't linked: no link is lost where keys are dealt again."""
+    monkeypatch.setattr(ngram_join, "LIGHT", light)
+    monkeypatch.setattr(ngram_join, "ROUNDS", 1)
+    draw = random.Random(light)
+    vocab = [f"w{i}" for i in range(500)]
+    texts = []
+    for n in (60, 100, 240):
+        base = [draw.choice(vocab) for _ in range(n)]
+        family = [base]
+        for _ in range(24):
+            c = list(draw.choice(family))
+            for _ in range(draw.randint(1, max(2, n // 25))):
+                at = draw.randrange(len(c))
+                what = draw.random()
+                c[at : at + 1] = [] if what < 0.3 else [draw.choice(vocab)] if what < 0.8 else [c[at], draw.choice(vocab)]
+            family.append(c)
+        texts += [" ".join(c) for c in family]
+    draw.shuffle(texts)
+    got = sorted(map(tuple, ngram_join.report(frame(spark, texts), 5, 80).collect()))
+    want = brute_components(texts, 5, 80)
+    assert got == want and 10 < len({c for *_, c in want}) < len(texts) - 10
+
+
+def test_differences_keep_links():
+    """Whatever the centre, two linked sets that aren't both linked to it share a key."""
+    draw = np.random.default_rng(3)
+    zero = np.zeros(1 << ngram_join.SKETCH_BITS, np.uint8)
+    seen = 0
+    for _ in range(3000):
+        n = int(draw.integers(5, 80))
+        pool = draw.integers(0, 1 << 63, 4 * n).astype(np.uint64)
+        base = pool[:n]
+
+        def vary(s, most):
+            k = int(draw.integers(0, most + 1))
+            kept = draw.permutation(s)[k:]
+            return np.unique(np.concatenate((kept, draw.choice(pool, int(draw.integers(0, most + 1))))))
+
+        c, x = vary(base, n // 5), vary(base, n // 4)
+        y = vary(x, n // 8)
+        both, linked = len(np.intersect1d(x, y)), lambda a, b: 100 * len(np.intersect1d(a, b)) >= 80 * len(np.union1d(a, b))
+        if not linked(x, y) or np.array_equal(x, y) or np.array_equal(x, c) or np.array_equal(y, c) or (linked(x, c) and linked(y, c)):
+            continue
+        (kx, sx), (ky, sy) = (ngram_join.differing(s, c, 5, zero, 80) for s in (x, y))
+        ok = {(int(k), int(p)) for k, p in zip(kx, sx)}
+        assert any((int(k), q) in ok if q == 0 else (int(k), 3 - q) in ok for k, q in zip(ky, sy)), (n, both)
+        seen += 1
+    assert seen > 200
+
+
+def test_words_of_a_thue_morse_sequence_are_told_apart(spark):
+    t = "a"
+    for _ in range(10):
+        t += t.translate(str.maketrans("ab", "ba"))
+    other = t.translate(str.maketrans("ab", "ba"))
+    assert sorted(map(tuple, ngram_join.report(frame(spark, [t, other, t])).collect())) == [(0, 1, 0), (1, 1, 1), (2, 1, 0)]
+
+
+def test_sets_with_one_class_are_told_apart(spark, monkeypatch):
+    """Sets whose first 64 bits are equal are different classes, as their other bits say."""
+    near = " ".join(f"w{i}" for i in range(60))
+    docs = spark.createDataFrame([("x", "a b c d"), ("y", near), ("z", "A B C D"), (None, near), ("w", near + " more")], "doc_id string, text string")
+    own = ngram_join.set_keys
+    monkeypatch.setattr(ngram_join, "set_keys", lambda s: (7, own(s)[1]))
+    assert {tuple(r) for r in ngram_join.report(docs).collect()} == {("x", 2, "x"), ("y", 58, "w"), ("z", 2, "x"), (None, 58, "w"), ("w", 59, "w")}
+
+
 def test_keep_first_and_columns(spark):
     t = " ".join(f"w{i}" for i in range(100))
     docs = frame(spark, [t, t + " x", "other words here", t, t], [3, 1, 2, 3, 3])
     left = ngram_join.keep_first(docs)
     assert left.columns == docs.columns and sorted(r.doc_id for r in left.collect()) == [1, 2]
+    # null ids sort last, repeated ids and rows leave one row a component, and names may clash
+    rows = [(None, t, 1), (None, t + " y", 2), (5, "one two three four five six", 3), (5, "ONE two three four five six", 4), (5, "one two three four five six", 5), (None, None, 6), (7, t + " z", 7)]
+    odd = spark.createDataFrame(rows, "doc_id long, text string, own_key int")
+    left = ngram_join.keep_first(odd)
+    assert left.columns == odd.columns and sorted((str(r.doc_id), (r.text or "")[:3].lower()) for r in left.collect()) == [("5", "one"), ("7", "w0 "), ("None", "")]
 
 
 def test_components(spark):
