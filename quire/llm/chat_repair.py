@@ -6,21 +6,27 @@ preceded by an empty turn; empty turns may follow the last. Dynamic programming
 states finds the cheapest choice for the whole conversation; of equally cheap ones, the trace back
 takes the smallest state before each turn.
 
-No conversation is ever one task's work: turns are sorted by range, cut into blocks of at most
-BLOCK turns, and each block of a conversation becomes a 4 x 4 cost matrix. Matrices are chained (one
-row for each block, not for each turn) to get the costs at a block's entry, then the state at its
-exit; the result doesn't depend on where blocks were cut.
+Turns are sorted by range. A conversation that begins and ends inside a partition, and has at most
+LONGEST turns, is repaired and rendered where it lies, all conversations of a batch at once in numpy.
+What may go on in the next partition, or is longer (a conversation may hold a third of all turns), is
+never one task's work: its turns are cut into blocks of at most BLOCK turns, and each block becomes a
+4 x 4 cost matrix. Matrices are chained (one row for each block, not for each turn) to get the costs at
+a block's entry, then the state at its exit; the result doesn't depend on where blocks were cut.
 
 Defined results: every turn gives one row, its piece of the rendered text; a conversation's pieces
 in order of position, joined, are the whole. A null or unknown role must be relabelled; a null text
 is empty; turns with equal numbers are ordered by role, then text; repeated rows are turns each;
-turns without a conv_id are one conversation; an empty table gives an empty result; extra columns
-are ignored.
+conversations' ids may be of any type; turns without one are one conversation; an empty table gives
+an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -32,6 +38,8 @@ NEXT = {START: (SYSTEM, USER), SYSTEM: (USER,), USER: (ASSISTANT,), ASSISTANT: (
 MERGE, INSERT, RELABEL = 1, 2, 3
 FAR = 1 << 40
 BLOCK = 4096
+#: Turns of a conversation that one task repairs by itself.
+LONGEST = 4096
 
 OPEN, CLOSE = "<|{}|>\n", "<|end|>\n"
 
@@ -118,15 +126,167 @@ def repair(roles: list, entry: list[int], exit_state: int) -> list[tuple[int, st
 
 
 ENTRY0 = [0, FAR, FAR, FAR]
+
+
+def _opened(state: int) -> str:
+    return OPEN.format(ROLES[state - 1])
+
+
+def written(a: int, action: str, before: tuple[int, ...], b: int) -> tuple[str, int]:
+    """What stands before a turn's text, and how many turns it opens."""
+    if "merge" in action:
+        return "\n", 0
+    return (CLOSE if a != START else "") + "".join(_opened(e) + CLOSE for e in before) + _opened(b), 1 + len(before)
+
+
+def closing(b: int) -> tuple[str, int]:
+    """What stands after a conversation's last text, and how many turns it opens."""
+    return CLOSE + "".join(_opened(e) + CLOSE for e in ending(b)), len(ending(b))
+
+
+def _tables() -> dict[str, np.ndarray]:
+    """Costs, actions, opened turns and text before, by role (the last is unknown), state before and after."""
+    shape = (len(ROLES) + 1, 4, 4)
+    out = {"cost": np.full(shape, FAR), "opens": np.zeros(shape, np.int64), "action": np.full(shape, "", object), "before": np.full(shape, "", object)}
+    for k, role in enumerate((*ROLES, None)):
+        for s in range(4):
+            for cost, new, action, mid in STEPS[role][s]:
+                text, opens = written(s, action, mid, new)
+                out["cost"][k, s, new], out["opens"][k, s, new], out["action"][k, s, new], out["before"][k, s, new] = cost, opens, action, text
+    return out
+
+
+TABLES = _tables()
+_END_COST = np.array([INSERT * len(ending(s)) for s in range(4)])
+_CODES = {role: k for k, role in enumerate(ROLES)}
+
+
+def walk(roles: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """States before and after each turn of many conversations, given as runs of coded roles: the same
+    as repair() from ENTRY0 to last_state(), one turn of all conversations at a time."""
+    cost = TABLES["cost"]
+    order = np.argsort(-sizes, kind="stable")
+    starts, sizes = starts[order], sizes[order]
+    live = [int(np.searchsorted(-sizes, -k, side="left")) for k in range(int(sizes[0]) if len(sizes) else 0)]  # conversations of more than k turns
+    held = np.full((len(roles), 4), FAR)  # costs before each turn
+    now = np.tile(np.array(ENTRY0), (len(sizes), 1))
+    for k, m in enumerate(live):
+        at = starts[:m] + k
+        held[at] = now[:m]
+        now[:m] = np.minimum((now[:m, :, None] + cost[roles[at]]).min(axis=1), FAR)
+    state = (now + _END_COST).argmin(axis=1)
+    before, after = np.zeros(len(roles), np.int64), np.zeros(len(roles), np.int64)
+    reached = now[np.arange(len(sizes)), state]
+    for k in range(len(live) - 1, -1, -1):
+        m = live[k]
+        at = starts[:m] + k
+        after[at] = state[:m]
+        fits = held[at] + cost[roles[at], :, state[:m]] == reached[:m, None]
+        state[:m] = (fits & (held[at] < FAR)).argmax(axis=1)
+        reached[:m] = held[at, state[:m]]
+        before[at] = state[:m]
+    return before, after
+
+
+def _results(conv: str) -> str:
+    return f"conv_id {conv}, turn long, position long, role string, new_role string, action string, cost long, opens long, piece string"
+
+
+def _whole(t: pa.RecordBatch, starts: np.ndarray, sizes: np.ndarray) -> pa.RecordBatch:
+    """Rows of whole conversations with their repair; t has conv_id, turn, position, role, text."""
+    given = t.column(3).to_pylist()
+    roles = np.array([_CODES.get(r, len(ROLES)) for r in given], np.int64)
+    before, after = walk(roles, starts, sizes)
+    at = (roles, before, after)
+    cost, opens = TABLES["cost"][at], TABLES["opens"][at]
+    piece = [p + (x or "") for p, x in zip(TABLES["before"][at], t.column(4).to_pylist(), strict=True)]
+    for end in starts + sizes - 1:
+        text, more = closing(int(after[end]))
+        piece[end] += text
+        opens[end] += more
+        cost[end] += INSERT * more
+    new = np.array(ROLES, object)[after - 1]
+    columns = [t.column(0), t.column(1), t.column(2), t.column(3), pa.array(new, pa.string()), pa.array(TABLES["action"][at], pa.string()), pa.array(cost, pa.int64()), pa.array(opens, pa.int64()), pa.array(piece, pa.string())]
+    return pa.RecordBatch.from_arrays(columns, _NAMES)
+
+
+_NAMES = ["conv_id", "turn", "position", "role", "new_role", "action", "cost", "opens", "piece"]
+
+
+def _unsettled(t: pa.RecordBatch) -> pa.RecordBatch:
+    """Rows as they are, the text as piece and no repair."""
+    none = [pa.nulls(t.num_rows, k) for k in (pa.string(), pa.string(), pa.int64(), pa.int64())]
+    return pa.RecordBatch.from_arrays([*(t.column(i) for i in range(4)), *none, t.column(4).cast(pa.string())], _NAMES)
+
+
+def _in_partition(longest: int):
+    """Repairs the conversations that lie inside a sorted partition; the first and the last, and longer
+    ones, are given back as they are."""
+
+    def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []  # the rows of the conversation that the rows so far end with
+        conv, first, size, long = None, True, 0, False  # its id, whether it's the partition's first, and its turns
+        for b in batches:
+            if not b.num_rows:
+                continue
+            codes = b.column(0).dictionary_encode().indices.fill_null(-1).to_numpy(zero_copy_only=False)
+            edges = np.flatnonzero(np.concatenate(([True], codes[1:] != codes[:-1], [True])))
+            if (held or long) and b.column(0)[0].as_py() == conv:  # goes on
+                held.append(b.slice(0, int(edges[1])))
+                size += int(edges[1])
+                edges = edges[1:]
+            if len(edges) > 1:
+                if held:
+                    yield from _close(held, first or long)
+                    first = False
+                elif long:
+                    first = False
+                held, long = [], False
+                a, z = int(edges[0]), int(edges[-2])  # whole conversations, then one that may go on
+                if first and a < z:  # the partition's first conversation
+                    yield _unsettled(b.slice(a, int(edges[1]) - a))
+                    first, edges = False, edges[1:]
+                    a = int(edges[0])
+                sizes = np.diff(edges[:-1])
+                for some, take in _runs_of(edges[:-1], sizes, longest):
+                    rows = b.slice(int(some[0]), int(take.sum()))
+                    yield _whole(rows, some - some[0], take) if take[0] <= longest else _unsettled(rows)
+                held, size, conv = [b.slice(z)], b.num_rows - z, b.column(0)[z].as_py()
+            if size > longest or first:  # isn't settled here, so nothing need be kept
+                yield from map(_unsettled, held)
+                held, long = [], True
+        yield from map(_unsettled, held)
+
+    return part
+
+
+def _runs_of(starts: np.ndarray, sizes: np.ndarray, longest: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Conversations that follow each other, those that are too long alone."""
+    a = 0
+    for k in [*np.flatnonzero(sizes > longest), len(sizes)]:
+        if k > a:
+            yield starts[a:k], sizes[a:k]
+        if k < len(sizes):
+            yield starts[k : k + 1], sizes[k : k + 1]
+        a = k + 1
+
+
+def _close(held: list[pa.RecordBatch], unsettled: bool) -> Iterator[pa.RecordBatch]:
+    if unsettled:
+        yield from map(_unsettled, held)
+        return
+    t = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+    yield _whole(t, np.array([0]), np.array([t.num_rows]))
+
+
 KEYS = ["conv_id", "part", "block"]
-RESULT = "conv_id long, turn long, position long, role string, new_role string, action string, cost long, opens long, piece string"
 
 
 def _runs(pdf: pd.DataFrame, *columns: str):
     """(conv_id, part, block) and the columns' values of each conversation in a block, in order."""
     pdf = pdf.sort_values("seq")
     held = {c: pdf[c].tolist() for c in (*KEYS, *columns)}
-    convs, many = [None if pd.isna(c) else c for c in held["conv_id"]], len(pdf)
+    convs, many = [c if isinstance(c, str) else None for c in held["conv_id"]], len(pdf)
     a = 0
     for b in range(1, many + 1):
         if b == many or convs[b] != convs[a]:
@@ -141,9 +301,6 @@ def _matrices(pdf: pd.DataFrame) -> pd.DataFrame:
 
 def _chain(pdf: pd.DataFrame) -> pd.DataFrame:
     """Costs at the entry of each block of a conversation, and the state at the end of the last."""
-    if len(pdf) == 1:
-        final = last_state([min(FAR, x) for x in pdf["m"].iloc[0][:4]])
-        return pdf[KEYS].assign(entry=[ENTRY0], final=final, is_last=True)
     pdf = pdf.sort_values(["part", "block"]).reset_index(drop=True)
     entry, entries = ENTRY0, []
     for m in pdf["m"]:
@@ -177,35 +334,28 @@ def _settle(pdf: pd.DataFrame) -> pd.DataFrame:
 
 def _render(pdf: pd.DataFrame) -> pd.DataFrame:
     rows = []
-    for (conv, _, _), turns, positions, roles, texts, entry, exits, lasts in _runs(pdf, "turn", "position", "role", "text", "entry", "exit", "is_last"):
+    for (conv, _, _), turns, positions, roles, texts, entry, exits, lasts in _runs(pdf, "turn", "position", "role", "piece", "entry", "exit", "is_last"):
         many, closed = len(roles), bool(lasts[0])
         steps = repair(roles, [int(c) for c in entry[0]], int(exits[0]))
         for k, (turn, position, role, text, (a, action, before, b, cost)) in enumerate(zip(turns, positions, roles, texts, steps, strict=True)):
-            text = text if isinstance(text, str) else ""
-            if "merge" in action:
-                piece, opens = "\n" + text, 0
-            else:
-                piece = (CLOSE if a != START else "") + "".join(OPEN.format(ROLES[e - 1]) + CLOSE for e in before) + OPEN.format(ROLES[b - 1]) + text
-                opens = 1 + len(before)
+            head, opens = written(a, action, before, b)
+            piece = head + (text if isinstance(text, str) else "")
             if closed and k == many - 1:
-                more = ending(b)
-                piece += CLOSE + "".join(OPEN.format(ROLES[e - 1]) + CLOSE for e in more)
-                opens, cost = opens + len(more), cost + INSERT * len(more)
+                tail, more = closing(b)
+                piece, opens, cost = piece + tail, opens + more, cost + INSERT * more
             rows.append((conv, turn, position, role, ROLES[b - 1], action, cost, opens, piece))
-    out = pd.DataFrame(rows, columns=["conv_id", "turn", "position", "role", "new_role", "action", "cost", "opens", "piece"])
-    return out.astype({"conv_id": "Int64", "turn": "Int64"})
+    return pd.DataFrame(rows, columns=_NAMES)
 
 
-def format_chats(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text", block: int = BLOCK) -> DataFrame:
-    """A row for each turn with its repaired role, action, cost, turns opened and rendered piece."""
-    t = turns.select(F.col(conv_col).cast("long").alias("conv_id"), F.col(turn_col).cast("long").alias("turn"), F.col(role_col).alias("role"), F.col(text_col).alias("text"))
-    order = ["conv_id", "turn", "role", "text"]
-    t = t.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("position", F.monotonically_increasing_id())
-    seq = F.col("position").bitwiseAND(F.lit((1 << 33) - 1))
-    t = cut(t.select("*", F.shiftright("position", 33).cast("int").alias("part"), F.expr(f"cast(({(1 << 33) - 1} & position) div {block} as int)").alias("block"), seq.alias("seq")), "turns")
+def _by_blocks(t: DataFrame, block: int, conv: str) -> DataFrame:
+    """Conversations of many blocks; t has conv_id, turn, position, role and the text as piece."""
+    low = (1 << 33) - 1
+    seq = F.col("position").bitwiseAND(F.lit(low))
+    t = t.select(F.col("conv_id").cast("string").alias("conv_id"), F.col("turn").cast("string").alias("turn"), "position", "role", "piece")
+    t = cut(t.select("*", F.shiftright("position", 33).cast("int").alias("part"), F.expr(f"cast(({low} & position) div {block} as int)").alias("block"), seq.alias("seq")), "turns")
     bare = t.select("conv_id", "part", "block", "seq", "role")
-    m = bare.groupBy("part", "block").applyInPandas(_matrices, "conv_id long, part int, block int, m array<long>")
-    ends = cut(m.groupBy("conv_id").applyInPandas(_chain, "conv_id long, part int, block int, entry array<long>, final int, is_last boolean"), "chat-entries")
+    m = bare.groupBy("part", "block").applyInPandas(_matrices, "conv_id string, part int, block int, m array<long>")
+    ends = cut(m.groupBy("conv_id").applyInPandas(_chain, "conv_id string, part int, block int, entry array<long>, final int, is_last boolean"), "chat-entries")
 
     def with_block(left: DataFrame, right: DataFrame) -> DataFrame:
         """Rows of one block and conversation get the columns of its summary."""
@@ -213,7 +363,19 @@ def format_chats(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "t
         same = left["conv_id"].eqNullSafe(r["_conv_id"]) & (left["part"] == r["_part"]) & (left["block"] == r["_block"])
         return left.join(r, same).drop("_conv_id", "_part", "_block")
 
-    back = with_block(bare, ends).groupBy("part", "block").applyInPandas(_exits, "conv_id long, part int, block int, back array<int>, final int")
-    exits = back.groupBy("conv_id").applyInPandas(_settle, "conv_id long, part int, block int, exit int")
+    back = with_block(bare, ends).groupBy("part", "block").applyInPandas(_exits, "conv_id string, part int, block int, back array<int>, final int")
+    exits = back.groupBy("conv_id").applyInPandas(_settle, "conv_id string, part int, block int, exit int")
     known = cut(with_block(ends, exits), "chat-exits")
-    return with_block(t, known).groupBy("part", "block").applyInPandas(_render, RESULT)
+    made = with_block(t, known).groupBy("part", "block").applyInPandas(_render, _results("string").replace("turn long", "turn string"))
+    return made.withColumn("conv_id", F.col("conv_id").cast(conv)).withColumn("turn", F.col("turn").cast("long"))
+
+
+def format_chats(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text", block: int = BLOCK, longest: int = LONGEST) -> DataFrame:
+    """A row for each turn with its repaired role, action, cost, turns opened and rendered piece."""
+    t = turns.select(F.col(conv_col).alias("conv_id"), F.col(turn_col).cast("long").alias("turn"), F.col(role_col).alias("role"), F.col(text_col).alias("text"))
+    conv, order = t.schema["conv_id"].dataType.simpleString(), ["conv_id", "turn", "role", "text"]
+    many = int(t.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    t = t.repartitionByRange(many, *order).sortWithinPartitions(*order).withColumn("position", F.monotonically_increasing_id())
+    done = cut(t.select("conv_id", "turn", "position", "role", "text").mapInArrow(_in_partition(longest), _results(conv)), "chats")
+    rest = done.where("action is null").select("conv_id", "turn", "position", "role", "piece")
+    return done.where("action is not null").unionByName(_by_blocks(rest, block, conv))
