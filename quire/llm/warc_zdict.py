@@ -120,13 +120,16 @@ def _id(urn: str | None) -> int | None:
     return int(tail) if tail else None
 
 
-def plan_records(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", min_bytes: int = 0, salts: int = 16) -> DataFrame:
+def plan_records(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", min_bytes: int = 0, salts: int = 16, max_broadcast_rows: int = 500_000) -> DataFrame:
     """Every page with its digest, whether it is a revisit, and of which page; html only of responses."""
     html = F.coalesce(F.col(html_col), F.lit(""))
     p = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), html.alias("html"), F.octet_length(html).cast("long").alias("n"), F.sha1(html.cast("binary")).alias("sha1"))
     copies = p.where(F.col("n") >= min_bytes).groupBy("sha1", "n").agg(F.max("page_id").alias("first_id"), F.count("*").alias("copies")).where("copies > 1").drop("copies")
     copies = cut(copies, "payload-copies").withColumn("known", F.lit(True))
-    p = salted_left_join(p, copies, ["sha1", "n"], F.coalesce(F.col("page_id"), F.lit(0)), salts)
+    if copies.count() <= max_broadcast_rows:  # pages stay where they are
+        p = p.join(F.broadcast(copies), ["sha1", "n"], "left")
+    else:  # rows of a partition come in any order, on which the files must not depend
+        p = salted_left_join(p, copies, ["sha1", "n"], F.coalesce(F.col("page_id"), F.lit(0)), salts).sortWithinPartitions("page_id", "sha1", "url")
     revisit = F.coalesce(F.col("known"), F.lit(False)) & ~F.col("page_id").eqNullSafe(F.col("first_id"))
     return p.select("page_id", "url", F.when(~revisit, F.col("html")).alias("html"), "n", "sha1", F.when(revisit, F.col("first_id")).alias("refers_to"), revisit.alias("revisit"))
 
