@@ -13,10 +13,11 @@ A group of near copies is not expanded into all its pairs. Documents with equal
 Among classes that share a token and are of like size, each is first paired with a few centres only
 (ROUNDS times, with other centres); verified links are joined to components, and what is left to
 compare are pairs of classes that share a token but not a component. No link between components is
-lost: where a token has at most LIGHT members outside its largest component, these are compared with
-all; where it has more, members are dealt again by the tokens in which they differ from a centre, of
-which linked ones must share one that is among the first of both (see Corpus._differences). What is
-still crowded after LEVELS times is compared pair by pair too.
+lost: members of a token outside its largest component are compared with all, inside a join that lets
+through only pairs that the token's places in both prefixes, sizes and bits of parity allow. Where that
+would be more than DENSE pairs for each row, members of crowded tokens are dealt again by the tokens in
+which they differ from a centre, of which linked ones must share one that is among the first of both
+(see Corpus._differences). What that doesn't thin out is compared pair by pair too.
 
 Words are told by 62 bits of polynomials modulo a prime, shingles by 64 bits of those, and equal sets
 by 128 bits. Links are verified on other hashes, of the shingles' own bytes, and exact in integers:
@@ -45,7 +46,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import label
-from .shared import cut, if_small, last_only, one_of_each, salted_left_join, text_key, without
+from .shared import cut, frugal, if_small, last_only, one_of_each, salted_left_join, small_batches, text_key, without
 
 #: Counters of the corpus-wide token counts: 2 ** SKETCH_BITS, in so many blocks.
 SKETCH_BITS, SKETCH_BLOCKS = 20, 16
@@ -53,9 +54,10 @@ SKETCH_BITS, SKETCH_BLOCKS = 20, 16
 ORDERS, CENTRES, ROUNDS = 3, 4, 2
 #: Bits of the parity filter: in the last join, and for single pairs. Powers of two.
 BITS, WIDE = 512, 2048
-#: Keys with at most so many members outside their largest component are compared pair by pair; the
-#: members of others are dealt again, so many times at most, by what tells them from a centre.
-LIGHT, LEVELS = 16, 4
+#: Members of a key are compared pair by pair while that makes at most DENSE pairs for each row. Where it
+#: makes more, members of keys with more than LIGHT members outside their largest component are dealt
+#: again by what tells them from a centre, LEVELS times at most and as long as that halves the pairs.
+DENSE, LIGHT, LEVELS = 64, 16, 4
 _U = np.uint64
 _ODD = [_U(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5)]
 
@@ -198,16 +200,19 @@ def prefix_size(n: int, percent: int) -> int:
 
 
 def prefix(s: np.ndarray, common: np.ndarray, levels: np.ndarray, order: int, percent: int) -> np.ndarray:
-    """The first tokens of a set under an order. Under every order, tokens that the corpus holds far
-    more often than chance come last. Then order 0 has tokens of rare words first, and each order
-    goes by a hash of its own."""
+    """The first tokens of a set under an order, in that order. Under every order, tokens that the corpus
+    holds far more often than chance come last. Then order 0 has tokens of rare words first, and each order
+    goes by a hash of its own; tokens that tie go by themselves."""
     if not len(s):
         return s
     size = prefix_size(len(s), percent)
     rank = rank_of(s, levels, order)
     if order == 0:
         rank |= common << _U(44)
-    return s[rank <= np.partition(rank, size - 1)[size - 1]] if size < len(s) else s  # with all that tie with the last
+    if size < len(s):
+        near = rank <= np.partition(rank, size - 1)[size - 1]  # with all that tie with the last
+        s, rank = s[near], rank[near]
+    return s[np.lexsort((s, rank))]
 
 
 def parity(s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -295,7 +300,7 @@ def _rows(docs: DataFrame, width: int) -> DataFrame:
             packed = [zlib.compress(flat[k * per : (k + 1) * per].astype("<i8").tobytes(), 1) for k in range(m)]
             yield pa.RecordBatch.from_arrays([pa.array([1] * m, pa.int32()), pa.nulls(m, id_type), *[pa.nulls(m, pa.int64())] * 4, pa.array(range(m), pa.int32()), pa.array(packed, pa.binary())], names)
 
-    return docs.mapInArrow(part, schema)
+    return docs.mapInArrow(frugal(part), schema)
 
 
 def _add(pdf):
@@ -327,10 +332,10 @@ def _prefixes(docs: DataFrame, width: int, percent: int, held) -> DataFrame:
             both = [rated(h, width, rare) for h in words.of(b.column(2).to_pylist()) if len(h)]
             sets, many = [s for s, _ in both], pa.list_(pa.int64())
             odd = [parity(s) for s in sets]
-            cols = [pa.array([np.sort(prefix(s, c, high, k, percent).view(np.int64)) for s, c in both], many) for k in range(ORDERS)]
+            cols = [pa.array([prefix(s, c, high, k, percent).view(np.int64) for s, c in both], many) for k in range(ORDERS)]
             yield pa.RecordBatch.from_arrays([pa.array([class_of(set_keys(s), clash) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int32()), *[pa.array([p[k] for p in odd], many) for k in (0, 1)], *cols], ["class", "n", "bits", "wide", *[f"p{k}" for k in range(ORDERS)]])
 
-    return docs.mapInArrow(part, "class long, n int, bits array<long>, wide array<long>, " + ", ".join(f"p{k} array<long>" for k in range(ORDERS)))
+    return docs.mapInArrow(frugal(part), "class long, n int, bits array<long>, wide array<long>, " + ", ".join(f"p{k} array<long>" for k in range(ORDERS)))
 
 
 def _sets(docs: DataFrame, width: int, held, exact: bool) -> DataFrame:
@@ -344,7 +349,7 @@ def _sets(docs: DataFrame, width: int, held, exact: bool) -> DataFrame:
             sets = [exact_set(t, width) if exact else s for s, t in both]
             yield pa.RecordBatch.from_arrays([pa.array([class_of(set_keys(s), clash) for s, _ in both], pa.int64()), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], ["class", "tokens"])
 
-    return docs.mapInArrow(part, "class long, tokens array<long>")
+    return docs.mapInArrow(frugal(part), "class long, tokens array<long>")
 
 
 def _with_both(pairs: DataFrame, of: DataFrame, columns: list[str]) -> DataFrame:
@@ -390,7 +395,7 @@ class Corpus:
                 yield b.filter(pa.array(keep, pa.bool_())).select([0, 1])
 
         names = ["n", *[f"p{k}" for k in orders]]
-        return _with_both(near, self._named(near, names), names).select("a", "b", *[f"{p}_{c}" for p in "xy" for c in names]).mapInArrow(further, "a long, b long")
+        return _with_both(near, self._named(near, names), names).select("a", "b", *[f"{p}_{c}" for p in "xy" for c in names]).mapInArrow(frugal(further), "a long, b long")
 
     def _named(self, pairs: DataFrame, columns: list[str]) -> DataFrame:
         """Columns of the classes that pairs name."""
@@ -420,23 +425,27 @@ class Corpus:
                     keep.append(100 * both >= percent * (len(x) + len(y) - both))
                 yield b.filter(pa.array(keep, pa.bool_())).select([0, 1])
 
-        return cut(_with_both(passed, sets, ["tokens"]).mapInArrow(verify, "a long, b long"), "links")
+        return cut(_with_both(passed, sets, ["tokens"]).mapInArrow(frugal(verify), "a long, b long"), "links")
 
     def others(self, met: DataFrame, labels: DataFrame) -> DataFrame:
         """All pairs (a < b) of classes in different components that may be linked, from the keys they share."""
         return last_only(met.sparkSession, lambda: self._others(met, labels))
 
     def _others(self, met: DataFrame, labels: DataFrame) -> DataFrame:
-        found, met = [], met.withColumn("side", F.lit(0))
-        for level in range(LEVELS + 1):
-            at = _mixed(met, labels)
-            heavy = cut(at.where(F.col("others") > LIGHT).select("token", "class"), "heavy") if level < LEVELS else None
-            found.append(cut(self._in_keys(at if heavy is None else at.where(F.col("others") <= LIGHT)), "in-keys"))
-            if heavy is None or not heavy.count():
+        most, found = DENSE * met.count(), []
+        at = _mixed(met.withColumn("side", F.lit(0)), labels)
+        for level in range(LEVELS):
+            light = F.col("others") <= LIGHT
+            pairs = at.where(~light).agg(F.coalesce(F.sum("others"), F.lit(0))).first()[0]
+            if pairs <= most:
                 break
-            to = self._to_centres(heavy)
-            found.append(to.select("a", "b"))
-            met = self._differences(to)
+            to = self._to_centres(at.where(~light).select("token", "class"))
+            after = _mixed(self._differences(to), labels)
+            if 2 * after.agg(F.coalesce(F.sum("others"), F.lit(0))).first()[0] > pairs:
+                break
+            found += [cut(self._in_keys(at.where(light)), "in-keys"), to.select("a", "b")]
+            at = after
+        found.append(cut(self._in_keys(at), "in-keys"))
         return cut(functools.reduce(DataFrame.union, found).distinct(), "others")
 
     def _in_keys(self, at: DataFrame) -> DataFrame:
@@ -445,9 +454,9 @@ class Corpus:
         at = at.join(self.prefixes.select("class", "bits"), "class")
         salts = F.ceil(F.col("all") / 50_000).cast("int")
         big = at.withColumn("salt", F.pmod(F.xxhash64("class"), salts).cast("int"))
-        few = at.where("label <> main").select(F.explode(F.sequence(F.lit(0), salts - 1)).alias("_s"), *[F.col(c).alias(f"_{c}") for c in ("token", "class", "n", "label", "bits", "side")])
+        few = at.where("label <> main").select(F.explode(F.sequence(F.lit(0), salts - 1)).alias("_s"), *[F.col(c).alias(f"_{c}") for c in ("token", "class", "n", "pos", "label", "bits", "side")])
         same = (F.col("token") == F.col("_token")) & (F.col("salt") == F.col("_s")) & (F.col("label") != F.col("_label")) & ((F.col("label") == F.col("main")) | (F.col("class") < F.col("_class")))
-        of_use = ((F.col("side") == 0) | (F.col("side") != F.col("_side"))) & _near(self.percent, "n", "_n") & _close(self.percent, BITS, "n", "_n", "bits", "_bits")
+        of_use = ((F.col("side") == 0) | (F.col("side") != F.col("_side"))) & _near(self.percent, "n", "_n") & _early(self.percent, "n", "_n", "pos", "_pos") & _close(self.percent, BITS, "n", "_n", "bits", "_bits")
         return big.join(few, same & of_use).select(F.least("class", "_class").alias("a"), F.greatest("class", "_class").alias("b")).distinct()
 
     def _to_centres(self, heavy: DataFrame) -> DataFrame:
@@ -458,7 +467,8 @@ class Corpus:
         return cut(to.withColumn("a", F.least("class", "centre")).withColumn("b", F.greatest("class", "centre")), "to-centres")
 
     def _differences(self, to: DataFrame) -> DataFrame:
-        """(token, class, n, side): the members of keys dealt again by how they differ from a centre.
+        """(token, class, n, pos, side): the members of keys dealt again by how they differ from a centre; pos
+        is 1, as keys' places say nothing here.
 
         For sets x, y and their centre c, x and y differ in |X| + |Y| - 2 |X and Y| tokens, X and Y being
         their differences from c. If they differ in at most k, X and Y share o = (|X| + |Y| - k) / 2 tokens
@@ -481,8 +491,8 @@ class Corpus:
                 classes, sizes = np.repeat(b.column(0).to_numpy(), times), np.repeat([len(b.column(2)[i]) for i in range(len(b))], times)
                 yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(classes, pa.int64()), pa.array(sizes, pa.int32()), pa.array(sides, pa.int32())], ["token", "class", "n", "side"])
 
-        dealt = cut(both.select("class", "centre", "x", "y").mapInArrow(part, "token long, class long, n int, side int"), "differences")
-        return _once_each(_of_several(dealt))
+        dealt = cut(both.select("class", "centre", "x", "y").mapInArrow(frugal(part), "token long, class long, n int, side int"), "differences")
+        return _once_each(_of_several(dealt.withColumn("pos", F.lit(1))))
 
 
 def differing(x: np.ndarray, c: np.ndarray, centre: int, levels: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
@@ -517,6 +527,11 @@ def of_rows(docs: DataFrame, rows: DataFrame) -> DataFrame:
 def classes_and_links(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
     """(rows, labels). rows: id, tkey, n, class. labels: class and the label of its component, for
     classes with links."""
+    with small_batches(docs.sparkSession):
+        return _classes_and_links(docs, width, percent, id_col, text_col)
+
+
+def _classes_and_links(docs: DataFrame, width: int, percent: int, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
     spark = docs.sparkSession
     text = F.col(text_col)
     d = docs.select(F.col(id_col).alias("id"), text_key(text).alias("tkey"), text.alias("text"))
@@ -537,7 +552,7 @@ def classes_and_links(docs: DataFrame, width: int = 5, percent: int = 80, id_col
     repeated = rows.groupBy("id", "tkey").count().where("count > 1").limit(1).count() > 0  # rows equal in id and text
     once = (lambda x: x.dropDuplicates(["class"])) if repeated else (lambda x: x)
     prefixes = cut(once(_prefixes(of_rows(d, reps), width, percent, held)), "prefixes")
-    met = prefixes.select("class", "n", F.explode("p0").alias("token"))
+    met = prefixes.select("class", "n", F.posexplode("p0").alias("pos", "token")).withColumn("pos", F.col("pos") + 1)
     # tokens that several classes have
     shared = cut(met.groupBy("token").agg(F.min("class").alias("lo"), F.max("class").alias("hi")).where("lo < hi").select("token"), "shared")
     met = _once_each(_of_several(cut(_by_size(met.join(shared, "token"), percent), "shared-tokens")))
@@ -557,7 +572,7 @@ def _by_size(met: DataFrame, percent: int) -> DataFrame:
     """met with keys of a token and a range of sizes: sets whose sizes are within the threshold of each
     other share one of the two ranges that each is dealt to."""
     at = F.floor(F.log(F.col("n")) / (1.001 * math.log(100 / min(percent, 99)))).cast("int")
-    return met.select(F.explode(F.array(at, at + 1)).alias("_r"), "token", "class", "n").select(F.xxhash64("token", "_r").alias("token"), "class", "n")
+    return met.select(F.explode(F.array(at, at + 1)).alias("_r"), "token", "class", "n", "pos").select(F.xxhash64("token", "_r").alias("token"), "class", "n", "pos")
 
 
 def _of_several(met: DataFrame) -> DataFrame:
@@ -567,19 +582,20 @@ def _of_several(met: DataFrame) -> DataFrame:
 
 
 def _once_each(met: DataFrame) -> DataFrame:
-    """met with one key of all that the same members have: others would only repeat their pairs.
-    Equal members are told by their number and 128 bits of exclusive or."""
-    own = [c for c in met.columns if c != "token"]
-    members = met.groupBy("token").agg(F.count("*").alias("many"), *[F.bit_xor(F.xxhash64(*own, F.lit(f"member {i}"))).alias(f"m{i}") for i in (1, 2)])
-    chosen = cut(members.groupBy("many", "m1", "m2").agg(F.min("token").alias("token")).select("token"), "chosen")
+    """met with one key of all that the same members have: others would only repeat their pairs. That is
+    the first of them under order 0, as it is in all members. Equal members are told by their number and
+    128 bits of exclusive or."""
+    own = [c for c in met.columns if c not in ("token", "pos")]
+    members = met.groupBy("token").agg(F.count("*").alias("many"), F.min("pos").alias("pos"), *[F.bit_xor(F.xxhash64(*own, F.lit(f"member {i}"))).alias(f"m{i}") for i in (1, 2)])
+    chosen = cut(members.groupBy("many", "m1", "m2").agg(F.min(F.struct("pos", "token")).alias("k")).select("k.token"), "chosen")
     return cut(met.join(chosen, "token", "left_semi"), "met")
 
 
 def _centres(met: DataFrame, k: int) -> DataFrame:
     """For each key that several classes have, a few of them: the ends of their order by size and by hashes."""
-    by = lambda i: F.xxhash64("class", F.lit(i))
-    first = [F.min_by("class", F.struct("n", "class")), F.max_by("class", F.struct("n", "class"))] if k == 0 else []
-    picks = first + [F.min_by("class", by(CENTRES * k + i)) for i in range(CENTRES - len(first))]
+    by, own = lambda i: F.xxhash64("class", F.lit(i)), F.struct("class", "n", "pos")
+    first = [F.min_by(own, F.struct("n", "class")), F.max_by(own, F.struct("n", "class"))] if k == 0 else []
+    picks = first + [F.min_by(own, by(CENTRES * k + i)) for i in range(CENTRES - len(first))]
     return met.groupBy("token").agg(F.count("*").alias("many"), F.array_distinct(F.array(*picks)).alias("centres")).where("many > 1")
 
 
@@ -597,19 +613,28 @@ def _with_label(d: DataFrame, labels: DataFrame | None, column: str, out: str) -
 
 def _star_pairs(met: DataFrame, tokens: DataFrame, labels: DataFrame | None, percent: int) -> DataFrame:
     """Pairs (a < b) of a class and a centre of one of its keys, not yet in one component."""
-    size = met.select(F.col("class").alias("centre"), F.col("n").alias("m")).distinct()
-    at = met.join(tokens, "token").select("class", "n", F.explode("centres").alias("centre")).where("class <> centre").distinct()
-    at = at.join(size, "centre").where(_near(percent, "n", "m"))
+    at = met.join(tokens, "token").select("class", "n", "pos", F.explode("centres").alias("c"))
+    at = at.select("class", "n", "pos", F.col("c.class").alias("centre"), F.col("c.n").alias("m"), F.col("c.pos").alias("at"))
+    at = at.where((F.col("class") != F.col("centre")) & _near(percent, "n", "m") & _early(percent, "n", "m", "pos", "at")).select("class", "centre").distinct()
     at = _with_label(_with_label(at, labels, "class", "la"), labels, "centre", "lb").where("la <> lb" if labels is not None else "true")
     return at.select(F.least("class", "centre").alias("a"), F.greatest("class", "centre").alias("b")).distinct()
 
 
+def _shared(percent: int, n: str, m: str):
+    """How many tokens sets of n and m must share."""
+    return F.floor(((F.col(n) + F.col(m)) * percent + (99 + percent)) / (100 + percent))
+
+
+def _early(percent: int, n: str, m: str, i: str, j: str):
+    """The filter on places: if the token at places i and j is the first that two sets share, they share at
+    most what follows it in both. Linked sets pass it at the first token that they share."""
+    return F.least(F.col(n) - F.col(i), F.col(m) - F.col(j)) + 1 >= _shared(percent, n, m)
+
+
 def _close(percent: int, bits: int, n: str, m: str, x: str, y: str):
     """The parity filter: with n + m tokens, sets that reach the threshold differ in so many at most."""
-    both = F.col(n) + F.col(m)
-    shared = F.floor((both * percent + (99 + percent)) / (100 + percent))
     apart = [F.bit_count(F.col(x)[i].bitwiseXOR(F.col(y)[i])) for i in range(bits // 64)]
-    return functools.reduce(operator.add, apart) <= both - 2 * shared
+    return functools.reduce(operator.add, apart) <= F.col(n) + F.col(m) - 2 * _shared(percent, n, m)
 
 
 def _mixed(met: DataFrame, labels: DataFrame) -> DataFrame:

@@ -35,6 +35,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import AddedToken, Regex, Tokenizer, decoders, models, normalizers, pre_tokenizers
 
+from .shared import frugal
+
 MARK = "▁"
 
 # Fixed values of the format: kinds of pieces and of models.
@@ -275,7 +277,7 @@ def encode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: s
             ids = codec.encode(texts)
             yield pa.RecordBatch.from_arrays([at, pa.array(ids, pa.list_(pa.int32())), pa.array(codec.decode(ids), pa.string())], ["_id", "ids", "decoded"])
 
-    return docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("text")).mapInArrow(part, f"_id {own}, ids array<int>, decoded string").withColumnRenamed("_id", id_col)
+    return docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("text")).mapInArrow(frugal(part), f"_id {own}, ids array<int>, decoded string").withColumnRenamed("_id", id_col)
 
 
 def digest(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -295,4 +297,4 @@ def digest(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: s
                 rows.append((len(raw) // 4, zlib.crc32(raw), hashlib.sha256(raw).hexdigest(), hashlib.sha256(back.encode()).hexdigest(), back == t, same))
             yield pa.RecordBatch.from_arrays([at, *[pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)]], names)
 
-    return docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("text")).mapInArrow(part, f"_id {own}, {OUT}").withColumnRenamed("_id", id_col)
+    return docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("text")).mapInArrow(frugal(part), f"_id {own}, {OUT}").withColumnRenamed("_id", id_col)

@@ -7,8 +7,8 @@ by level. Only the text makes a score.
 
 Defined results: null is scored as the empty text; without labelled rows every score is 0.5; labels
 that are null are ignored, a row labelled twice counts by its larger label; repeated rows get equal
-scores; an empty table gives an empty result; extra columns are ignored by `score` and kept by
-`filter_good`.
+scores; an empty table gives an empty result; ids may be of any type; extra columns are ignored by
+`report` and kept by `filter_good`, whatever their names.
 """
 
 from __future__ import annotations
@@ -21,6 +21,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .shared import frugal
+
 THRESHOLD = 0.7
 FEATURES = (
     "log_bytes", "log_words", "word_length", "upper", "digit", "space", "stop_marks", "commas", "exclaims", "bars", "symbols", "quotes",
@@ -134,7 +136,8 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     known = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & ~held_out(F.col(id_col))).groupBy(id_col).agg(F.max(label_col).alias("_y"))
     known = known.orderBy(F.xxhash64(id_col), id_col).limit(max_rows)
     some = docs.select(id_col, text_col).join(F.broadcast(known), id_col)
-    rows = sorted(some.mapInArrow(_stats_part, "id long, y double, x array<double>").collect(), key=lambda r: (r[0], list(r[2])))
+    some = some.select(F.col(id_col).cast("string"), F.col(text_col), F.col("_y").cast("double"))
+    rows = sorted(some.mapInArrow(_stats_part, "id string, y double, x array<double>").collect(), key=lambda r: (r[0], list(r[2])))
     x = np.array([r[2] for r in rows], float).reshape(-1, len(FEATURES))
     return fit(x, np.array([r[1] for r in rows], float), **growth)
 
@@ -142,30 +145,30 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 def _stats_part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         x = [statistics(t) for t in b.column(1).to_pylist()]
-        yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), b.column(2).cast(pa.float64()), pa.array(x, pa.list_(pa.float64()))], ["id", "y", "x"])
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(x, pa.list_(pa.float64()))], ["id", "y", "x"])
 
 
-def score(docs: DataFrame, trees: Trees, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
-    """id_col, the columns to carry along, and score for every row."""
+def score(docs: DataFrame, trees: Trees, text_col: str = "text", carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """The columns to carry along, as c0, c1 and so on, and score for every row."""
     held = docs.sparkSession.sparkContext.broadcast(trees)  # of fixed size
-    some = docs.select(F.col(text_col).alias("_text"), id_col, *carry)
-    schema = some.drop("_text").withColumn("score", F.lit(0.0)).schema
+    some = docs.select(F.col(text_col).alias("text"), *[F.col(c).alias(f"c{k}") for k, c in enumerate(carry)])
+    schema = some.drop("text").withColumn("score", F.lit(0.0)).schema
 
     def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in (whole.slice(k, 1000) for whole in batches for k in range(0, whole.num_rows, 1000)):
             x = np.array([statistics(t) for t in b.column(0).to_pylist()], float).reshape(-1, len(FEATURES))
             yield pa.RecordBatch.from_arrays([*b.columns[1:], pa.array(held.value.score(x))], [*b.schema.names[1:], "score"])
 
-    return some.mapInArrow(part, schema)
+    return some.mapInArrow(frugal(part), schema)
 
 
-def report(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", **how) -> DataFrame:
-    s = score(docs, train(docs, labels, id_col=id_col, **how), id_col=id_col)
-    return s.select(id_col, held_out(F.col(id_col)).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
+def report(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
+    s = score(docs, train(docs, labels, id_col=id_col, text_col=text_col, **how), text_col, (id_col,))
+    return s.select(F.col("c0").alias(id_col), held_out(F.col("c0")).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
 
 
 def filter_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, **how) -> DataFrame:
     """docs whose score reaches the threshold; its columns unchanged."""
     trees = train(docs, labels, id_col=id_col, text_col=text_col, **how)
-    scored = score(docs, trees, id_col, text_col, carry=tuple(c for c in docs.columns if c != id_col))
-    return scored.where(F.col("score") >= threshold).select(*docs.columns)
+    good = score(docs, trees, text_col, tuple(docs.columns)).where(F.col("score") >= threshold)
+    return good.select(*[F.col(f"c{k}").alias(c) for k, c in enumerate(docs.columns)])

@@ -3,11 +3,13 @@ folder, size-checked broadcasts, salted joins and a few native text expressions.
 
 from __future__ import annotations
 
+import contextlib
 import contextvars
+import ctypes
 import functools
 import operator
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -75,6 +77,45 @@ def last_only(spark: SparkSession, make: Callable[[], DataFrame]) -> DataFrame:
     return out
 
 
+#: Rows that go to a Python worker at once, where rows are long.
+BATCH_ROWS = 1000
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+@contextlib.contextmanager
+def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> Iterator[None]:
+    """Actions inside send at most so many rows to a Python worker at once; the session's setting is put
+    back after them. A smaller one is left as it is."""
+    own = spark.conf.get(_BATCH)
+    if 0 < int(own) <= rows:
+        yield
+        return
+    spark.conf.set(_BATCH, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(_BATCH, own)
+
+
+def frugal(part: Callable) -> Callable:
+    """part, after which its worker gives back what it has freed: workers live on between tasks and stages,
+    and allocators would keep it."""
+
+    def run(batches: Iterator) -> Iterator:
+        yield from part(batches)
+        release()
+
+    return run
+
+
+def release() -> None:
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # glibc only
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 def unused(name: str, *frames: DataFrame) -> str:
     """name, or with underscores before it, so that none of the frames has such a column."""
     taken = {c.lower() for f in frames for c in f.columns}

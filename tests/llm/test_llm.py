@@ -25,42 +25,63 @@ def edge_texts():
     return [None, "", " \t\n", "a", "A  b\nc", "A b c", "é🙂" * 3, "word " * 30_000, "x" * 50_000]
 
 
-def test_chat_repair_is_cheapest():
-    """Every sequence of roles up to five, against a search over all repairs."""
+def brute_cost(roles):
+    """The least cost over all repairs, as a search over legal turns."""
+    legal = {0: (1, 2), 1: (2,), 2: (3,), 3: (2,)}  # start, system, user, assistant
+    names = ("system", "user", "assistant")
+    best = {0: 0}
+    for role in roles:
+        after = {}
+        for s, c in best.items():
+            for new in (1, 2, 3):
+                base = 0 if role == names[new - 1] else 3
+                for path in ((), *((m,) for m in (1, 2, 3)), *itertools.product((1, 2, 3), repeat=2)):
+                    chain = (s, *path, new)
+                    if all(b in legal[a] for a, b in itertools.pairwise(chain)):
+                        after[new] = min(after.get(new, 1 << 30), c + base + len(path) * 2)
+                if new == s:
+                    after[new] = min(after.get(new, 1 << 30), c + base + 1)
+        best = after
+    return min(c + 2 * {0: 0, 1: 2, 2: 1, 3: 0}[s] for s, c in best.items())
 
-    def brute(roles):
-        best = {chat_repair.START: 0}
-        for role in roles:
-            after = {}
-            for s, c in best.items():
-                for new in (1, 2, 3):
-                    base = 0 if role == chat_repair.ROLES[new - 1] else chat_repair.RELABEL
-                    for path in ((), *((m,) for m in (1, 2, 3)), *itertools.product((1, 2, 3), repeat=2)):
-                        chain = (s, *path, new)
-                        if all(b in chat_repair.NEXT[a] for a, b in itertools.pairwise(chain)):
-                            after[new] = min(after.get(new, 1 << 30), c + base + len(path) * chat_repair.INSERT)
-                    if new == s:
-                        after[new] = min(after.get(new, 1 << 30), c + base + chat_repair.MERGE)
-            best = after
-        return min(c + chat_repair.INSERT * len(chat_repair.ending(s)) for s, c in best.items())
 
+def test_chat_repair_is_cheapest():
+    """Every sequence of roles up to five, against a search over all repairs."""
     for n in range(1, 6):
         for roles in itertools.product(("system", "user", "assistant", "bot"), repeat=n):
             costs = chat_repair.forward(chat_repair.ENTRY0, list(roles))
             end = chat_repair.last_state(costs[-1])
             steps = chat_repair.repair(list(roles), chat_repair.ENTRY0, end)
             total = sum(s[-1] for s in steps) + chat_repair.INSERT * len(chat_repair.ending(end))
-            assert total == brute(roles), roles
+            assert total == brute_cost(roles), roles
 
 
 def test_chat_blocks_do_not_matter(spark):
+    """Whole conversations in numpy, and any cut into blocks, give the same rows; rendered texts are legal."""
     random.seed(2)
-    rows = [(c, t, random.choice(["system", "user", "assistant", None, "tool"]), random.choice(["hi", "", None])) for c in (1, 2, None) for t in range(40)]
+    sizes = {1: 40, 2: 7, 3: 1, 4: 40, None: 40, **{k: k % 6 + 1 for k in range(10, 60)}}
+    rows = [(c, t, random.choice(["system", "user", "assistant", None, "tool"]), random.choice(["hi", "", None, "x\ny"])) for c, n in sizes.items() for t in range(n)]
     rows += rows[:3]
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
-    a, b = (sorted(map(str, chat_repair.format_chats(df, block=k).drop("position").collect())) for k in (3, 4096))
-    assert a == b and len(a) == len(rows)
+    made = [chat_repair.format_chats(df, block=k, longest=n).collect() for k, n in ((3, 0), (4096, 10), (5, 4096))]
+    a, b, c = (sorted(str(tuple(r)[:2] + tuple(r)[3:]) for r in m) for m in made)
+    assert a == b == c and len(a) == len(rows)
+    whole = {}
+    for r in sorted(made[2], key=lambda r: r.position):
+        whole.setdefault(r.conv_id, []).append(r)
+    for conv, turns in whole.items():
+        said = "".join(r.piece for r in turns)
+        parts = re.findall(r"<\|(system|user|assistant)\|>\n((?:(?!<\|).)*)<\|end\|>\n", said, re.S)
+        assert "".join(f"<|{role}|>\n{text}<|end|>\n" for role, text in parts) == said
+        roles = [role for role, _ in parts]
+        start = 1 if roles[0] == "system" else 0
+        assert roles[start:] == ["user", "assistant"] * ((len(roles) - start) // 2) and len(roles) == sum(r.opens for r in turns)
+        given = [r for r in rows if r[0] == conv]
+        assert re.sub(r"\n|<\|\w+\|>", "", said) == "".join((t or "").replace("\n", "") for *_, t in sorted(given, key=lambda r: (r[1], r[2] is not None, r[2] or "", r[3] is not None, r[3] or "")))
+        assert sum(r.cost for r in turns) == brute_cost([r.role for r in turns])
     assert chat_repair.format_chats(df.limit(0)).count() == 0
+    named = chat_repair.format_chats(df.selectExpr("concat('c', conv_id) AS conv_id", "turn", "role", "text", "1 AS block", "2 AS piece"), block=3, longest=2)
+    assert sorted(str((r.conv_id and int(r.conv_id[1:]), *tuple(r)[1:2], *tuple(r)[3:])) for r in named.collect()) == a
 
 
 def test_jump_moves_only_to_the_new_shard(spark):
@@ -113,6 +134,7 @@ def test_ngram_join(spark, width, percent):
 def test_ngram_join_of_crowded_keys(spark, monkeypatch, light):
     """Families of near copies that mostly aren't linked: no link is lost where keys are dealt again."""
     monkeypatch.setattr(ngram_join, "LIGHT", light)
+    monkeypatch.setattr(ngram_join, "DENSE", 0)
     monkeypatch.setattr(ngram_join, "ROUNDS", 1)
     draw = random.Random(light)
     vocab = [f"w{i}" for i in range(500)]
@@ -248,6 +270,18 @@ def test_decontaminate(spark):
     assert re.findall(r"\w+", cut[9]) == ["x", "y"] and cut[11] == texts[11]
 
 
+def test_decontaminate_by_shuffle_and_clashing_columns(spark):
+    """A benchmark too large to broadcast gives the same rows; columns of any name are kept."""
+    bench = spark.createDataFrame([(1, " ".join(f"b{i}" for i in range(14))), (2, "Short item"), (3, None), (3, "a c")], "item_id long, text string")
+    texts = [*edge_texts(), "x B3 b4, b5-b6 b7 b8 b9 b10 b11 b12 y", "a short ITEM short item", "b0 b1 b2", "a b a c"]
+    a, b = (sorted(map(str, decontaminate.scan(frame(spark, texts), bench, max_broadcast_bytes=k).collect())) for k in (1 << 20, 0))
+    assert a == b
+    odd = frame(spark, texts).selectExpr("doc_id", "text", "1 AS spans", "2 AS _own", "3 AS _w", "4 AS _g", "5 AS _id", "6 AS _k", "7 AS own_key", "8 AS its_id")
+    for what in ("spans", "documents"):
+        left = decontaminate.remove(odd, bench, what)
+        assert left.columns == odd.columns and {tuple(r)[2:] for r in left.collect()} == {(1, 2, 3, 4, 5, 6, 7, 8)}
+
+
 def test_piece_codec(spark):
     random.seed(3)
     texts = ["".join(random.choice(" \n\tabehl▁é中🙂<s>0x0A.") for _ in range(random.randint(0, 60))) for _ in range(500)]
@@ -278,6 +312,15 @@ def test_quality(spark):
     assert {r.score for r in some} == {0.5}
 
 
+def test_quality_filter_keeps_columns(spark):
+    docs = spark.createDataFrame([("a", "Some words that stand here.", 1, 2), ("b", None, 3, 4), ("c", "!!! $$$ ### x", 5, 6)], "doc_id string, text string, score int, _y int")
+    labels = spark.createDataFrame([("a", 1), ("b", 0), ("c", None)], "doc_id string, quality int")
+    assert sorted(r.doc_id for r in quality_gbdt.report(docs, labels).collect()) == ["a", "b", "c"]
+    left = quality_gbdt.filter_good(docs, labels, threshold=0.0)
+    assert left.columns == docs.columns and sorted(map(tuple, left.collect())) == sorted(map(tuple, docs.collect()))
+    assert quality_gbdt.filter_good(docs, labels, threshold=1.1).count() == 0
+
+
 def test_licenses(spark):
     texts = [*edge_texts(), "GNU General Public License; gnu general public license", "Relesed under the MIT Licence.", "cc by, CC-BY", "mit"]
     got = {r.doc_id: r for r in license_fuzzy.scan(frame(spark, texts)).collect()}
@@ -285,15 +328,60 @@ def test_licenses(spark):
     assert (got[10].n_base, got[10].labels, got[10].spans) == (0, "mit", "mit:0:29:2")
     assert (got[11].n_base, got[11].last_word) == (2, 2)
     assert all(got[i].n_base == 0 and got[i].score == 0 for i in (*range(9), 12))
-    # any notice with no more edits than it may have is found
-    random.seed(4)
+    named = license_fuzzy.scan(spark.createDataFrame([("a", "mit license")], "doc_id string, text string")).collect()
+    assert [(r.doc_id, r.n_base, r.score) for r in named] == [("a", 1, 1.0)]
+
+
+def test_licenses_with_edits():
+    """Any notice is found with no more edits than it may have, if none is in the words that name it."""
+    draw = random.Random(4)
+    search = license_fuzzy.Searcher()
+    for n in license_fuzzy.NOTICES:
+        harmless, at = [], 0
+        for w in n.text.split():
+            if w not in n.names:
+                harmless += range(at, at + len(w))
+            at += len(w) + 1
+        for _ in range(10):
+            t = list(n.text)
+            for k in draw.sample(harmless, min(n.edits, len(harmless) - 2)):
+                t[k] = draw.choice(["z", "", t[k] + "z"])
+            got = search.spans("some words " + "".join(t) + " more words")
+            assert any(s[2] == n.label for s in got), (n, "".join(t), got)
+    (a, b, k, e) = search.found("licensed under the gnu general public licens")[0]
+    row = license_fuzzy.scan_text("licensed under the gnu general public licens", search)
+    assert e == 1 and row[6] == 1 - 1 / len(search.notices[k].text)
+
+
+def test_licenses_of_other_names():
+    """A licence's name isn't taken for another's."""
+    search = license_fuzzy.Searcher()
+    only = lambda t: {s[2] for s in search.spans(t)}
+    for name, label in (("bsd", "bsd"), ("isc", "isc"), ("mit", "mit"), ("wtf", None), ("mpl", None), ("zlib", None), ("nit", None), ("apache", "apache"), ("gnu lesser general public", "lgpl"), ("gnu affero general public", "agpl"), ("gnu general public", "gpl"), ("gnu library general public", None)):
+        for verb in ("released", "licensed", "relased", "distributd"):
+            assert only(f"it is {verb} under the {name} license here") == ({label} if label else set()), (verb, name)
+    for more in ("", "nc", "nd", "sa", "nc sa", "nc nd"):
+        label = "-".join(["cc", "by", *more.split()])
+        assert only(f"licensed under cc by {more} 4 0".replace("  ", " ")) == {label}
+        long = " ".join(license_fuzzy._CC[k] for k in more.split())
+        assert only(f"licensed under a creative commons attribution {long} 4 0 international".replace("  ", " ")) == {label}
+    assert only("permission to use copy modify and distribute this software for any purpose") == {"isc"}
+    assert only("this work is licensed under the gnu lesser general public license version 3") == {"lgpl"}
+    assert only("all writes observed, the license of the public was general under a gnu") == set()
+
+
+def test_license_base_places():
+    """Base columns on random texts, against a search word by word."""
+    draw = random.Random(6)
     search = license_fuzzy.Searcher()
-    for notice, label, edits in license_fuzzy.NOTICES:
-        for _ in range(20):
-            t = list(notice)
-            for _ in range(edits):
-                t[random.randrange(len(t))] = "z"
-            assert any(s[2] == label for s in search.spans("some words " + "".join(t) + " more words")), (notice, "".join(t))
+    parts = ["GNU", "general", "Public", "license", "apache", "MIT", "cc", "BY", "é", "x1", "Kelvin", "\u212a"]
+    for _ in range(400):
+        t = "".join(draw.choice(parts) + draw.choice([" ", "-", "\n", "", ", "]) for _ in range(draw.randint(0, 30)))
+        low = "".join(c.lower() if "A" <= c <= "Z" else c for c in t)
+        words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", low)
+        places = sorted((i, label) for p, label in (("gnu general public license", "gpl"), ("apache license", "apache"), ("cc by", "cc-by"), ("mit license", "mit")) for i in range(len(words)) if words[i : i + len(p.split())] == p.split())
+        want = (len(words), len(places), places[0][0] if places else None, places[-1][0] if places else None, ",".join(sorted({x for _, x in places})))
+        assert license_fuzzy.scan_text(t, search)[:5] == want, t
 
 
 def test_licenses_side_by_side():
@@ -308,22 +396,59 @@ def test_licenses_side_by_side():
     # two readings of one place are one notice
     assert search.spans("licensed under cc by nc 4 0") == [(0, 27, "cc-by-nc", 0)]
     # any two neighbours, damaged inside
-    for (a, x, _), (b, y, _) in itertools.permutations(license_fuzzy.NOTICES, 2):
-        t = f"some {a[:7]}{a[8:]} {b[:4]}z{b[5:]} words"
-        assert {x, y} <= set(labels(t)), t
+    some = [n for k, n in enumerate(license_fuzzy.NOTICES) if k % 3 == 0 or not n.names]
+    for x, y in itertools.permutations(some, 2):
+        if not x.others & set(y.text.split()):
+            t = f"some {x.text[:4]}z{x.text[5:]} {y.text[:4]}z{y.text[5:]} words"
+            assert {x.label, y.label} <= set(labels(t)), t
 
 
-def test_exact_dedup(spark):
-    texts = [*edge_texts(), "A b c", "A\tb c", "", "A b c"]
-    ids = [*range(len(texts) - 1), 4]
-    got = exact_dedup.exact_groups(frame(spark, texts, ids), capacity=2, max_depth=4).collect()
+def brute_groups(texts, ids):
     norm = [re.sub(r"[\x20\x09-\x0d]+", " ", t or "") for t in texts]
-    for r in got:
-        same = [i for i, n in zip(ids, norm, strict=True) if hashlib.sha256(n.encode()).hexdigest() == r.text_sha256]
-        assert (r.keep_id, r.group_size, r.kept) == (min(same), len(same), r.doc_id == min(same))
-    kept = exact_dedup.keep(frame(spark, texts, ids))
-    assert kept.count() == len(set(norm)) and kept.columns == frame(spark, []).columns
-    assert exact_dedup.exact_groups(frame(spark, [])).count() == 0
+    out = []
+    for i, n in zip(ids, norm, strict=True):
+        same = [k for k, m in zip(ids, norm, strict=True) if m == n]
+        keep = min((k for k in same if k is not None), default=None)
+        out.append((i, keep, len(same), i == keep))
+    return sorted(out, key=str)
+
+
+@pytest.mark.parametrize("weak", [False, True])
+def test_exact_dedup(spark, weak):
+    """Against plain Python; with weak keys, chains; with weak digests too, entries told by their bytes."""
+    texts = [*edge_texts(), "A b c", "A\tb c", "", "A b c", *(f"text {k % 37}" for k in range(90))]
+    ids = [*range(len(texts) - 2), 4, None]
+    how = {"key": lambda t: F.char_length(t).cast("long") % 5, "digest": lambda t: F.substring(t, 1, 5)} if weak else {}
+    got = exact_dedup.exact_groups(frame(spark, texts, ids), capacity=2, **how).collect()
+    assert sorted((tuple(r)[:4] for r in got), key=str) == brute_groups(texts, ids)
+    if not weak:
+        assert {r.text_sha256 for r in got} == {hashlib.sha256(re.sub(r"[\x20\x09-\x0d]+", " ", t or "").encode()).hexdigest() for t in texts}
+        kept = exact_dedup.keep(frame(spark, texts, ids))
+        assert kept.count() == len({re.sub(r"[\x20\x09-\x0d]+", " ", t or "") for t in texts}) and kept.columns == frame(spark, []).columns
+        assert exact_dedup.exact_groups(frame(spark, [])).count() == 0
+
+
+def test_dedup_buckets(spark):
+    """Buckets split until none holds too much; each key has one, in an order of ranges."""
+    draw = random.Random(8)
+    keys = [draw.randrange(-(1 << 63), 1 << 63) for _ in range(300)] + list(range(40)) + [-1, -2, 1 << 62]
+    rows, index, slots = exact_dedup.build_index(spark.createDataFrame([(i, str(k)) for i, k in enumerate(keys)], "doc_id long, text string"), capacity=3, key=lambda t: t.cast("long"))
+    got = {r.key: r.bucket for r in index.collect()}
+    assert len(got) == len(set(keys)) == index.count()
+    most = {}
+    for b in got.values():
+        most[b] = most.get(b, 0) + 1
+    assert max(most.values()) <= 3 and slots.agg(F.max("depth")).first()[0] == 63
+    unsigned = sorted(set(keys), key=lambda k: k % (1 << 64))
+    assert [got[k] for k in unsigned] == sorted(got[k] for k in unsigned)
+    assert sum(2.0 ** -r.depth for r in slots.collect()) == 1
+
+
+def test_keep_with_clashing_columns(spark):
+    rows = [(3, "a  b", 1, 2), (1, "a b", 3, 4), (1, "a\tb", 5, 6), (None, "x", 7, 8), (None, "x", 9, 10)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _key int, own_key int")
+    left = exact_dedup.keep(docs)
+    assert left.columns == docs.columns and sorted(str(r.doc_id) for r in left.collect()) == ["1", "None"]
 
 
 def test_pipeline(spark):
