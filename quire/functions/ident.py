@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 
 HASH_DOMAIN = "quire-normalized-document/v1"
 UNIT_DOMAIN = "quire-text-unit/v1"
-SEGMENTATION = "text-segmentation/v2"
-NORMALIZATION = "quire-normalization/v6"
+SEGMENTATION = "quire-segments/3"
+NORMALIZATION = "quire-normalization/7"
 
 
 def binary(text: Column | str) -> Column:
@@ -45,10 +45,25 @@ def section_frame(section_id: Column, parent_id: Column, title: Column, level: C
     return F.concat(binary("section"), F.unhex(F.lit("00")), framed(section_id), framed_optional(parent_id), framed(title), F.unhex(F.lpad(F.hex(level.cast("int")), 2, "0")), framed(content), u64(child_count))
 
 
+def joined(frames: Column) -> Column:
+    """The frames one after another: their hex digits are joined once, so that work grows with the bytes."""
+    return F.unhex(F.array_join(F.transform(frames, lambda f: F.hex(f)), ""))
+
+
+def block_frame(section_id: Column, block_index: Column, source_order: Column, kind: Column, start: Column, end: Column) -> Column:
+    """A block's bytes in its document's hash; blocks follow in source order."""
+    return F.concat(binary("block"), F.unhex(F.lit("00")), framed(section_id), u64(block_index), u64(source_order), framed(kind), u64(start), u64(end))
+
+
+def block_map(frames: Column) -> Column:
+    """The part of a document's hash that its block map makes; null frames stand for a document without one."""
+    present = F.concat(binary("blocks:present"), u64(F.size(frames)), joined(frames))
+    return F.when(frames.isNull(), binary("blocks:absent")).otherwise(present)
+
+
 def normalized_hash(roots: Column, frames: Column, blocks: Column | None = None) -> Column:
-    """The hash of a document from its number of roots and its section frames in preorder."""
-    body = F.aggregate(frames, F.unhex(F.lit("")), lambda a, f: F.concat(a, f))
-    return F.concat(F.lit("nd1:"), F.sha2(F.concat(binary(HASH_DOMAIN), F.unhex(F.lit("00")), u64(roots), body, binary("blocks:absent") if blocks is None else blocks), 256))
+    """The hash of a document from its number of roots, its section frames in preorder and its block map."""
+    return F.concat(F.lit("nd1:"), F.sha2(F.concat(binary(HASH_DOMAIN), F.unhex(F.lit("00")), u64(roots), joined(frames), binary("blocks:absent") if blocks is None else blocks), 256))
 
 
 def unit_id(document: Column, normalized: Column, section: Column, kind: str, ordinals: list[Column], start: Column, end: Column) -> Column:

@@ -34,12 +34,13 @@ def document_frequency(units: DataFrame) -> DataFrame:
 
 
 def matches(units: DataFrame, queries: DataFrame) -> DataFrame:
-    """Units that hold all tokens of a query (relational division over postings), for
-    queries(query_id, query); the smaller side of the join is the queries' tokens."""
+    """Units that hold all tokens of a query, for queries(query_id, query). A unit meets a query at one
+    token of the query, its longest, and then is tested for all: units are read once, and none moves
+    unless the queries are too many to broadcast."""
     q = queries.select("query_id", F.trim("query").alias("query"), text.tokens(F.trim("query")).alias("query_tokens")).where("size(query_tokens) > 0")
-    want = q.select("query_id", F.explode("query_tokens").alias("token"), F.size("query_tokens").alias("n_query"))
-    hit = postings(units).join(want, "token").groupBy("query_id", "document_id", "source_order").agg(F.count("*").alias("n"), F.first("n_query").alias("n_query")).where("n = n_query")
-    return hit.select("query_id", "document_id", "source_order", "n_query").join(units, ["document_id", "source_order"]).join(q.select("query_id", "query"), "query_id")
+    q = q.select("query_id", "query", "query_tokens", F.size("query_tokens").alias("n_query"), F.element_at(F.array_sort(F.transform("query_tokens", lambda t: F.struct(F.length(t), t.alias("t")))), -1)["t"].alias("anchor"))
+    at = units.select(*units.columns, F.explode("tokens").alias("token")).join(q, F.col("token") == F.col("anchor"))
+    return at.where(F.size(F.array_except("query_tokens", "tokens")) == 0).drop("token", "anchor", "query_tokens")
 
 
 def _top(ranked: DataFrame, order: list, limit: int, per: list[str]) -> DataFrame:
@@ -55,16 +56,24 @@ def rank_phrase(units: DataFrame, queries: DataFrame, limit: int = 10, per: tupl
     return _top(m, [F.desc("score"), "kind_order", "document_id", "section_id", F.coalesce("range_start", F.lit(0)), "source_order"], limit, list(per))
 
 
+def statistics(units: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(token, df, lengths) of the wanted tokens, and of the empty token, which stands for every unit: how
+    many units hold it, and how many tokens these have together. Units are read once."""
+    w = wanted.select("token").unionByName(wanted.sparkSession.range(1).select(F.lit("").alias("token"))).distinct()
+    at = units.select(F.size("tokens").alias("n"), F.explode(F.concat(F.array(F.lit("")), "tokens")).alias("token"))
+    return at.join(w, "token").groupBy("token").agg(F.count("*").alias("df"), F.sum("n").alias("lengths"))
+
+
 def rank_bm25(units: DataFrame, queries: DataFrame, limit: int = 10, per: tuple[str, ...] = ("query_id",), k1: float = 1.2, b: float = 0.75, whole: DataFrame | None = None) -> DataFrame:
     """BM25 over distinct tokens: within a query, order is by number of tokens, then place. The score
     is 1 / (1 + rank), with counts over all documents: those of whole, where units are only a part."""
-    whole = units if whole is None else whole
-    m = matches(units, queries)
-    totals = whole.agg(F.count("*").alias("n_units"), F.avg(F.size("tokens")).alias("avg_len"))  # one row
-    q = queries.select("query_id", F.explode(text.tokens(F.trim("query"))).alias("token")).join(document_frequency(whole), "token")
+    q = queries.select("query_id", F.explode(text.tokens(F.trim("query"))).alias("token"))
+    counts = statistics(units if whole is None else whole, q)
+    of_all = counts.where("token = ''").select(F.col("df").alias("n_units"), (F.col("lengths") / F.col("df")).alias("avg_len"))  # one row
     idf = F.log((F.col("n_units") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    weights = q.join(F.broadcast(totals)).withColumn("idf", F.when(idf > 0, idf).otherwise(1e-6)).groupBy("query_id").agg(F.sum("idf").alias("idf"), F.first("avg_len").alias("avg_len"))
-    m = m.withColumn("n_tokens", F.size("tokens")).join(weights, "query_id")
+    at = q.join(counts, "token").join(F.broadcast(of_all)).withColumn("idf", F.when(idf > 0, idf).otherwise(1e-6))
+    weights = at.groupBy("query_id").agg(F.sum("idf").alias("idf"), F.first("avg_len").alias("avg_len"))
+    m = matches(units, queries).withColumn("n_tokens", F.size("tokens")).join(weights, "query_id")
     raw = F.col("idf") * (k1 + 1) / (1 + k1 * (1 - b + b * F.col("n_tokens") / F.col("avg_len")))
     m = m.withColumn("score", 1 / (1 + raw))
     return _top(m, ["n_tokens", "document_id", "source_order"], limit, list(per))

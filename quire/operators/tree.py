@@ -12,22 +12,26 @@ KEY = ["document_id"]
 
 
 def enrich(sections: DataFrame) -> DataFrame:
-    """Adds depth, ancestor_ids, child_count and subtree_size to sections in preorder, by a
-    recursive query over parents."""
-    spark = sections.sparkSession
-    sections.select("document_id", "section_id", "parent_id", "dfs_order").createOrReplaceTempView("_quire_tree")
-    up = spark.sql(
-        """WITH RECURSIVE up AS (
-             SELECT document_id, section_id, dfs_order, 1 AS depth, CAST(array() AS array<string>) AS ancestor_ids FROM _quire_tree WHERE parent_id IS NULL
-             UNION ALL
-             SELECT t.document_id, t.section_id, t.dfs_order, u.depth + 1, concat(u.ancestor_ids, array(t.parent_id))
-             FROM _quire_tree t JOIN up u ON t.document_id = u.document_id AND t.parent_id = u.section_id)
-           SELECT * FROM up"""
+    """Adds depth, ancestor_ids, child_count and subtree_size to sections in preorder, for tables that no
+    parser of this library has made (sources.router gives these columns already). Within a document,
+    one walk in preorder keeps the path of open sections; documents are independent of each other."""
+    key = ["document_id", "section_id"]
+    one = sections.groupBy("document_id").agg(F.array_sort(F.collect_list(F.struct("dfs_order", "section_id", "parent_id"))).alias("s"))
+    empty = F.array().cast("array<string>")
+
+    def step(path: Column, s: Column) -> Column:
+        """The ancestors of a section, and itself: the open path up to its parent."""
+        return F.concat(F.when(s["parent_id"].isNull(), empty).otherwise(F.slice(path, F.lit(1), F.array_position(path, s["parent_id"]).cast("int"))), F.array(s["section_id"]))
+
+    walked = F.aggregate(
+        "s",
+        F.array().cast("array<array<string>>"),
+        lambda done, s: F.concat(done, F.array(step(F.coalesce(F.try_element_at(done, F.lit(-1)), empty), s))),
     )
-    below = up.select("document_id", F.explode(F.concat("ancestor_ids", F.array("section_id"))).alias("section_id")).groupBy("document_id", "section_id").agg(F.count("*").alias("subtree_size"))
+    up = one.select("document_id", F.explode(walked).alias("path")).select("document_id", F.element_at("path", -1).alias("section_id"), F.size("path").alias("depth"), F.slice("path", F.lit(1), F.size("path") - 1).alias("ancestor_ids"), "path")
+    below = up.select("document_id", F.explode("path").alias("section_id")).groupBy(*key).agg(F.count("*").alias("subtree_size"))
     kids = sections.where("parent_id is not null").groupBy("document_id", F.col("parent_id").alias("section_id")).agg(F.count("*").alias("child_count"))
-    key = ["document_id", "section_id"]
-    return sections.join(up.select(*key, "depth", "ancestor_ids"), key).join(below, key).join(kids, key, "left").fillna(0, ["child_count"])
+    return sections.join(up.drop("path"), key).join(below, key).join(kids, key, "left").fillna(0, ["child_count"])
 
 
 def outline(sections: DataFrame, max_depth: int | None = None, budget: int = 1000) -> DataFrame:

@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.functions import ident
-from quire.operators import tree
 from quire.sources import router
 
 from .store import normalized_hashes
@@ -45,7 +44,7 @@ def chat_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The sections of all conversations, with what tree queries need."""
     parsed = router.parse(chat_markdown(spark, sf_dir))
     key = parsed.select("source", ident.document_id(F.col("source"), F.col("content_hash")).alias("document_id"))
-    return tree.enrich(router.sections(parsed).drop("native_location", "anchor", "chapter", "page")).join(key, "document_id")
+    return router.sections(parsed).drop("native_location", "anchor", "chapter", "page").join(key, "document_id")
 
 
 def joined_chats(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -95,7 +95,7 @@ ORACLES = {
     "paragraph_units": f"WITH {_J} SELECT document_id, paragraph_index, paragraph_index - 1 AS source_order, range_start, range_end, text, 'prose_or_unknown' AS content_class FROM q",
     "paragraph_coverage": f"WITH {_J} SELECT document_id, length(content) AS owner_chars, count(*) AS paragraph_count, CAST(sum(range_end - range_start) AS BIGINT) AS paragraph_chars, CAST(length(content) - sum(range_end - range_start) AS BIGINT) AS separator_chars, CAST(sum(range_end - range_start) AS BIGINT) AS fallback_chars FROM q GROUP BY document_id, content",
     "paragraph_ids": f"""WITH {_J}, h AS (SELECT *, 'nd1:' || sha256({HASH} || {ZERO} || {u64('1')} || {frame(chr(39) + 'section://document' + chr(39), 'NULL', chr(39) + 'chat' + chr(39), 1, 'content', '0')} || encode('blocks:absent')) AS nh FROM q)
-        SELECT document_id, paragraph_index, 'tu1:' || sha256(encode('quire-text-unit/v1') || {framed('document_id')} || {framed('nh')} || {framed(chr(39) + 'section://document' + chr(39))} || {framed(chr(39) + 'paragraph' + chr(39))} || {u64('paragraph_index')} || {u64('range_start')} || {u64('range_end')} || {framed(chr(39) + 'text-segmentation/v2' + chr(39))}) AS unit_id FROM h""",
+        SELECT document_id, paragraph_index, 'tu1:' || sha256(encode('quire-text-unit/v1') || {framed('document_id')} || {framed('nh')} || {framed(chr(39) + 'section://document' + chr(39))} || {framed(chr(39) + 'paragraph' + chr(39))} || {u64('paragraph_index')} || {u64('range_start')} || {u64('range_end')} || {framed(chr(39) + 'quire-segments/3' + chr(39))}) AS unit_id FROM h""",
     "exact_slice_roundtrip": f"WITH {_J} SELECT document_id, count(*) AS paragraphs, count(*) AS exact FROM q GROUP BY document_id",
     "paragraph_content_class": "SELECT doc_id, list_extract(['prose_or_unknown', 'code_block', 'code_block', 'table'], CAST(doc_id % 4 + 1 AS INTEGER)) AS content_class FROM documents WHERE text IS NOT NULL",
     "sentence_units": f"WITH {_S} SELECT * FROM sentences",

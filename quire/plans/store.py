@@ -12,12 +12,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.functions import ident
-from quire.operators import lexical, tree, units
+from quire.operators import lexical, units
 from quire.sources import router
 
-VERSIONS = {"segmentation": ident.SEGMENTATION, "tokenizer": "lexical-tokenizer/v1", "index": "lexical-search-index/v3"}
+VERSIONS = {"segmentation": ident.SEGMENTATION, "tokenizer": "quire-tokens/2", "index": "quire-index/4"}
 BASE = ("documents", "sections", "blocks")
-DERIVED = ("paragraphs", "sentences", "lexical_units")
+DERIVED = ("paragraphs", "sentences", "lexical_units", "postings", "indexed")
 
 
 class Store:
@@ -60,19 +60,20 @@ class Store:
         out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(self._path(name))
 
     def put(self, parsed: DataFrame) -> None:
-        """Replace the documents that router.parse() gives, and what is derived from them."""
+        """Replace the documents that router.parse() gives, and what is derived from them. The documents
+        table, by which others know that a document is stored, is written last: after a failure in between,
+        its documents are missing or old, and putting them again mends all tables."""
         staged = self._path("_staging/parsed")
         parsed.write.mode("overwrite").parquet(staged)
         parsed = self.spark.read.schema(parsed.schema).parquet(staged)
+        secs, blocks = router.sections(parsed), router.blocks(parsed)
         docs = router.documents(parsed)
-        secs = tree.enrich(router.sections(parsed))
-        hashes = normalized_hashes(secs)
-        docs = docs.join(hashes, "document_id", "left")
+        docs = docs.join(normalized_hashes(secs, blocks, docs), "document_id", "left")
         ids = docs.select("document_id").distinct()
-        self._replace("documents", docs, ids)
         self._replace("sections", secs, ids)
-        self._replace("blocks", router.blocks(parsed), ids)
-        self._derive(docs, secs, router.blocks(parsed), ids)
+        self._replace("blocks", blocks, ids)
+        self._derive(docs, secs, blocks, ids)
+        self._replace("documents", docs, ids)
         self._stamp()
 
     def _derive(self, docs: DataFrame, secs: DataFrame, blocks: DataFrame, ids: DataFrame) -> None:
@@ -80,7 +81,11 @@ class Store:
         sents = units.sentences(paras)
         self._replace("paragraphs", units.with_paragraph_ids(paras, docs), ids)
         self._replace("sentences", units.with_sentence_ids(sents, docs), ids)
-        self._replace("lexical_units", lexical.candidates(secs, paras, sents), ids)
+        found = lexical.candidates(secs, paras, sents)
+        self._replace("lexical_units", found, ids)
+        self._replace("postings", lexical.postings(self.table("lexical_units").join(ids, "document_id", "left_semi")), ids)
+        versions = F.lit(json.dumps(VERSIONS, sort_keys=True)).alias("versions")
+        self._replace("indexed", ids.select("document_id", versions), ids)
 
     def _stamp(self) -> None:
         self.spark.createDataFrame([(json.dumps(VERSIONS, sort_keys=True),)], "versions string").coalesce(1).write.mode("overwrite").parquet(self._path("_versions"))
@@ -88,17 +93,60 @@ class Store:
     def current(self) -> bool:
         return self._exists("_versions") and self.spark.read.parquet(self._path("_versions")).first()[0] == json.dumps(VERSIONS, sort_keys=True)
 
+    def unindexed(self) -> DataFrame:
+        """document_id of documents whose derived rows are missing, or were made by other versions."""
+        docs = self.table("documents").select("document_id")
+        if not self._exists("indexed"):
+            return docs
+        good = self.table("indexed").where(F.col("versions") == json.dumps(VERSIONS, sort_keys=True))
+        return docs.join(good, "document_id", "left_anti")
+
     def ensure(self) -> None:
-        """Rebuild derived tables that other versions wrote; documents and sections are left as they are."""
-        if self._exists("sections") and not self.current():
-            docs = self.table("documents")
-            self._derive(docs, self.table("sections"), self.table("blocks"), docs.select("document_id"))
+        """Derive again what is missing or was written by other versions, document by document; documents
+        and sections are left as they are."""
+        if not self._exists("documents"):
+            return
+        staged = self._path("_staging/unindexed")
+        self.unindexed().write.mode("overwrite").parquet(staged)
+        ids = self.spark.read.schema("document_id string").parquet(staged)
+        if not ids.isEmpty():
+            some = lambda name: self.table(name).join(ids, "document_id", "left_semi")
+            self._derive(some("documents"), some("sections"), some("blocks"), ids)
             self._stamp()
 
-
-def normalized_hashes(secs: DataFrame) -> DataFrame:
-    """document_id, normalized_hash from sections in preorder."""
+    def invariants(self) -> DataFrame:
+        """(rule, document_id, rows) of stored rows that break a rule; none is due. Ranges lie in their
+        section and in order, units are numbered from 1 without gaps, and texts are what ranges address."""
+        from pyspark.sql import Window
+
+        key = ["document_id", "section_id"]
+        content = self.table("sections").select(*key, "content")
+        out = []
+        for name, number, of in (("paragraphs", "paragraph_index", key), ("sentences", "sentence_index", [*key, "paragraph_index"])):
+            at = self.table(name).join(content, key, "left").withColumn("due", F.row_number().over(Window.partitionBy(*of).orderBy("range_start")))
+            cut = F.substring("content", F.col("range_start").cast("int") + 1, (F.col("range_end") - F.col("range_start")).cast("int"))
+            rules = {
+                "owner": F.col("content").isNull(),
+                "range": (F.col("range_start") < 0) | (F.col("range_start") >= F.col("range_end")) | (F.col("range_end") > F.char_length("content")),
+                "number": F.col("due") != F.col(number),
+                "text": cut != F.col("text"),
+            }
+            broken = F.explode(F.filter(F.array(*[F.when(F.coalesce(c, F.lit(False)), F.lit(f"{name}_{r}")) for r, c in rules.items()]), lambda x: x.isNotNull()))
+            out.append(at.select("document_id", broken.alias("rule")))
+        return out[0].unionByName(out[1]).groupBy("rule", "document_id").agg(F.count("*").alias("rows"))
+
+
+def normalized_hashes(secs: DataFrame, blocks: DataFrame | None = None, docs: DataFrame | None = None) -> DataFrame:
+    """document_id, normalized_hash from sections in preorder and, for the documents of docs
+    (document_id, has_blocks) that have a block map, from their blocks."""
     c = F.col
+    in_order = lambda order, frame: F.transform(F.array_sort(F.collect_list(F.struct(order, frame.alias("frame")))), lambda x: x["frame"])
     frame = ident.section_frame(c("section_id"), c("parent_id"), c("title"), c("level"), c("content"), c("child_count"))
-    got = secs.groupBy("document_id").agg(F.count(F.when(c("parent_id").isNull(), 1)).alias("roots"), F.array_sort(F.collect_list(F.struct("dfs_order", frame.alias("frame")))).alias("frames"))
-    return got.select("document_id", ident.normalized_hash(c("roots"), F.transform("frames", lambda x: x["frame"])).alias("normalized_hash"))
+    got = secs.groupBy("document_id").agg(F.count(F.when(c("parent_id").isNull(), 1)).alias("roots"), in_order("dfs_order", frame).alias("frames"))
+    if blocks is None:
+        return got.select("document_id", ident.normalized_hash(c("roots"), c("frames")).alias("normalized_hash"))
+    b = ident.block_frame(c("section_id"), c("block_index"), c("source_order"), c("kind"), c("range_start"), c("range_end"))
+    maps = blocks.groupBy("document_id").agg(in_order("source_order", b).alias("blocks"))
+    got = got.join(docs.select("document_id", "has_blocks"), "document_id").join(maps, "document_id", "left")
+    known = F.when(c("has_blocks"), F.coalesce("blocks", F.array().cast("array<binary>")))
+    return got.select("document_id", ident.normalized_hash(c("roots"), c("frames"), ident.block_map(known)).alias("normalized_hash"))

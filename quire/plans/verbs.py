@@ -90,7 +90,7 @@ class Library:
         forward = direction == "forward"
         at = 0 if forward else total
         if cursor:
-            claims = cursors.decode("text-unit-cursor/v1", cursor, scope | {"total": total})
+            claims = cursors.decode(cursors.UNITS, cursor, scope | {"total": total})
             at = claims["position"]
         got = paging.page(items, [], F.lit(at), max_items, max_chars, forward).orderBy("index").collect()  # at most 256 items
         left = total - at if forward else at
@@ -98,7 +98,7 @@ class Library:
             raise InvalidRequest("the next item doesn't fit into max_chars")
         to = at + len(got) if forward else at - len(got)
         complete = to >= total if forward else to <= 0
-        return {"items": got, "complete": complete, "total": total, "next_cursor": None if complete else cursors.encode("text-unit-cursor/v1", scope | {"total": total, "position": to})}
+        return {"items": got, "complete": complete, "total": total, "next_cursor": None if complete else cursors.encode(cursors.UNITS, scope | {"total": total, "position": to})}
 
     def read_document(self, document_id: str, section_id: str | None = None, locator: dict | None = None, max_chars: int | None = None, cursor: str | None = None) -> dict:
         """A page of a section with all below it as Markdown, or of exactly what a locator addresses."""
@@ -116,12 +116,12 @@ class Library:
             whole, target = row["text"], {"locator": locator}
         limit = paging.response_limit(max_chars)
         scope = {"document": document_id, "content_hash": doc["content_hash"], "normalized_hash": doc["normalized_hash"], "target": target, "total": len(whole)}
-        at = cursors.decode("read-cursor/v2", cursor, scope)["position"] if cursor else 0
+        at = cursors.decode(cursors.READ, cursor, scope)["position"] if cursor else 0
         if cursor and limit == 0:
             raise InvalidRequest("a continued read needs max_chars")
         end = min(len(whole), at + limit)
         more = end < len(whole)
-        return {"content": whole[at:end], "start": at, "end": end, "total": len(whole), "complete": not more, "next_cursor": cursors.encode("read-cursor/v2", scope | {"position": end}) if more else None}
+        return {"content": whole[at:end], "start": at, "end": end, "total": len(whole), "complete": not more, "next_cursor": cursors.encode(cursors.READ, scope | {"position": end}) if more else None}
 
     LOCATOR = "document_id string, content_hash string, normalized_hash string, section_id string, paragraph_index int, sentence_index int, range_start long, range_end long, segmentation string"
 

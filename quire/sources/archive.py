@@ -4,9 +4,12 @@ from __future__ import annotations
 
 import io
 import posixpath
+import re
 import zipfile
+from html import unescape
 from urllib.parse import unquote
 from xml.etree import ElementTree
+from xml.parsers import expat
 
 from .html import parse_html
 from .model import Block, Outline, Parsed, ParseError, Section, fallback_title
@@ -71,11 +74,31 @@ def xml(data: bytes | None, name: str) -> ElementTree.Element:
     if data is None:
         raise ParseError(f"{name} is missing")
     try:
+        _refuse_entities(data, name)
         return ElementTree.fromstring(data)
-    except ElementTree.ParseError as e:
+    except (ElementTree.ParseError, expat.ExpatError) as e:
         raise ParseError(f"{name} isn't well-formed") from e
 
 
+def _refuse_entities(data: bytes, name: str) -> None:
+    """A document that declares entities of its own may expand to any size."""
+
+    def declared(*_: object) -> None:
+        raise ParseError(f"{name} declares entities")
+
+    parser = expat.ParserCreate()
+    parser.EntityDeclHandler = declared
+    parser.Parse(data, True)
+
+
+_IDS = re.compile(rb"""\b(?:id|name)\s*=\s*(?:"([^"]*)"|'([^']*)')""", re.I)
+
+
+def ids_of(raw: bytes) -> set[str]:
+    """The values of all id and name attributes of an HTML text."""
+    return {unescape((a or b).decode("utf-8", "replace")) for a, b in _IDS.findall(raw)}
+
+
 def _find(root: ElementTree.Element, name: str) -> ElementTree.Element | None:
     return next((x for x in root.iter() if local(x.tag) == name), None)
 
@@ -207,7 +230,7 @@ def parse_epub(data: bytes, source: str, metadata: dict[str, str]) -> Parsed:
     blocks: list[Block] = []
     first_of: dict[str, str] = {}
     anchors: dict[tuple[str, str], str] = {}
-    facts = []
+    facts, ids = [], {}
     for n, (ref, linear) in enumerate(refs, 1):
         item = manifest.get(ref)
         status = "missing_manifest" if item is None else "unsupported_media" if item["media"] not in READABLE else "parsed"
@@ -215,6 +238,7 @@ def parse_epub(data: bytes, source: str, metadata: dict[str, str]) -> Parsed:
         facts.append({"spine_index": n, "idref": ref, "linear": linear, "status": status if raw is not None or status != "parsed" else "missing_resource"})
         if raw is None:
             continue
+        ids[item["path"]] = ids_of(raw)
         got = parse_html(raw, item["path"], {})
         renamed = {s.section_id: f"section://epub-{n}/{s.section_id.removeprefix('section://')}" for s in got.sections}
         for s in got.sections:
@@ -232,9 +256,12 @@ def parse_epub(data: bytes, source: str, metadata: dict[str, str]) -> Parsed:
     kind, entry, nodes, notes = navigation(archive, path, opf, manifest)
     by_id = {s.section_id: s for s in sections}
     owner: dict[str, int] = {}
+    media_of: dict[str, str] = {}
+    for m in manifest.values():
+        media_of.setdefault(m["path"], m["media"])
     for node in nodes:
         at = resolve(entry, node["href"]) if node["href"] else None
-        media = next((m["media"] for m in manifest.values() if at and m["path"] == at[0]), "")
+        media = media_of.get(at[0], "") if at else ""
         if not node["href"]:
             node["status"] = "unlinked"
         elif at is None:
@@ -246,8 +273,9 @@ def parse_epub(data: bytes, source: str, metadata: dict[str, str]) -> Parsed:
         elif at[1] is None:
             node["status"] = "resolved_document"
         else:
-            raw = archive.read(at[0]) or b""
-            node["status"] = "resolved_fragment" if any(q + at[1].encode() + q in raw for q in (b'"', b"'")) else "missing_fragment"
+            if at[0] not in ids:  # each entry is read once
+                ids[at[0]] = ids_of(archive.read(at[0]) or b"")
+            node["status"] = "resolved_fragment" if at[1] in ids[at[0]] else "missing_fragment"
         target = None
         if node["status"] == "resolved_fragment":
             target = anchors.get(at)

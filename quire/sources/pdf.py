@@ -60,18 +60,17 @@ def parse_pdf(data: bytes, source: str, metadata: dict[str, str], max_pages: int
         raise ParseError("the PDF has no readable catalog")
     pages: list[int] = []
 
-    def walk(n: int, seen: frozenset) -> None:
-        body = objects.get(n, b"")
-        if n in seen or len(pages) > max_pages:
-            return
-        kids = _entry(body, b"Kids")
-        for k in _refs(kids) if kids else []:
-            walk(k, seen | {n})
-        if not kids:
+    seen: set[int] = set()  # a node that is met again is a cycle, or shared
+    due = _refs(_entry(catalog, b"Pages") or b"")[::-1]
+    while due and len(pages) <= max_pages:
+        n = due.pop()
+        if n in seen:
+            continue
+        seen.add(n)
+        if kids := _entry(objects.get(n, b""), b"Kids"):
+            due += _refs(kids)[::-1]
+        elif n in objects:
             pages.append(n)
-
-    for n in _refs(_entry(catalog, b"Pages") or b""):
-        walk(n, frozenset())
     if len(pages) > max_pages:
         raise ParseError("the PDF has too many pages")
     texts, failed = [], 0
@@ -92,19 +91,20 @@ def parse_pdf(data: bytes, source: str, metadata: dict[str, str], max_pages: int
     title = title or fallback_title(metadata, source)
     entries: list[tuple[int, str, int]] = []  # level, title, page
 
-    def outline_items(n: int, level: int) -> None:
-        while n in objects and len(entries) < 10_000:
-            body = objects[n]
-            name, dest = _entry(body, b"Title"), _refs(_entry(body, b"Dest") or _entry(body, b"D") or b"")
-            if name and dest and dest[0] in pages:
-                entries.append((level, _string(name).strip(), pages.index(dest[0]) + 1))
-            if kids := _refs(_entry(body, b"First") or b""):
-                outline_items(kids[0], level + 1)
-            n = next(iter(_refs(_entry(body, b"Next") or b"")), -1)
-
-    for n in _refs(_entry(catalog, b"Outlines") or b""):
-        for k in _refs(_entry(objects.get(n, b""), b"First") or b""):
-            outline_items(k, 1)
+    number = {n: k for k, n in reversed(list(enumerate(pages, 1)))}
+    met: set[int] = set()  # outline items may refer to each other in a circle
+    due = [(k, 1) for n in _refs(_entry(catalog, b"Outlines") or b"") for k in _refs(_entry(objects.get(n, b""), b"First") or b"")[:1]][::-1]
+    while due:
+        n, level = due.pop()
+        if n in met or n not in objects:
+            continue
+        met.add(n)
+        body = objects[n]
+        name, dest = _entry(body, b"Title"), _refs(_entry(body, b"Dest") or _entry(body, b"D") or b"")
+        if name and dest and dest[0] in number:
+            entries.append((level, _string(name).strip(), number[dest[0]]))
+        due += [(k, level) for k in _refs(_entry(body, b"Next") or b"")[:1]]
+        due += [(k, level + 1) for k in _refs(_entry(body, b"First") or b"")[:1]]
     meta = dict(metadata) | {"page_count": str(len(pages)), "failed_pages": str(failed)}
     made, out = Outline(), []
     if not entries:

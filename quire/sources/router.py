@@ -16,7 +16,7 @@ from quire.functions import ident
 
 from .archive import parse_docx, parse_epub
 from .html import parse_html
-from .model import ParseError, Parsed
+from .model import ParseError, Parsed, Section
 from .openapi import parse_openapi
 from .pdf import parse_pdf
 from .plain import parse_markdown, parse_text
@@ -49,7 +49,10 @@ class Limits:
     characters: int = 16_000_000
 
 
-_SECTION = "struct<section_id:string,parent_id:string,title:string,level:int,content:string,native_location:string,anchor:string,chapter:string,page:int>"
+#: A batch of parsed resources is given on when it is made from so many bytes, or has so many rows.
+OUT_BYTES, OUT_ROWS = 8 << 20, 1000
+
+_SECTION = "struct<section_id:string,parent_id:string,title:string,level:int,content:string,native_location:string,anchor:string,chapter:string,page:int,depth:int,ancestor_ids:array<string>,child_count:int,subtree_size:int>"
 _BLOCK = "struct<section_id:string,block_index:int,source_order:int,kind:string,range_start:bigint,range_end:bigint,native_location:string>"
 _PARSED = f"source string, content_hash string, media_type string, title string, metadata map<string,string>, sections array<{_SECTION}>, has_blocks boolean, blocks array<{_BLOCK}>, error_code string, error string"
 
@@ -58,11 +61,20 @@ def media_type(name: str) -> str:
     return name.partition(";")[0].strip().lower()
 
 
-def _depth(parsed: Parsed) -> int:
-    deep: dict[str, int] = {}
-    for s in parsed.sections:
-        deep[s.section_id] = deep.get(s.parent_id, 0) + 1
-    return max(deep.values(), default=0)
+def placed(sections: list[Section]) -> list[dict]:
+    """Sections in preorder as rows with their place in the tree: depth, ancestors, children, and how many
+    sections lie at and below them."""
+    at, rows = {}, []
+    for s in sections:
+        up = at.get(s.parent_id)
+        above = [] if up is None else [*rows[up]["ancestor_ids"], s.parent_id]
+        at.setdefault(s.section_id, len(rows))
+        rows.append(asdict(s) | {"depth": len(above) + 1, "ancestor_ids": above, "child_count": 0, "subtree_size": 1})
+    for s, row in zip(reversed(sections), reversed(rows), strict=True):
+        if (up := at.get(s.parent_id)) is not None and rows[up] is not row:
+            rows[up]["child_count"] += 1
+            rows[up]["subtree_size"] += row["subtree_size"]
+    return rows
 
 
 def parse_one(data: bytes, source: str, kind: str, metadata: dict[str, str], limits: Limits, parsers: dict[str, Parser]) -> dict:
@@ -76,9 +88,12 @@ def parse_one(data: bytes, source: str, kind: str, metadata: dict[str, str], lim
         p = parser(data, source, metadata)
     except (ParseError, RecursionError, ValueError, KeyError, AttributeError, TypeError) as e:
         return row | {"error_code": "PARSE_FAILED", "error": str(e)[:500]}
-    if len(p.sections) > limits.sections or _depth(p) > limits.depth or sum(len(s.content) for s in p.sections) > limits.characters:
-        return row | {"error_code": "RESOURCE_LIMIT", "error": "too many sections, levels or characters"}
-    return row | {"title": p.title, "metadata": list(p.metadata.items()) or list(metadata.items()), "sections": [asdict(s) for s in p.sections], "has_blocks": p.blocks is not None, "blocks": [asdict(b) for b in p.blocks or []]}
+    if len(p.sections) > limits.sections or sum(len(s.content) for s in p.sections) > limits.characters:
+        return row | {"error_code": "RESOURCE_LIMIT", "error": "too many sections or characters"}
+    sections = placed(p.sections)
+    if max((s["depth"] for s in sections), default=0) > limits.depth:
+        return row | {"error_code": "RESOURCE_LIMIT", "error": "too many levels"}
+    return row | {"title": p.title, "metadata": list(p.metadata.items()) or list(metadata.items()), "sections": sections, "has_blocks": p.blocks is not None, "blocks": [asdict(b) for b in p.blocks or []]}
 
 
 def parse(resources: DataFrame, limits: Limits | None = None, parsers: dict[str, Parser] | None = None) -> DataFrame:
@@ -91,10 +106,15 @@ def parse(resources: DataFrame, limits: Limits | None = None, parsers: dict[str,
 
     def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = []
-            for r in b.to_pylist():
+            rows, held = [], 0
+            for k in range(b.num_rows):  # a row at a time, as one may have up to limits.document_bytes
+                r = b.slice(k, 1).to_pylist()[0]
                 made = parse_one(r["bytes"] or b"", r["source"], r["media_type"] or "", dict(r["metadata"] or {}), limits, parsers)
                 rows.append({"source": r["source"], "content_hash": r["content_hash"], "media_type": r["media_type"]} | made)
+                held += len(r["bytes"] or b"")
+                if held >= OUT_BYTES or len(rows) >= OUT_ROWS:
+                    yield pa.RecordBatch.from_pylist(rows, schema=arrow)
+                    rows, held = [], 0
             yield pa.RecordBatch.from_pylist(rows, schema=arrow)
 
     some = resources.select("source", "media_type", "bytes", "metadata", F.concat(F.lit("sha256:"), F.sha2("bytes", 256)).alias("content_hash"))

@@ -5,8 +5,9 @@ from __future__ import annotations
 import hashlib
 import json
 
-# Versions with their prefixes, and the longest token.
-PREFIXES = {"read-cursor/v2": "rc1.", "text-unit-cursor/v1": "tuc1."}
+READ, UNITS = "quire-read/1", "quire-units/1"
+PREFIXES = {READ: "qr-", UNITS: "qu-"}
+#: The longest token.
 MAX_CHARS = 16_384
 
 
