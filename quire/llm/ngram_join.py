@@ -303,11 +303,9 @@ def _rows(docs: DataFrame, width: int) -> DataFrame:
     return docs.mapInArrow(frugal(part), schema)
 
 
-def _add(pdf):
-    import pandas as pd
-
-    total = sum(np.frombuffer(zlib.decompress(c), "<i8") for c in pdf["counts"])
-    return pd.DataFrame({"block": pdf["block"].iloc[:1], "salt": pdf["salt"].iloc[:1], "counts": [zlib.compress(total.tobytes(), 1)]})
+def _add(table: pa.Table) -> pa.Table:
+    total = sum(np.frombuffer(zlib.decompress(c.as_py()), "<i8") for c in table["counts"])
+    return pa.table({"block": table["block"][:1], "salt": table["salt"][:1], "counts": pa.array([zlib.compress(total.tobytes(), 1)], pa.binary())})
 
 
 def corpus_counts(rows: DataFrame) -> np.ndarray:
@@ -315,7 +313,7 @@ def corpus_counts(rows: DataFrame) -> np.ndarray:
     tables of fixed size."""
     some = rows.where("kind = 1").select("block", "counts").withColumn("salt", F.pmod(F.xxhash64("counts"), F.lit(32)).cast("int"))
     for salt in (F.col("salt"), F.lit(0)):
-        some = some.withColumn("salt", salt).groupBy("block", "salt").applyInPandas(_add, "block int, salt int, counts binary")
+        some = some.withColumn("salt", salt).groupBy("block", "salt").applyInArrow(_add, "block int, salt int, counts binary")
     per = (1 << SKETCH_BITS) // SKETCH_BLOCKS
     total = np.zeros(2 << SKETCH_BITS, np.int64)
     for block, counts in some.select("block", "counts").collect():

@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import AddedToken, Regex, Tokenizer, decoders, models, normalizers, pre_tokenizers
 
-from .shared import frugal
+from .shared import frugal, release
 
 MARK = "▁"
 
@@ -147,7 +147,7 @@ def build(m: Model, bare: bool = False) -> Tokenizer:
 
 
 #: Words whose ids are remembered take about so many bytes, and are at most so long.
-CACHED_BYTES, CACHED_CHARS = 32 << 20, 48
+CACHED_BYTES, CACHED_CHARS = 8 << 20, 48
 #: What Python keeps for a word besides its characters and ids.
 ENTRY_BYTES = 200
 #: So many words go to the library at once.
@@ -241,7 +241,9 @@ def checked_codec(data: bytes) -> Codec:
 
 
 OUT = "n_tokens long, ids_crc32 long, ids_sha256 string, decoded_sha256 string, round_trip boolean, parity boolean"
-BATCH_CHARS, BATCH_ROWS = 1 << 20, 500
+BATCH_CHARS, BATCH_ROWS = 1 << 19, 250
+#: Freed memory is given back after so many slices.
+RELEASE_EVERY = 32
 
 
 def _slices(texts: list[str], limit: int = BATCH_CHARS) -> Iterator[tuple[int, int]]:
@@ -258,12 +260,15 @@ def _slices(texts: list[str], limit: int = BATCH_CHARS) -> Iterator[tuple[int, i
 
 def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, list[str]]]:
     """ids and texts of a few rows at a time."""
+    done = 0
     for batch in batches:
         for k in range(0, batch.num_rows, BATCH_ROWS):
             some = batch.slice(k, BATCH_ROWS)
             texts = [t or "" for t in some.column(1).to_pylist()]
             for a, b in _slices(texts):
                 yield some.column(0).slice(a, b - a), texts[a:b]
+                if (done := done + 1) % RELEASE_EVERY == 0:
+                    release()
 
 
 def encode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
