@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quire.functions import ident, text
@@ -16,15 +16,30 @@ def candidates(sections: DataFrame, paras: DataFrame, sents: DataFrame) -> DataF
     """One row for each section title, paragraph and sentence that has tokens."""
     none = F.lit(None).cast("int")
     zero = F.lit(None).cast("long")
-    s = sections.select("document_id", "section_id", "dfs_order", F.lit("section").alias("kind"), none.alias("paragraph_index"), none.alias("sentence_index"), zero.alias("range_start"), F.col("title").alias("text"))
-    p = paras.select("document_id", "section_id", "dfs_order", F.lit("paragraph").alias("kind"), "paragraph_index", none.alias("sentence_index"), "range_start", "text")
-    q = sents.select("document_id", "section_id", "dfs_order", F.lit("sentence").alias("kind"), "paragraph_index", "sentence_index", "range_start", "text")
+    s = sections.select("document_id", "section_id", "dfs_order", F.lit("section").alias("kind"), none.alias("paragraph_index"), none.alias("sentence_index"), zero.alias("range_start"), zero.alias("range_end"), F.col("title").alias("text"))
+    p = paras.select("document_id", "section_id", "dfs_order", F.lit("paragraph").alias("kind"), "paragraph_index", none.alias("sentence_index"), "range_start", "range_end", "text")
+    q = sents.select("document_id", "section_id", "dfs_order", F.lit("sentence").alias("kind"), "paragraph_index", "sentence_index", "range_start", "range_end", "text")
     at = s.unionByName(p).unionByName(q).withColumn("tokens", text.tokens(F.col("text"))).where("size(tokens) > 0")
     rank = F.create_map(*[F.lit(x) for pair in KIND_RANK.items() for x in pair])[F.col("kind")]
     by = Window.partitionBy("document_id").orderBy("dfs_order", rank, "paragraph_index", "sentence_index")
     return at.withColumn("source_order", F.row_number().over(by) - 1).withColumn("snippet", ident.snippet(F.col("text")))
 
 
+def section_units(sections: DataFrame) -> DataFrame:
+    """One unit for each section, of its title and all of its content: search by sections only."""
+    none = F.lit(None)
+    said = F.concat_ws("\n", "title", "content")
+    at = sections.select("document_id", "section_id", "dfs_order", F.lit("section").alias("kind"), none.cast("int").alias("paragraph_index"), none.cast("int").alias("sentence_index"), none.cast("long").alias("range_start"), none.cast("long").alias("range_end"), said.alias("text"))
+    at = at.withColumn("tokens", text.tokens(F.col("text"))).where("size(tokens) > 0")
+    return at.withColumn("source_order", F.col("dfs_order")).withColumn("snippet", ident.snippet(F.col("text")))
+
+
+def location(native: Column, kind: Column, paragraph_index: Column, sentence_index: Column) -> Column:
+    """Where a unit lies: its section's own location, and its numbers in the section."""
+    unit = F.when(kind != "section", F.concat(F.lit("search-unit:"), paragraph_index.cast("string")))
+    return F.concat_ws("#", native, unit, F.when(kind == "sentence", F.concat(F.lit("sentence:"), sentence_index.cast("string"))))
+
+
 def postings(units: DataFrame) -> DataFrame:
     return units.select("document_id", "source_order", F.explode("tokens").alias("token"))
 

@@ -82,12 +82,12 @@ def anchored(items: DataFrame, anchors: DataFrame, max_items: int, max_chars: in
     """For each anchor (KEY, paragraph_index, sentence_index), the page of its stream after it, or before
     it; the anchor itself is left out. Whole items only, while their characters add up to max_chars."""
     names = ["paragraph_index", "sentence_index"]
-    a = anchors.select(*KEY, *[F.col(x).alias(f"_{x}") for x in names])
-    same = [items[k] == a[k] for k in KEY] + [items[x].eqNullSafe(a[f"_{x}"]) for x in names]
-    at = items.join(a, same).select(*[items[k].alias(k) for k in KEY], *[a[f"_{x}"].alias(f"anchor_{x}") for x in names], F.col("index").alias("anchor_index"))
+    a = anchors.select(*[F.col(k).alias(f"_{k}") for k in KEY], *[F.col(x).alias(f"anchor_{x}") for x in names])
+    same = [F.col(k) == F.col(f"_{k}") for k in KEY] + [F.col(x).eqNullSafe(F.col(f"anchor_{x}")) for x in names]
+    at = items.select(*KEY, *names, F.col("index").alias("anchor_index")).join(a, same).drop(*names)
     there = (F.col("index") > F.col("anchor_index")) & (F.col("index") <= F.col("anchor_index") + max_items)
     before = (F.col("index") < F.col("anchor_index")) & (F.col("index") >= F.col("anchor_index") - max_items)
-    due = at.join(items, KEY).where(there if forward else before)
+    due = at.select(*[f"_{k}" for k in KEY], "anchor_index", *[f"anchor_{x}" for x in names]).join(items, [F.col(k) == F.col(f"_{k}") for k in KEY]).where(there if forward else before).drop(*[f"_{k}" for k in KEY])
     by = Window.partitionBy(*KEY, "anchor_index").orderBy(F.col("index") if forward else F.desc("index"))
     return due.withColumn("_sum", F.sum(F.char_length("text")).over(by)).where(F.col("_sum") <= max_chars).drop("_sum")
 

@@ -51,6 +51,12 @@ def children(sections: DataFrame) -> DataFrame:
     return sections.where("parent_id is not null").select("document_id", F.col("parent_id").alias("section_id"), F.col("section_id").alias("child_id"), "dfs_order")
 
 
+def in_source_order(sections: DataFrame) -> DataFrame:
+    """Roots and siblings numbered from 0 in source order, as `place` among those of one parent."""
+    by = Window.partitionBy("document_id", "parent_id").orderBy("dfs_order")
+    return sections.withColumn("place", F.row_number().over(by) - 1)
+
+
 def siblings(sections: DataFrame) -> DataFrame:
     """(document_id, section_id, sibling_id): same parent, roots included, without itself."""
     a = sections.select("document_id", "section_id", "parent_id")
@@ -64,7 +70,7 @@ def neighbours(sections: DataFrame, before: int = 1, after: int = 1) -> DataFram
     anchor = sections.select("document_id", F.col("section_id").alias("anchor_id"), F.col("dfs_order").alias("anchor_order"))
     offsets = anchor.select("*", F.explode(F.sequence(F.lit(-before), F.lit(after))).alias("offset")).withColumn("dfs_order", F.col("anchor_order") + F.col("offset"))
     role = F.when(F.col("offset") < 0, "before").when(F.col("offset") > 0, "after").otherwise("anchor")
-    return offsets.join(sections.select("document_id", "dfs_order", "section_id", "title", "content"), ["document_id", "dfs_order"]).select("document_id", "anchor_id", "offset", role.alias("role"), "section_id", "title", "content")
+    return offsets.join(sections.select("document_id", "dfs_order", "section_id", "title", "level", "content"), ["document_id", "dfs_order"]).select("document_id", "anchor_id", "offset", role.alias("role"), "section_id", "title", "level", "content")
 
 
 def heading_text(level: Column, title: Column, content: Column) -> Column:
@@ -74,6 +80,11 @@ def heading_text(level: Column, title: Column, content: Column) -> Column:
     return F.concat(head, F.lit("\n\n"), F.when(body == "", F.lit("")).otherwise(F.concat(body, F.lit("\n\n"))))
 
 
+def shallow(level: int, title: str, content: str) -> str:
+    """One section as heading_text has it, without blank lines at its end, for what a driver has at hand."""
+    return f"{'#' * max(1, min(6, level))} {title}\n\n{content.strip()}".rstrip()
+
+
 def render(sections: DataFrame, top: DataFrame) -> DataFrame:
     """The subtree of each section in top(document_id, section_id) as one Markdown text."""
     t = top.join(sections.select("document_id", "section_id", F.col("dfs_order").alias("lo"), (F.col("dfs_order") + F.col("subtree_size")).alias("hi")), ["document_id", "section_id"])

@@ -20,6 +20,16 @@ BASE = ("documents", "sections", "blocks")
 DERIVED = ("paragraphs", "sentences", "lexical_units", "postings", "indexed")
 
 
+def replaced(old: DataFrame, new: DataFrame, ids: DataFrame) -> DataFrame:
+    """old with all rows of the documents in ids replaced by those that new has, if any."""
+    return old.join(ids.select("document_id").distinct(), "document_id", "left_anti").unionByName(new, allowMissingColumns=True)
+
+
+def stale(documents: DataFrame, indexed: DataFrame, versions: str) -> DataFrame:
+    """document_id of documents that have no row in indexed (document_id, versions), or one of other versions."""
+    return documents.select("document_id").join(indexed.where(F.col("versions") == versions), "document_id", "left_anti")
+
+
 class Store:
     def __init__(self, spark: SparkSession, folder: str, buckets: int = 64):
         self.spark, self.folder, self.buckets = spark, folder.rstrip("/"), buckets
@@ -51,21 +61,25 @@ class Store:
         new = rows.withColumn("bucket", self.bucket(F.col("document_id")))
         if self._exists(name):
             touched = ids.select(self.bucket(F.col("document_id")).alias("bucket")).distinct()  # at most self.buckets rows
-            old = self.spark.read.parquet(self._path(name)).join(F.broadcast(touched), "bucket", "left_semi").join(ids, "document_id", "left_anti")
-            new = old.unionByName(new, allowMissingColumns=True)
+            old = self.spark.read.parquet(self._path(name)).join(F.broadcast(touched), "bucket", "left_semi")
+            new = replaced(old, new, ids)
         new.drop("bucket").limit(0).coalesce(1).write.mode("overwrite").parquet(self._path(f"_schemas/{name}"))
         staged = self._path(f"_staging/{name}")
         new.write.mode("overwrite").parquet(staged)
         out = self.spark.read.schema(new.schema).parquet(staged).repartition("bucket").sortWithinPartitions("document_id")
         out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(self._path(name))
 
+    def _stage(self, name: str, rows: DataFrame) -> DataFrame:
+        """rows, written where steps that read them several times find them."""
+        staged = self._path(f"_staging/{name}")
+        rows.write.mode("overwrite").parquet(staged)
+        return self.spark.read.schema(rows.schema).parquet(staged)
+
     def put(self, parsed: DataFrame) -> None:
         """Replace the documents that router.parse() gives, and what is derived from them. The documents
         table, by which others know that a document is stored, is written last: after a failure in between,
         its documents are missing or old, and putting them again mends all tables."""
-        staged = self._path("_staging/parsed")
-        parsed.write.mode("overwrite").parquet(staged)
-        parsed = self.spark.read.schema(parsed.schema).parquet(staged)
+        parsed = self._stage("parsed", parsed)
         secs, blocks = router.sections(parsed), router.blocks(parsed)
         docs = router.documents(parsed)
         docs = docs.join(normalized_hashes(secs, blocks, docs), "document_id", "left")
@@ -98,17 +112,14 @@ class Store:
         docs = self.table("documents").select("document_id")
         if not self._exists("indexed"):
             return docs
-        good = self.table("indexed").where(F.col("versions") == json.dumps(VERSIONS, sort_keys=True))
-        return docs.join(good, "document_id", "left_anti")
+        return stale(docs, self.table("indexed"), json.dumps(VERSIONS, sort_keys=True))
 
     def ensure(self) -> None:
         """Derive again what is missing or was written by other versions, document by document; documents
         and sections are left as they are."""
         if not self._exists("documents"):
             return
-        staged = self._path("_staging/unindexed")
-        self.unindexed().write.mode("overwrite").parquet(staged)
-        ids = self.spark.read.schema("document_id string").parquet(staged)
+        ids = self._stage("unindexed", self.unindexed())
         if not ids.isEmpty():
             some = lambda name: self.table(name).join(ids, "document_id", "left_semi")
             self._derive(some("documents"), some("sections"), some("blocks"), ids)
