@@ -33,7 +33,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from tokenizers import AddedToken, Regex, Tokenizer, decoders, models, normalizers, pre_tokenizers
+from tokenizers import Regex, Tokenizer, decoders, models, normalizers, pre_tokenizers
 
 from .shared import frugal, release
 
@@ -116,17 +116,20 @@ def crossed(m: Model) -> bool:
     return any(MARK in p.lstrip(MARK) for p, _, kind in m.pieces if kind in (NORMAL, USER))
 
 
-def normaliser(m: Model) -> normalizers.Normalizer:
+def normaliser(m: Model, first: bool = True, last: bool = True) -> normalizers.Normalizer:
+    """What the model does to a text, or to a part of it that is its first or last."""
     steps = [normalizers.Precompiled(m.charsmap)] if m.charsmap else []
-    if m.fewer_spaces:
-        steps += [normalizers.Replace(Regex(" {2,}"), " "), normalizers.Strip()]
+    if m.fewer_spaces:  # spaces only: other white space is text, unless the map makes it spaces
+        edges = "|".join([r"\A +"] * first + [r" +\z"] * last)
+        steps += [normalizers.Replace(Regex(" {2,}"), " ")] + [normalizers.Replace(Regex(edges), "")] * bool(edges)
     if m.escape_spaces:
-        steps += [normalizers.Prepend(MARK)] * m.dummy_prefix + [normalizers.Replace(" ", MARK)]
+        steps += [normalizers.Prepend(MARK)] * (m.dummy_prefix and first) + [normalizers.Replace(" ", MARK)]
+        steps += [normalizers.Replace(Regex(rf"{MARK}+\z"), "")] * (m.fewer_spaces and last)  # markers that the text itself ends with go too
     return normalizers.Sequence(steps)
 
 
 def build(m: Model, bare: bool = False) -> Tokenizer:
-    """The model's tokenizer; a bare one takes words as they are."""
+    """The model's tokenizer; a bare one takes words as they are. User pieces are cut out by the codec."""
     unknown = next(i for i, (_, _, kind) in enumerate(m.pieces) if kind == UNKNOWN)
     if m.kind == UNIGRAM:
         t = Tokenizer(models.Unigram([(p, s) for p, s, _ in m.pieces], unk_id=unknown, byte_fallback=m.byte_fallback))
@@ -140,9 +143,6 @@ def build(m: Model, bare: bool = False) -> Tokenizer:
     if not crossed(m):
         t.pre_tokenizer = pre_tokenizers.Split(Regex(f"{MARK}*[^{MARK}]+|{MARK}+"), "isolated")
     t.decoder = decoders.Sequence([decoders.Replace(MARK, " "), decoders.ByteFallback(), decoders.Fuse()] + [decoders.Strip(" ", 1, 0)] * m.dummy_prefix)
-    own = [AddedToken(p, normalized=False, special=False) for p, _, kind in m.pieces if kind == USER]
-    if own:
-        t.add_tokens(own)
     return t
 
 
@@ -164,7 +164,9 @@ class Codec:
 
     def __init__(self, data: bytes, checked: bool = False):
         self.model = m = parse_model(data)
-        self.by_word = not crossed(m) and not any(kind == USER for *_, kind in m.pieces)
+        self.user = {p: k for k, (p, _, kind) in enumerate(m.pieces) if kind == USER and p}
+        self.user_pattern = re.compile("(" + "|".join(map(re.escape, sorted(self.user, key=len, reverse=True))) + ")") if self.user else None
+        self.by_word = not crossed(m) and not self.user
         self.known: dict[str, bytes] = {}
         self.held = 0
         self.own = None
@@ -187,6 +189,8 @@ class Codec:
 
     def encode_raw(self, texts: list[str]) -> list[bytes]:
         """Each text's ids as little-endian 32-bit words."""
+        if self.user:
+            return [self._with_user_pieces(t) for t in texts]
         if not self.by_word:
             return [np.asarray(e.ids, "<i4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
         m = self.model
@@ -210,6 +214,22 @@ class Codec:
                 self.held += ENTRY_BYTES + len(w) + len(self.known[w])
         return out
 
+    def _with_user_pieces(self, text: str) -> bytes:
+        """A text's ids where user pieces stand in it as they are; what lies between them is normalised as
+        parts of one text."""
+        if not text:
+            return b""
+        parts, ids = self.user_pattern.split(text), []
+        for k, part in enumerate(parts):
+            if k % 2:
+                ids.append(self.user[part])
+            else:
+                plain = normaliser(self.model, k == 0, k == len(parts) - 1).normalize_str(part)
+                if not plain and not k and len(parts) > 1 and self.model.dummy_prefix and self.model.escape_spaces:
+                    plain = MARK  # the marker stands before a user piece too
+                ids += self.bare.encode(plain, add_special_tokens=False).ids
+        return np.asarray(ids, "<i4").tobytes()
+
     def agrees(self, texts: list[str], raw: list[bytes]) -> list[bool]:
         """Whether the model's own processor gives each whole text these ids."""
         return [np.asarray(a, "<i4").tobytes() == b for a, b in zip(self.own.encode(texts, num_threads=1), raw, strict=True)]

@@ -4,10 +4,13 @@ import hashlib
 import itertools
 import random
 import re
+import struct
 import zlib
 
 import numpy as np
 import pytest
+import sentencepiece
+import zstandard
 from pyspark.sql import functions as F
 
 from quire.llm import chat_repair, components, decontaminate, exact_dedup, jump_shard, license_fuzzy, ngram_join, piece_codec, quality_gbdt, secret_scan, warc_zdict
@@ -94,6 +97,15 @@ def test_jump_moves_only_to_the_new_shard(spark):
         assert sorted(r.slot for r in got if r.shard == k) == list(range(sum(r.shard == k for r in got)))
 
 
+def test_jump_shards_of_named_rows(spark):
+    """Ids of letters are placed by a hash, and one shard more still takes rows only into itself."""
+    docs = spark.createDataFrame([(f"d{k}", "x" * k) for k in range(300)] + [(None, None)], "doc_id string, text string")
+    got = jump_shard.assign(docs, 4).collect()
+    assert len(got) == 301 and {r.shard for r in got} == set(range(4)) and all(r.grown_shard in (r.shard, 4) for r in got)
+    again = {r.doc_id: r.shard for r in jump_shard.assign(docs, 5).collect()}
+    assert all(again[r.doc_id] == r.grown_shard for r in got)
+
+
 def brute_components(texts, width, percent):
     def shingle(t):
         w = re.findall(r"[^\x20\x09-\x0d]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in t or ""))
@@ -295,14 +307,80 @@ def test_piece_codec(spark):
     assert all(r.parity and r.round_trip for r in got) and got[0].n_tokens == 0
 
 
+def message(number, value):
+    """A field of a protobuf message."""
+
+    def varint(n):
+        out = b""
+        while True:
+            n, low = n >> 7, n & 127
+            out += bytes([low | (128 if n else 0)])
+            if not n:
+                return out
+
+    if isinstance(value, float):
+        return varint(number << 3 | 5) + struct.pack("<f", value)
+    if isinstance(value, int):
+        return varint(number << 3) + varint(value)
+    value = value.encode() if isinstance(value, str) else value
+    return varint(number << 3 | 2) + varint(len(value)) + value
+
+
+@pytest.mark.parametrize("kind", [piece_codec.UNIGRAM, piece_codec.BPE])
+def test_piece_codec_of_made_models(kind):
+    """Models of both kinds with and without byte fallback, character map, prefix, spaces, user pieces and
+    pieces across words, against the processor; of unigram splits with equal scores it may take another."""
+    proto = sentencepiece.SentencePieceNormalizer(rule_name="nmt_nfkc").serialized_model_proto()
+    charsmap = dict(piece_codec._fields(dict(piece_codec._fields(proto))[3]))[2]
+    draw = random.Random(0)
+    alphabet = ["a", "b", "c", "d", "e", " ", "  ", "é", "中", "🙂", "x", "ﬁ", "Ａ", "\t", "\n", "<usr>", "▁"]
+    texts = ["".join(draw.choice(alphabet) for _ in range(draw.randint(0, 40))) for _ in range(200)]
+    for fallback, mapped, dummy, fewer, cross, user in itertools.product((True, False), repeat=6):
+        made = {"▁": -3.0} | {c: -4.0 - draw.random() for c in "abcdeé中"}
+        for _ in range(80):
+            w = "".join(draw.choice("abcde") for _ in range(draw.randint(2, 5)))
+            made[("▁" if draw.random() < 0.4 else "") + w + ("▁a" if cross and draw.random() < 0.2 else "")] = -2.0 - 8 * draw.random()
+        rows = [("<unk>", 0.0, 2), ("<s>", 0.0, 3), ("</s>", 0.0, 3), *((f"<0x{i:02X}>", 0.0, 6) for i in range(256 * fallback)), *[("<usr>", 0.0, 4)] * user, *((p, score, 1) for p, score in made.items())]
+        trainer = message(3, kind) + message(35, int(fallback)) + message(40, 0) + message(41, 1) + message(42, 2) + message(30, "<usr>") * user
+        normal = message(1, "x") + message(2, charsmap) * mapped + message(3, int(dummy)) + message(4, int(fewer)) + message(5, 1)
+        model = b"".join(message(1, message(1, p) + message(2, score) + message(3, t)) for p, score, t in rows) + message(2, trainer) + message(3, normal)
+        unlike = [t for t, same in zip(texts, piece_codec.parity(model, texts), strict=True) if not same]
+        assert len(unlike) <= (2 if kind == piece_codec.UNIGRAM else 0), (fallback, mapped, dummy, fewer, cross, user, unlike[:3])
+
+
 def test_warc(spark):
     pages = spark.createDataFrame([(1, "u1", "same"), (5, "u5", "same"), (3, None, None), (4, "u4", ""), (9, "u\n9", "é" * 70_000), (5, "u5", "same"), (None, "n", "same")], "page_id long, url string, html string")
     got = sorted(map(tuple, warc_zdict.round_trip(pages).select("page_id", "payload_bytes", "record_type", "refers_to").collect()), key=str)
     want = [(1, 4, "revisit", 5), (3, 0, "revisit", 4), (4, 0, "response", None), (5, 4, "response", None), (5, 4, "response", None), (9, 140_000, "response", None), (None, 4, "revisit", 5)]
     assert got == sorted(want, key=str)
+    shuffled = warc_zdict.plan_records(pages, max_broadcast_rows=0).select("page_id", "revisit", "refers_to").collect()
+    assert sorted(map(str, shuffled)) == sorted(map(str, warc_zdict.plan_records(pages).select("page_id", "revisit", "refers_to").collect()))
     assert warc_zdict.round_trip(pages.limit(0)).count() == 0
 
 
+def test_warc_archives_on_disk(spark, tmp_path):
+    """The dictionary is in a leading skippable frame, each record is a frame of its own, and any can be read
+    by its offset; the same pages make the same files."""
+    pages = spark.createDataFrame([(k, f"http://x/{k}", f"<p>page {k} of many alike</p>" * (k % 5 + 1)) for k in range(200)], "page_id long, url string, html string").coalesce(1)
+    files = [warc_zdict.write(pages, str(tmp_path / d)).collect() for d in ("a", "b")]
+    assert sum(r.records for r in files[0]) == 200
+    (name,) = [r.file for r in files[0]]
+    data = (tmp_path / "a" / name).read_bytes()
+    assert data == (tmp_path / "b" / name).read_bytes()
+    magic, n = struct.unpack_from("<II", data)
+    assert magic == 0x184D2A5D and 0 < n <= warc_zdict.DICT_BYTES
+    unpack = zstandard.ZstdDecompressor(dict_data=zstandard.ZstdCompressionDict(data[8 : 8 + n]))
+    at, heads = 8 + n, []
+    while at < len(data):
+        one = unpack.decompressobj()
+        record = one.decompress(data[at:])
+        assert record.startswith(b"WARC/1.1\r\n") and record.count(b"WARC/1.1") == 1
+        heads.append(at)
+        at = len(data) - len(one.unused_data)
+    assert len(heads) == 200 and at == len(data)
+    assert b"page 7 of" in unpack.decompressobj().decompress(data[heads[7] :])
+
+
 def test_quality(spark):
     d = "/root/testdata/sf0.1"
     docs, labels = spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/labels.parquet")
@@ -451,10 +529,58 @@ def test_keep_with_clashing_columns(spark):
     assert left.columns == docs.columns and sorted(str(r.doc_id) for r in left.collect()) == ["1", "None"]
 
 
+def test_empty_tables_and_repeated_rows(spark):
+    """No rows give no rows; rows that repeat each give their own."""
+    twice = frame(spark, ["some words to scan here", "some words to scan here", None], [1, 1, 1])
+    bench = spark.createDataFrame([(1, "words to")], "item_id long, text string")
+    labels = spark.createDataFrame([(1, 1)], "doc_id long, quality int")
+    runs = {
+        "shard": lambda d: jump_shard.assign(d, 4), "secrets": secret_scan.report, "leaks": lambda d: decontaminate.report(d, bench), "codec": lambda d: piece_codec.digest(d, MODEL),
+        "quality": lambda d: quality_gbdt.report(d, labels), "licenses": license_fuzzy.scan, "dedup": exact_dedup.exact_groups,
+    }
+    for name, run in runs.items():
+        assert run(frame(spark, [])).count() == 0, name
+        got = run(twice).collect()
+        assert len(got) == 3 and {r.doc_id for r in got} == {1}, name
+
+
+def walk_trees(trees, x):
+    """A score, one node at a time."""
+    total = trees.start
+    for at in trees.roots:
+        while trees.left[at] != at:
+            at = trees.left[at] if x[trees.feature[at]] <= trees.threshold[at] else trees.right[at]
+        total += trees.value[at]
+    return 1 / (1 + np.exp(-total))
+
+
 def test_pipeline(spark):
+    """run()'s rows against the five stages in plain Python, over a whole small table."""
     import corpus_pipeline
 
     assert [n for n, _ in corpus_pipeline.STAGES][0] == "quality classifier" and len(corpus_pipeline.STAGES) == 5
-    got = corpus_pipeline.run(spark, "/root/testdata/sf0.001")
-    assert got.count() > 0 and got.where(~F.col("parity")).count() == 0
-    assert zlib.crc32(b"") == 0
+    d = "/root/testdata/sf0.001"
+    tables = {n: spark.read.parquet(f"{d}/{n}.parquet") for n in ("documents", "labels", "benchmark")}
+    trees = quality_gbdt.train(tables["documents"], tables["labels"])
+    docs = [(r.doc_id, r.text or "") for r in tables["documents"].collect()]
+    good = sorted((i, t) for i, t in docs if walk_trees(trees, quality_gbdt.statistics(t)) >= 0.7)
+    first = {}
+    for i, t in good:
+        first.setdefault(re.sub(r"[\x20\x09-\x0d]+", " ", t), (i, t))
+    once = sorted(first.values())
+    parts = [c for _, _, c in brute_components([t for _, t in once], 5, 80)]
+    apart = [x for k, x in enumerate(once) if parts[k] == k]
+    words = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in t or ""))
+    windows = set()
+    for r in tables["benchmark"].collect():
+        w = words(r.text)
+        k = min(10, len(w))
+        windows |= {tuple(w[i : i + k]) for i in range(len(w) - k + 1)} if k else set()
+    sizes = {len(w) for w in windows}
+    hit = lambda w: any(tuple(w[i : i + k]) in windows for k in sizes for i in range(len(w) - k + 1))
+    clean = [(i, t) for i, t in apart if not hit(words(t))]
+    assert len(docs) > len(good) > len(once) > len(apart) > len(clean) > 20  # every stage does something
+    own = sentencepiece.SentencePieceProcessor(model_file=MODEL)
+    want = sorted((i, len(ids), zlib.crc32(np.asarray(ids, "<i4").tobytes()), hashlib.sha256(own.decode(ids).encode()).hexdigest(), own.decode(ids) == t, True) for i, t in clean for ids in (own.encode(t),))
+    got = corpus_pipeline.run(spark, d)
+    assert sorted(map(tuple, got.select("doc_id", "n_tokens", "ids_crc32", "decoded_sha256", "round_trip", "parity").collect())) == want
