@@ -1,4 +1,4 @@
-"""A store that lives in the session: the tables of Store as cached frames, for tests and short work."""
+"""A store in the driver's memory: the tables of Store without files, for tests and a few documents."""
 
 from __future__ import annotations
 
@@ -9,8 +9,8 @@ from .store import Store, replaced
 
 
 class MemoryStore(Store):
-    """Store without a folder. Tables are persisted on the executors, and computed again where one is lost;
-    a missing document gives no rows."""
+    """Store without a folder. Every table is held by the driver as an Arrow table, so it suits only what
+    fits there; a missing document gives no rows."""
 
     def __init__(self, spark: SparkSession):
         super().__init__(spark, "", 1)
@@ -25,10 +25,10 @@ class MemoryStore(Store):
         return at if document_id is None else at.where(F.col("document_id") == document_id)
 
     def _replace(self, name: str, rows: DataFrame, ids: DataFrame) -> None:
-        self.held[name] = (rows if name not in self.held else replaced(self.held[name], rows, ids)).persist()
+        self.held[name] = self._stage(name, rows if name not in self.held else replaced(self.held[name], rows, ids))
 
     def _stage(self, name: str, rows: DataFrame) -> DataFrame:
-        return rows.persist()
+        return self.spark.createDataFrame(rows.toArrow(), rows.schema)
 
     def _stamp(self) -> None:
         pass

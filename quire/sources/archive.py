@@ -91,6 +91,14 @@ def _refuse_entities(data: bytes, name: str) -> None:
     parser.Parse(data, True)
 
 
+def _is_utf8(raw: bytes) -> bool:
+    try:
+        raw.decode("utf-8")
+    except UnicodeDecodeError:
+        return False
+    return True
+
+
 _IDS = re.compile(rb"""\b(?:id|name)\s*=\s*(?:"([^"]*)"|'([^']*)')""", re.I)
 
 
@@ -215,6 +223,15 @@ def navigation(archive: Archive, path: str, opf: ElementTree.Element, manifest:
     return None, None, [], [*notes, "navigation_unavailable"]
 
 
+def _check(sections: list[Section]) -> None:
+    """Sections have ids of their own, and parents that come before them; so there are no circles."""
+    seen: set[str] = set()
+    for s in sections:
+        if s.section_id in seen or (s.parent_id is not None and s.parent_id not in seen):
+            raise ParseError(f"the structure of {s.section_id} is unsound")
+        seen.add(s.section_id)
+
+
 def parse_epub(data: bytes, source: str, metadata: dict[str, str]) -> Parsed:
     """Spine items in order as HTML; labels of the table of contents name sections at their starts."""
     import json
@@ -262,6 +279,7 @@ def parse_epub(data: bytes, source: str, metadata: dict[str, str]) -> Parsed:
     for node in nodes:
         at = resolve(entry, node["href"]) if node["href"] else None
         media = media_of.get(at[0], "") if at else ""
+        node["path"], node["fragment"] = at or (None, None)
         if not node["href"]:
             node["status"] = "unlinked"
         elif at is None:
@@ -274,8 +292,10 @@ def parse_epub(data: bytes, source: str, metadata: dict[str, str]) -> Parsed:
             node["status"] = "resolved_document"
         else:
             if at[0] not in ids:  # each entry is read once
-                ids[at[0]] = ids_of(archive.read(at[0]) or b"")
-            node["status"] = "resolved_fragment" if at[1] in ids[at[0]] else "missing_fragment"
+                raw = archive.read(at[0]) or b""
+                ids[at[0]] = ids_of(raw) if _is_utf8(raw) else None
+            held = ids[at[0]]
+            node["status"] = "malformed_resource" if held is None else "resolved_fragment" if at[1] in held else "missing_fragment"
         target = None
         if node["status"] == "resolved_fragment":
             target = anchors.get(at)
@@ -293,12 +313,16 @@ def parse_epub(data: bytes, source: str, metadata: dict[str, str]) -> Parsed:
         if target:
             owner[target] = node["order"]
     order = {s.section_id: k for k, s in enumerate(sections)}
+    mapped = [order[node["section_id"]] for node in nodes if node["section_id"]]
+    notes += ["navigation_order_conflicts_spine_order" for a, b in zip(mapped, mapped[1:], strict=False) if b < a]
     for section_id, k in owner.items():
         by_id[section_id].title = nodes[k]["label"]
         up = nodes[k]["parent"]
         while up is not None and nodes[up].get("section_id") is None:
             up = nodes[up]["parent"]
         parent = nodes[up]["section_id"] if up is not None else None
+        if parent is None and nodes[k]["parent"] is not None:
+            notes.append("navigation_parent_unmapped")
         if parent == section_id:
             notes.append("self_parent_section")
         elif parent and order[parent] > order[section_id]:
@@ -308,6 +332,7 @@ def parse_epub(data: bytes, source: str, metadata: dict[str, str]) -> Parsed:
     if owner:
         for s in sections:
             s.level = by_id[s.parent_id].level + 1 if s.parent_id else 1
+    _check(sections)
     node = _find(opf, "title")
     title = (node.text or "").strip() if node is not None else ""
     meta = dict(metadata) | {"epub_spine": json.dumps(facts), "epub_navigation": json.dumps({"kind": kind, "nodes": nodes}), "epub_diagnostics": json.dumps(notes)}

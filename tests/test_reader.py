@@ -13,7 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quire.functions import ident, text
-from quire.operators import blocks, lexical, paging, streams, tree, units
+from quire.operators import blocks, epub_checks, lexical, paging, streams, tree, units
 from quire.plans import cache, config, queries
 from quire.plans.memory import MemoryStore
 from quire.plans.ports import budgeted, stacked, watched
@@ -182,6 +182,39 @@ def test_epub_reads_an_entry_once():
     assert ids_of(b"<a name=\"x&amp;y\"><p ID = 'z'>") == {"x&y", "z"}
 
 
+def epubs(spark, data):
+    r = spark.createDataFrame([("e", "application/epub+zip", data, None)], "source string, media_type string, bytes binary, metadata map<string,string>")
+    p = router.parse(r).cache()
+    secs, b = router.sections(p), router.blocks(p)
+    paras = units.paragraphs(secs, b)
+    return epub_checks.Epubs(router.documents(p), secs, b, paras, units.sentences(paras))
+
+
+def codes(found):
+    return sorted((r.severity[0], r.code) for r in found.collect())
+
+
+def test_epub_checks(spark):
+    """A sound book has degradations of its source only; spoilt tables have the errors that were made."""
+    nav = "<li><a href='b.xhtml#k'>Deep</a></li><li><a href='a.xhtml'>Start</a></li><li><a href='a.xhtml#nope'>X</a></li><li><span>Part</span><ol><li><a href='../../away'>Gone</a></li></ol></li>"
+    chapters = [("a", "<html><body><h1>A</h1><p>One. Two.</p><pre>x = 1.</pre></body></html>"), ("b", "<html><body><h1 id='k'>B</h1><p>y</p></body></html>")]
+    e = epubs(spark, book(nav, chapters, "<itemref idref='a'/><itemref idref='b' linear='no'/><itemref idref='z'/>"))
+    assert codes(epub_checks.findings(e)) == sorted([("d", c) for c in ("navigation_target_missing_fragment", "navigation_target_invalid_path", "navigation_node_unlinked", "spine_missing_manifest_item", "navigation_missing_fragment_document_fallback", "duplicate_navigation_target", "navigation_order_conflicts_spine_order")])
+    v = epub_checks.verdicts(e.documents, epub_checks.findings(e)).first()
+    assert (v.errors, v.degradations, v.sound) == (0, 7, True)
+    c = epub_checks.coverage(e).first()
+    assert (c.spine_items, c.linear_items, c.non_linear_items, c.nodes, c.resolved_nodes, c.mapped_nodes, c.sections, c.blocks, c.sentences) == (3, 2, 1, 5, 2, 2, 2, 3, 3)
+    spoilt = {
+        "paragraph_exact_slice_mismatch": ("paragraphs", "text", F.lit("z")), "sentence_outside_parent_paragraph": ("sentences", "range_end", F.col("range_end") + 5), "epub_block_native_location_mismatch": ("blocks", "native_location", F.lit("epub:other")),
+        "unknown_section_parent": ("sections", "parent_id", F.lit("section://none")), "structure_source_order_gap": ("sections", "dfs_order", F.col("dfs_order") + 1), "section_unknown_spine_index": ("sections", "chapter", F.lit("spine-9")),
+    }
+    for code, (table, name, value) in spoilt.items():
+        bad = epub_checks.Epubs(**(vars(e) | {table: getattr(e, table).withColumn(name, value)}))
+        assert ("e", code) in codes(epub_checks.findings(bad)), code
+    ring = spark.createDataFrame([("d", "a", "b"), ("d", "b", "a"), ("d", "c", "a"), ("d", "r", None), ("d", "s", "r")], "document_id string, section_id string, parent_id string")
+    assert sorted(r.section_id for r in epub_checks.circular(ring).collect()) == ["a", "b", "c"]
+
+
 def pdf(*objects):
     return b"%PDF-1.4\n" + b"".join(b"%d 0 obj %s endobj\n" % (k, o) for k, o in enumerate(objects, 1))
 
@@ -411,11 +444,11 @@ def test_streams_against_plain_python(spark):
     p = units.paragraphs(s)
     q = units.sentences(p)
     items = streams.stream(p, q)
-    assert [(r.section_id, r.index, r.effective_kind) for r in items.orderBy("section_id", "index").collect()] == [*(("s0", k, "paragraph" if k == 2 else "sentence") for k in range(5)), ("s1", 0, "paragraph")]
+    assert [(r["section_id"], r["index"], r["effective_kind"]) for r in items.orderBy("section_id", "index").collect()] == [*(("s0", k, "paragraph" if k == 2 else "sentence") for k in range(5)), ("s1", 0, "paragraph")]
     c = {r.section_id: r for r in streams.coverage(s, p, q).collect()}
     assert c["s0"].represented_sentences == 4 and c["s0"].non_prose_paragraphs == 1 and c["s2"].paragraph_count == 0 and all(r.source_complete for r in c.values())
     got = streams.anchored(items, items.where("index = 1"), 9, 14, forward=True).collect()
-    assert [r.index for r in got] == [2]
+    assert [r["index"] for r in got] == [2]
     with pytest.raises(ValueError, match="kind"):
         streams.stream(p, q, "word")
     with pytest.raises(ValueError, match="page"):
