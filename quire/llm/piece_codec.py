@@ -184,6 +184,9 @@ class Codec:
     def bare(self) -> Tokenizer:
         return build(self.model, bare=True)
 
+    def forget(self) -> None:
+        self.known, self.held = {}, 0
+
     def encode(self, texts: list[str]) -> list[list[int]]:
         return [np.frombuffer(raw, "<i4").tolist() for raw in self.encode_raw(texts)]
 
@@ -201,7 +204,7 @@ class Codec:
             plain = [(MARK if m.dummy_prefix and t else "") + t.replace(" ", MARK) for t in texts]
         cut = [_WORDS.findall(t) for t in plain]
         if self.held > CACHED_BYTES:
-            self.known, self.held = {}, 0
+            self.forget()
         fresh = list(set(chain.from_iterable(cut)).difference(self.known))
         for k in range(0, len(fresh), AT_ONCE):
             some = fresh[k : k + AT_ONCE]
@@ -254,10 +257,19 @@ def parity(data: bytes, texts: list[str]) -> list[bool]:
 THREADS = "2"
 
 
-def checked_codec(data: bytes) -> Codec:
-    """A codec for one task; workers are reused, and what one keeps would stay with later stages."""
+_held: dict[tuple[bytes, bool], Codec] = {}
+
+
+def codec_of(data: bytes, checked: bool) -> Codec:
+    """The codec of a model, built once in each worker: workers are reused, and some 11 MB of every
+    further one that is built were seen not to come back. It starts without remembered words."""
     os.environ.setdefault("RAYON_NUM_THREADS", THREADS)
-    return Codec(data, checked=True)
+    key = (hashlib.sha256(data).digest(), checked)
+    if key not in _held:
+        _held.clear()
+        _held[key] = Codec(data, checked)
+    _held[key].forget()
+    return _held[key]
 
 
 OUT = "n_tokens long, ids_crc32 long, ids_sha256 string, decoded_sha256 string, round_trip boolean, parity boolean"
@@ -297,10 +309,11 @@ def encode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: s
     own = docs.schema[id_col].dataType.simpleString()
 
     def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = Codec(data.value)
+        codec = codec_of(data.value, checked=False)
         for at, texts in _runs(batches):
             ids = codec.encode(texts)
             yield pa.RecordBatch.from_arrays([at, pa.array(ids, pa.list_(pa.int32())), pa.array(codec.decode(ids), pa.string())], ["_id", "ids", "decoded"])
+        codec.forget()
 
     return docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("text")).mapInArrow(frugal(part), f"_id {own}, ids array<int>, decoded string").withColumnRenamed("_id", id_col)
 
@@ -312,7 +325,7 @@ def digest(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: s
     own = docs.schema[id_col].dataType.simpleString()
 
     def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = checked_codec(data.value)
+        codec = codec_of(data.value, checked=True)
         kinds = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.bool_(), pa.bool_())
         names = ["_id", *OUT.replace(",", "").split()[::2]]
         for at, texts in _runs(batches):
@@ -321,5 +334,6 @@ def digest(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: s
                 back = codec.decode([np.frombuffer(raw, "<i4").tolist()])[0]
                 rows.append((len(raw) // 4, zlib.crc32(raw), hashlib.sha256(raw).hexdigest(), hashlib.sha256(back.encode()).hexdigest(), back == t, same))
             yield pa.RecordBatch.from_arrays([at, *[pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)]], names)
+        codec.forget()
 
     return docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("text")).mapInArrow(frugal(part), f"_id {own}, {OUT}").withColumnRenamed("_id", id_col)
