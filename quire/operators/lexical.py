@@ -84,7 +84,8 @@ def rank_bm25(units: DataFrame, queries: DataFrame, limit: int = 10, per: tuple[
     is 1 / (1 + rank), with counts over all documents: those of whole, where units are only a part."""
     q = queries.select("query_id", F.explode(text.tokens(F.trim("query"))).alias("token"))
     counts = statistics(units if whole is None else whole, q)
-    of_all = counts.where("token = ''").select(F.col("df").alias("n_units"), (F.col("lengths") / F.col("df")).alias("avg_len"))  # one row
+    every = F.col("token") == ""  # no filter, which would be pushed down and have the units read again
+    of_all = counts.agg(F.max(F.when(every, F.col("df"))).alias("n_units"), F.max(F.when(every, F.col("lengths") / F.col("df"))).alias("avg_len"))  # one row
     idf = F.log((F.col("n_units") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     at = q.join(counts, "token").join(F.broadcast(of_all)).withColumn("idf", F.when(idf > 0, idf).otherwise(1e-6))
     weights = at.groupBy("query_id").agg(F.sum("idf").alias("idf"), F.first("avg_len").alias("avg_len"))

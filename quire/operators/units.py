@@ -15,24 +15,24 @@ NATIVE_CLASS = {"paragraph": "native_paragraph", "blockquote": "quote", "list_it
 
 
 def paragraph_ranges(sections: DataFrame) -> DataFrame:
-    """document_id, section_id, dfs_order, start, end: runs of lines that aren't blank (gaps and islands)."""
+    """document_id, section_id, dfs_order, start, end, text: runs of lines that aren't blank (gaps and
+    islands), each put together again from its lines."""
     lines = sections.select(*KEY, "dfs_order", F.posexplode(F.split("content", "\n")).alias("line", "said"))
     by = Window.partitionBy(*KEY).orderBy("line")
     lines = lines.withColumn("start", F.sum(F.char_length("said") + 1).over(by) - F.char_length("said") - 1)
-    lines = lines.withColumn("blank", text.trim_unicode(F.col("said")) == "").withColumn("island", F.sum(F.col("blank").cast("int")).over(by))
-    solid = lines.where(~F.col("blank")).withColumn("end", F.col("start") + F.char_length(F.regexp_replace("said", r"\r$", "")))
-    return solid.groupBy(*KEY, "dfs_order", "island").agg(F.min("start").alias("start"), F.max("end").alias("end")).drop("island")
+    lines = lines.withColumn("blank", ~F.col("said").rlike(r"(?U)\S")).withColumn("island", F.sum(F.col("blank").cast("int")).over(by))
+    found = lines.where(~F.col("blank")).groupBy(*KEY, "dfs_order", "island").agg(F.min("start").alias("start"), F.array_sort(F.collect_list(F.struct("line", "said"))).alias("lines"))
+    text_of = F.regexp_replace(F.array_join(F.transform("lines", lambda x: x["said"]), "\n"), r"\r$", "")
+    return found.select(*KEY, "dfs_order", "start", text_of.alias("text")).withColumn("end", F.col("start") + F.char_length("text"))
 
 
-def number_paragraphs(sections: DataFrame, ranges: DataFrame) -> DataFrame:
-    """Ranges with their text, 1-based index in the section and 0-based order in the document."""
-    joined = ranges.join(sections.select(*KEY, "content"), KEY)
-    return joined.select(
+def number_paragraphs(ranges: DataFrame) -> DataFrame:
+    """Ranges with their 1-based index in the section and 0-based order in the document."""
+    return ranges.select(
         *KEY, "dfs_order",
         F.row_number().over(Window.partitionBy(*KEY).orderBy("start")).alias("paragraph_index"),
         (F.row_number().over(Window.partitionBy("document_id").orderBy("dfs_order", "start")) - 1).alias("source_order"),
-        F.col("start").cast("long").alias("range_start"), F.col("end").cast("long").alias("range_end"),
-        F.substring("content", F.col("start").cast("int") + 1, (F.col("end") - F.col("start")).cast("int")).alias("text"),
+        F.col("start").cast("long").alias("range_start"), F.col("end").cast("long").alias("range_end"), "text",
         *[c for c in ranges.columns if c in ("native_kind",)],
     )
 
@@ -40,7 +40,7 @@ def number_paragraphs(sections: DataFrame, ranges: DataFrame) -> DataFrame:
 def paragraphs(sections: DataFrame, blocks: DataFrame | None = None) -> DataFrame:
     """All paragraphs: native blocks where a section has them, gaps between them and other sections by lines."""
     if blocks is None:
-        out = number_paragraphs(sections, paragraph_ranges(sections)).withColumn("native_kind", F.lit(None).cast("string"))
+        out = number_paragraphs(paragraph_ranges(sections)).withColumn("native_kind", F.lit(None).cast("string"))
     else:
         native = blocks.select(*KEY, F.col("range_start").alias("start"), F.col("range_end").alias("end"), F.col("kind").alias("native_kind"))
         by = Window.partitionBy(*KEY).orderBy("start")
@@ -52,9 +52,10 @@ def paragraphs(sections: DataFrame, blocks: DataFrame | None = None) -> DataFram
         slices = spans.select("document_id", F.concat_ws("\x00", "section_id", F.col("gap_start").cast("string")).alias("section_id"), "dfs_order", F.substring("content", F.col("gap_start").cast("int") + 1, (F.col("gap_end") - F.col("gap_start")).cast("int")).alias("content"))
         found = paragraph_ranges(slices)
         base = F.element_at(F.split("section_id", "\x00"), -1).cast("long")
-        fallback = found.select("document_id", F.element_at(F.split("section_id", "\x00"), 1).alias("section_id"), "dfs_order", (F.col("start") + base).alias("start"), (F.col("end") + base).alias("end"), F.lit(None).cast("string").alias("native_kind"))
-        own = native.join(sections.select(*KEY, "dfs_order"), KEY).select(*KEY, "dfs_order", "start", "end", "native_kind")
-        out = number_paragraphs(sections, own.unionByName(fallback))
+        fallback = found.select("document_id", F.element_at(F.split("section_id", "\x00"), 1).alias("section_id"), "dfs_order", (F.col("start") + base).alias("start"), (F.col("end") + base).alias("end"), "text", F.lit(None).cast("string").alias("native_kind"))
+        slice_of = F.substring("content", F.col("start").cast("int") + 1, (F.col("end") - F.col("start")).cast("int"))
+        own = native.join(sections.select(*KEY, "dfs_order", "content"), KEY).select(*KEY, "dfs_order", "start", "end", slice_of.alias("text"), "native_kind")
+        out = number_paragraphs(own.unionByName(fallback))
     classes = F.create_map(*[F.lit(x) for pair in NATIVE_CLASS.items() for x in pair])
     return out.withColumn("content_class", F.coalesce(classes[F.col("native_kind")], text.fallback_class(F.col("text"))))
 

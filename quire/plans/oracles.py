@@ -128,7 +128,7 @@ ids AS (SELECT doc_id, 'doc:sha256:' || sha256(encode('memory:documents/' || doc
 # The hash of a joined conversation, and a block for each of its paragraphs, the second of each spoilt.
 _H = "h AS (SELECT document_id, content, 'sha256:' || sha256(content) AS content_hash, 'nd1:' || sha256(" + HASH + " || " + ZERO + " || " + u64("1") + " || " + frame("'section://document'", "NULL", "'chat'", 1, "content", "0") + " || encode('blocks:absent')) AS nh FROM j)"
 _B = """z AS (SELECT document_id, length(content) AS chars, paragraph_index AS i, range_start AS lo, range_end AS hi, CASE WHEN paragraph_index = 2 THEN CAST(substr(document_id, 6) AS BIGINT) % 9 ELSE 0 END AS k FROM q),
-b AS (SELECT document_id, chars, CASE k WHEN 2 THEN 'section://none' ELSE 'section://document' END AS section_id, i + (CASE k WHEN 3 THEN 1 ELSE 0 END) AS block_index, i - 1 + (CASE k WHEN 1 THEN 1 ELSE 0 END) AS source_order,
+b AS (SELECT document_id, chars, CASE k WHEN 2 THEN 'section://none' ELSE 'section://document' END AS section_id, i + (CASE k WHEN 3 THEN 1 ELSE 0 END) AS block_index, i - 1 + (CASE k WHEN 1 THEN 1000 ELSE 0 END) AS source_order,
       CASE k WHEN 4 THEN 'picture' ELSE 'paragraph' END AS kind, CASE k WHEN 5 THEN hi + 1 WHEN 7 THEN hi WHEN 8 THEN lo - 3 ELSE lo END AS range_start, CASE k WHEN 6 THEN hi + 100000 ELSE hi END AS range_end FROM z)"""
 
 ORACLES = {

@@ -370,7 +370,7 @@ def _spoilt_blocks(spark, d):
     lo, hi = F.col("range_start"), F.col("range_end")
     b = paras.select(
         "document_id", F.when(case == 2, "section://none").otherwise(F.col("section_id")).alias("section_id"), (F.col("paragraph_index") + F.when(case == 3, 1).otherwise(0)).cast("int").alias("block_index"),
-        (F.col("paragraph_index") - 1 + F.when(case == 1, 1).otherwise(0)).cast("int").alias("source_order"), F.when(case == 4, "picture").otherwise("paragraph").alias("kind"),
+        (F.col("paragraph_index") - 1 + F.when(case == 1, 1000).otherwise(0)).cast("int").alias("source_order"), F.when(case == 4, "picture").otherwise("paragraph").alias("kind"),
         F.when(case == 5, hi + 1).when(case == 7, hi).when(case == 8, lo - 3).otherwise(lo).alias("range_start"), F.when(case == 6, hi + 100_000).otherwise(hi).alias("range_end"),
     )
     return s, paras, b
