@@ -46,7 +46,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import label
-from .shared import cut, frugal, if_small, last_only, one_of_each, salted_left_join, small_batches, text_key, without
+from .shared import cut, discard, frugal, if_small, last_only, one_of_each, salted_left_join, small_batches, text_key, without
 
 #: Counters of the corpus-wide token counts: 2 ** SKETCH_BITS, in so many blocks.
 SKETCH_BITS, SKETCH_BLOCKS = 20, 16
@@ -322,18 +322,31 @@ def corpus_counts(rows: DataFrame) -> np.ndarray:
 
 
 def _prefixes(docs: DataFrame, width: int, percent: int, held) -> DataFrame:
-    """class, size, parity bits and prefix under each order of the sets that aren't empty."""
+    """class, size, parity bits and prefix under the first order of the sets that aren't empty."""
 
     def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, (high, rare, clash) = Words(), held.value
+        words, (high, rare, clash), many = Words(), held.value, pa.list_(pa.int64())
         for b in _small(batches):
             both = [rated(h, width, rare) for h in words.of(b.column(2).to_pylist()) if len(h)]
-            sets, many = [s for s, _ in both], pa.list_(pa.int64())
-            odd = [parity(s) for s in sets]
-            cols = [pa.array([prefix(s, c, high, k, percent).view(np.int64) for s, c in both], many) for k in range(ORDERS)]
-            yield pa.RecordBatch.from_arrays([pa.array([class_of(set_keys(s), clash) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int32()), *[pa.array([p[k] for p in odd], many) for k in (0, 1)], *cols], ["class", "n", "bits", "wide", *[f"p{k}" for k in range(ORDERS)]])
+            odd = [parity(s) for s, _ in both]
+            first = pa.array([prefix(s, c, high, 0, percent).view(np.int64) for s, c in both], many)
+            yield pa.RecordBatch.from_arrays([pa.array([class_of(set_keys(s), clash) for s, _ in both], pa.int64()), pa.array([len(s) for s, _ in both], pa.int32()), *[pa.array([p[k] for p in odd], many) for k in (0, 1)], first], ["class", "n", "bits", "wide", "p0"])
 
-    return docs.mapInArrow(frugal(part), "class long, n int, bits array<long>, wide array<long>, " + ", ".join(f"p{k} array<long>" for k in range(ORDERS)))
+    return docs.mapInArrow(frugal(part), "class long, n int, bits array<long>, wide array<long>, p0 array<long>")
+
+
+def _further(docs: DataFrame, width: int, percent: int, held) -> DataFrame:
+    """class, size, and prefix under each further order."""
+    orders = range(1, ORDERS)
+
+    def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words, (high, _, clash), many = Words(), held.value, pa.list_(pa.int64())
+        for b in _small(batches):
+            sets = [shingles(h, width) for h in words.of(b.column(2).to_pylist()) if len(h)]
+            cols = [pa.array([prefix(s, s, high, k, percent).view(np.int64) for s in sets], many) for k in orders]
+            yield pa.RecordBatch.from_arrays([pa.array([class_of(set_keys(s), clash) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int32()), *cols], ["class", "n", *[f"p{k}" for k in orders]])
+
+    return docs.mapInArrow(frugal(part), "class long, n int, " + ", ".join(f"p{k} array<long>" for k in orders))
 
 
 def _sets(docs: DataFrame, width: int, held, exact: bool) -> DataFrame:
@@ -362,19 +375,22 @@ def _unsigned(column: pa.Array, row: int) -> np.ndarray:
 
 
 class Corpus:
-    """What pairs are tested against: documents that stand for their class, and prefixes by class."""
+    """What pairs are tested against: documents that stand for their class, and each class's size and parity
+    bits (marks). Prefixes under further orders, and sets, are made again from the texts of what is left."""
 
-    def __init__(self, docs: DataFrame, reps: DataFrame, prefixes: DataFrame, width: int, percent: int, once, held):
+    def __init__(self, docs: DataFrame, reps: DataFrame, marks: DataFrame, width: int, percent: int, once, held):
         self.held = held
-        self.many = prefixes.count()  # what a join with them reads counts towards its tasks
-        self.docs, self.reps, self.prefixes, self.width, self.percent, self.once = docs, reps, prefixes, width, percent, once
+        self.many = marks.count()  # what a join with them reads counts towards its tasks
+        self.docs, self.reps, self.marks, self.width, self.percent, self.once = docs, reps, marks, width, percent, once
 
     def filtered(self, pairs: DataFrame) -> DataFrame:
         """pairs that pass the parity filter, share a prefix token under every further order, and differ
         little enough where both prefixes reach: up to the lesser of their last places, all tokens of
         both sets are known."""
         percent, held, orders = self.percent, self.held, range(1, ORDERS)
-        near = _with_both(pairs, self._named(pairs, ["n", "wide"]), ["n", "wide"]).where(_close(percent, WIDE, "x_n", "y_n", "x_wide", "y_wide"))
+        named = cut(self._classes(pairs), "named", 2 * pairs.count())
+        marks = self.marks.select("class", "n", "wide").join(if_small(named, 1_000_000), "class", "left_semi")
+        near = _with_both(pairs, marks, ["n", "wide"]).where(_close(percent, WIDE, "x_n", "y_n", "x_wide", "y_wide"))
         near = cut(near.select("a", "b"), "near", pairs.count() + self.many)
 
         def further(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -393,18 +409,21 @@ class Corpus:
                 yield b.filter(pa.array(keep, pa.bool_())).select([0, 1])
 
         names = ["n", *[f"p{k}" for k in orders]]
-        return _with_both(near, self._named(near, names), names).select("a", "b", *[f"{p}_{c}" for p in "xy" for c in names]).mapInArrow(frugal(further), "a long, b long")
+        some = cut(self.once(_further(self.texts_of(near), self.width, percent, held)), "further")
+        return _with_both(near, some, names).select("a", "b", *[f"{p}_{c}" for p in "xy" for c in names]).mapInArrow(frugal(further), "a long, b long")
+
+    @staticmethod
+    def _classes(pairs: DataFrame) -> DataFrame:
+        return pairs.select(F.col("a").alias("class")).union(pairs.select(F.col("b").alias("class"))).distinct()
 
-    def _named(self, pairs: DataFrame, columns: list[str]) -> DataFrame:
-        """Columns of the classes that pairs name."""
-        named = cut(pairs.select(F.col("a").alias("class")).union(pairs.select(F.col("b").alias("class"))).distinct(), "named", 2 * pairs.count())
-        return self.prefixes.select("class", *columns).join(if_small(named, 1_000_000), "class", "left_semi")
+    def texts_of(self, pairs: DataFrame) -> DataFrame:
+        """A document of each class that pairs, a written table, name."""
+        wanted = cut(self.reps.join(self._classes(pairs), "class", "left_semi"), "wanted", 2 * pairs.count() + self.many)
+        return of_rows(self.docs, wanted)
 
     def sets(self, pairs: DataFrame, exact: bool) -> DataFrame:
         """The sets of the classes that pairs, a written table, name, read again from their texts."""
-        named = pairs.select(F.col("a").alias("class")).union(pairs.select(F.col("b").alias("class"))).distinct()
-        wanted = cut(self.reps.join(named, "class", "left_semi"), "wanted", 2 * pairs.count() + self.many)
-        return cut(self.once(_sets(of_rows(self.docs, wanted), self.width, self.held, exact)), "sets")
+        return cut(self.once(_sets(self.texts_of(pairs), self.width, self.held, exact)), "sets")
 
     def links(self, pairs: DataFrame) -> DataFrame:
         """The pairs whose whole sets reach the threshold."""
@@ -449,7 +468,7 @@ class Corpus:
     def _in_keys(self, at: DataFrame) -> DataFrame:
         """Pairs of a key's members in different components, one of which isn't the key's largest; members
         of keys with very many rows are dealt over several tasks."""
-        at = at.join(self.prefixes.select("class", "bits"), "class")
+        at = at.join(self.marks.select("class", "bits"), "class")
         salts = F.ceil(F.col("all") / 50_000).cast("int")
         big = at.withColumn("salt", F.pmod(F.xxhash64("class"), salts).cast("int"))
         few = at.where("label <> main").select(F.explode(F.sequence(F.lit(0), salts - 1)).alias("_s"), *[F.col(c).alias(f"_{c}") for c in ("token", "class", "n", "pos", "label", "bits", "side")])
@@ -551,10 +570,12 @@ def _classes_and_links(docs: DataFrame, width: int, percent: int, id_col: str, t
     once = (lambda x: x.dropDuplicates(["class"])) if repeated else (lambda x: x)
     prefixes = cut(once(_prefixes(of_rows(d, reps), width, percent, held)), "prefixes")
     met = prefixes.select("class", "n", F.posexplode("p0").alias("pos", "token")).withColumn("pos", F.col("pos") + 1)
-    # tokens that several classes have
-    shared = cut(met.groupBy("token").agg(F.min("class").alias("lo"), F.max("class").alias("hi")).where("lo < hi").select("token"), "shared")
-    met = _once_each(_of_several(cut(_by_size(met.join(shared, "token"), percent), "shared-tokens")))
-    corpus = Corpus(d, reps, prefixes, width, percent, once, held)
+    # tokens that several classes have: a class has each once
+    shared = cut(met.groupBy("token").count().where("count > 1").select("token"), "shared")
+    met = last_only(spark, lambda: _once_each(_of_several(cut(_by_size(met.join(shared, "token"), percent), "shared-tokens"))))
+    marks = cut(prefixes.select("class", "n", "bits", "wide"), "marks")
+    discard(prefixes)
+    corpus = Corpus(d, reps, marks, width, percent, once, held)
     links, labels, tested = None, None, None
     for k in range(ROUNDS):
         pairs = cut(_star_pairs(met, _centres(met, k), labels, percent), "pairs")
@@ -575,7 +596,7 @@ def _by_size(met: DataFrame, percent: int) -> DataFrame:
 
 def _of_several(met: DataFrame) -> DataFrame:
     """The rows of keys that several classes share."""
-    several = met.groupBy("token").agg(F.min("class").alias("lo"), F.max("class").alias("hi")).where("lo < hi").select("token")
+    several = met.groupBy("token").count().where("count > 1").select("token")
     return cut(met.join(several, "token", "left_semi"), "several")
 
 

@@ -70,13 +70,22 @@ def last_only(spark: SparkSession, make: Callable[[], DataFrame]) -> DataFrame:
         _made.reset(token)
     if outer is not None:
         outer += mine[-1:]
-    conf = spark._jsc.hadoopConfiguration()
     for path in mine[:-1]:
-        at = spark._jvm.org.apache.hadoop.fs.Path(path)
-        at.getFileSystem(conf).delete(at, True)
+        _delete(spark, path)
     return out
 
 
+def discard(df: DataFrame) -> None:
+    """Delete the table of a frame that cut() gave, which nothing reads any more."""
+    for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
+        _delete(df.sparkSession, folder)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 #: Rows that go to a Python worker at once, where rows are long.
 BATCH_ROWS = 1000
 _BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
