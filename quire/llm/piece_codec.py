@@ -24,7 +24,9 @@ import hashlib
 import os
 import re
 import struct
+import sys
 import zlib
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from itertools import chain
@@ -147,7 +149,7 @@ def build(m: Model, bare: bool = False) -> Tokenizer:
 
 
 #: Words whose ids are remembered take about so many bytes, and are at most so long.
-CACHED_BYTES, CACHED_CHARS = 8 << 20, 48
+CACHED_BYTES, CACHED_CHARS = 24 << 20, 48
 #: What Python keeps for a word besides its characters and ids.
 ENTRY_BYTES = 200
 #: So many words go to the library at once.
@@ -155,6 +157,14 @@ AT_ONCE = 10_000
 _WORDS = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
 
 
+def _packed(ids: list[int]) -> bytes:
+    """ids as little-endian 32-bit words."""
+    words = array("i", ids)
+    if sys.byteorder == "big":
+        words.byteswap()
+    return words.tobytes()
+
+
 class Codec:
     """Encodes and decodes batches of texts.
 
@@ -167,6 +177,7 @@ class Codec:
         self.user = {p: k for k, (p, _, kind) in enumerate(m.pieces) if kind == USER and p}
         self.user_pattern = re.compile("(" + "|".join(map(re.escape, sorted(self.user, key=len, reverse=True))) + ")") if self.user else None
         self.by_word = not crossed(m) and not self.user
+        self.plain = m.dummy_prefix and m.escape_spaces and not m.charsmap and not m.fewer_spaces
         self.known: dict[str, bytes] = {}
         self.held = 0
         self.own = None
@@ -195,20 +206,15 @@ class Codec:
         if self.user:
             return [self._with_user_pieces(t) for t in texts]
         if not self.by_word:
-            return [np.asarray(e.ids, "<i4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-        m = self.model
-        if m.charsmap or m.fewer_spaces or not m.escape_spaces:
-            steps = normaliser(m)
-            plain = [steps.normalize_str(t) for t in texts]
-        else:
-            plain = [(MARK if m.dummy_prefix and t else "") + t.replace(" ", MARK) for t in texts]
-        cut = [_WORDS.findall(t) for t in plain]
+            return [_packed(e.ids) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        cut = [self._words(t) for t in texts]
         if self.held > CACHED_BYTES:
             self.forget()
         fresh = list(set(chain.from_iterable(cut)).difference(self.known))
         for k in range(0, len(fresh), AT_ONCE):
             some = fresh[k : k + AT_ONCE]
-            self.known.update(zip(some, (np.asarray(e.ids, "<i4").tobytes() for e in self.bare.encode_batch_fast(some, add_special_tokens=False)), strict=True))
+            whole = [w if w.startswith(MARK) else MARK + w for w in some] if self.plain else some
+            self.known.update(zip(some, (_packed(e.ids) for e in self.bare.encode_batch_fast(whole, add_special_tokens=False)), strict=True))
         out = [b"".join(map(self.known.__getitem__, words)) for words in cut]
         for w in fresh:
             if len(w) > CACHED_CHARS:
@@ -217,6 +223,18 @@ class Codec:
                 self.held += ENTRY_BYTES + len(w) + len(self.known[w])
         return out
 
+    def _words(self, text: str) -> list[str]:
+        """A text's words. Of a plain model every word begins with a marker, which is left out here where a
+        word begins with just one; a text with single spaces inside then needs no pattern."""
+        if not self.plain:
+            return _WORDS.findall(normaliser(self.model).normalize_str(text))
+        if not text:
+            return []
+        if MARK not in text and "  " not in text and text[0] != " " and text[-1] != " ":
+            return text.split(" ")
+        words = _WORDS.findall(MARK + text.replace(" ", MARK))
+        return [w[1:] if len(w) > 1 and w[1] != MARK else w for w in words]
+
     def _with_user_pieces(self, text: str) -> bytes:
         """A text's ids where user pieces stand in it as they are; what lies between them is normalised as
         parts of one text."""
@@ -231,11 +249,11 @@ class Codec:
                 if not plain and not k and len(parts) > 1 and self.model.dummy_prefix and self.model.escape_spaces:
                     plain = MARK  # the marker stands before a user piece too
                 ids += self.bare.encode(plain, add_special_tokens=False).ids
-        return np.asarray(ids, "<i4").tobytes()
+        return _packed(ids)
 
     def agrees(self, texts: list[str], raw: list[bytes]) -> list[bool]:
         """Whether the model's own processor gives each whole text these ids."""
-        return [np.asarray(a, "<i4").tobytes() == b for a, b in zip(self.own.encode(texts, num_threads=1), raw, strict=True)]
+        return [_packed(a) == b for a, b in zip(self.own.encode(texts, num_threads=1), raw, strict=True)]
 
     def decode(self, ids: list[list[int]]) -> list[str]:
         """The pieces' bytes one after another, as the tokenizer's decoder has it but several times faster."""
