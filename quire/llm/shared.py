@@ -7,6 +7,7 @@ import contextlib
 import contextvars
 import ctypes
 import functools
+import gc
 import operator
 import uuid
 from collections.abc import Callable, Iterator
@@ -72,6 +73,9 @@ def last_only(spark: SparkSession, make: Callable[[], DataFrame]) -> DataFrame:
         outer += mine[-1:]
     for path in mine[:-1]:
         _delete(spark, path)
+    # Spark drops the shuffle files of plans that the driver has forgotten, when its heap is next collected
+    gc.collect()
+    spark._jvm.java.lang.System.gc()
     return out
 
 
