@@ -553,8 +553,9 @@ def _classes_and_links(docs: DataFrame, width: int, percent: int, id_col: str, t
     text = F.col(text_col)
     d = docs.select(F.col(id_col).alias("id"), text_key(text).alias("tkey"), text.alias("text"))
     both = cut(_rows(d, width), "shingle-rows")
-    rows = both.where("kind = 0").select("id", "tkey", "n", "class", "more")
     of_shingles, of_words = corpus_counts(both)
+    rows = cut(both.where("kind = 0").select("id", "tkey", "n", "class", "more"), "rows")
+    discard(both)  # tasks' counts are most of it
 
     def representatives(rows: DataFrame) -> DataFrame:
         first = rows.where("n > 0").groupBy("class").agg(F.min(F.struct("id", "tkey")).alias("r"), F.min("more").alias("lo"), F.max("more").alias("hi"))
@@ -572,9 +573,12 @@ def _classes_and_links(docs: DataFrame, width: int, percent: int, id_col: str, t
     met = prefixes.select("class", "n", F.posexplode("p0").alias("pos", "token")).withColumn("pos", F.col("pos") + 1)
     # tokens that several classes have: a class has each once
     shared = cut(met.groupBy("token").count().where("count > 1").select("token"), "shared")
-    met = last_only(spark, lambda: _once_each(_of_several(cut(_by_size(met.join(shared, "token"), percent), "shared-tokens"))))
+    held_by = cut(met.join(shared, "token"), "shared-tokens")
     marks = cut(prefixes.select("class", "n", "bits", "wide"), "marks")
-    discard(prefixes)
+    for done in (prefixes, shared):
+        discard(done)
+    met = _met(held_by, percent)
+    discard(held_by)
     corpus = Corpus(d, reps, marks, width, percent, once, held)
     links, labels, tested = None, None, None
     for k in range(ROUNDS):
@@ -587,6 +591,13 @@ def _classes_and_links(docs: DataFrame, width: int, percent: int, id_col: str, t
     return rows.drop("more"), label(links.union(corpus.links(rest)))
 
 
+def _met(shared: DataFrame, percent: int) -> DataFrame:
+    """(token, class, n, pos) of keys that tell which classes may be linked, from the rows of tokens that
+    several have. Tokens of the same members go before keys are dealt by size, which doubles them: the first
+    token that two classes share is the first of all with its members, and stays."""
+    return last_only(shared.sparkSession, lambda: _once_each(_of_several(cut(_by_size(_once_each(shared), percent), "by-size"))))
+
+
 def _by_size(met: DataFrame, percent: int) -> DataFrame:
     """met with keys of a token and a range of sizes: sets whose sizes are within the threshold of each
     other share one of the two ranges that each is dealt to."""
@@ -607,7 +618,7 @@ def _once_each(met: DataFrame) -> DataFrame:
     own = [c for c in met.columns if c not in ("token", "pos")]
     members = met.groupBy("token").agg(F.count("*").alias("many"), F.min("pos").alias("pos"), *[F.bit_xor(F.xxhash64(*own, F.lit(f"member {i}"))).alias(f"m{i}") for i in (1, 2)])
     chosen = cut(members.groupBy("many", "m1", "m2").agg(F.min(F.struct("pos", "token")).alias("k")).select("k.token"), "chosen")
-    return cut(met.join(chosen, "token", "left_semi"), "met")
+    return cut(met.join(if_small(chosen, 1_000_000), "token", "left_semi"), "met")
 
 
 def _centres(met: DataFrame, k: int) -> DataFrame:

@@ -45,18 +45,22 @@ PER_FILE = 20_000
 
 def cut(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
     """Write df as Parquet to the shared folder and read it again: lineage ends here, and a lost
-    executor costs nothing that was written. rows: about how many it has at most, where that is known
-    of a narrow table; it then has no more files than these need. Child processes were
+    executor costs nothing that was written. Its shuffle files go once it is written. rows: about how
+    many it has at most, where that is known of a narrow table; it then has no more files than these need. Child processes were
     seen at many file writes (likely chmod, without Hadoop's native library), so tiny ones are dear."""
     path = scratch_path(df.sparkSession, name)
     if rows is not None:
         df = df.coalesce(max(1, -(-rows // PER_FILE)))
-    df.write.mode("overwrite").parquet(path)
+    with setting(df.sparkSession, _CLEAN, "true"):
+        df.write.mode("overwrite").parquet(path)
     if (made := _made.get()) is not None:
         made.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Whether an execution's shuffle files go at its end. They were seen to outlive two collections of the driver's heap.
+_CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 _made: contextvars.ContextVar[list[str] | None] = contextvars.ContextVar("made", default=None)
 
 
@@ -73,7 +77,7 @@ def last_only(spark: SparkSession, make: Callable[[], DataFrame]) -> DataFrame:
         outer += mine[-1:]
     for path in mine[:-1]:
         _delete(spark, path)
-    # Spark drops the shuffle files of plans that the driver has forgotten, when its heap is next collected
+    # what other steps have shuffled, as of counts, goes when the driver's heap is next collected
     gc.collect()
     spark._jvm.java.lang.System.gc()
     return out
@@ -99,15 +103,25 @@ _BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> Iterator[None]:
     """Actions inside send at most so many rows to a Python worker at once; the session's setting is put
     back after them. A smaller one is left as it is."""
-    own = spark.conf.get(_BATCH)
-    if 0 < int(own) <= rows:
+    if 0 < int(spark.conf.get(_BATCH)) <= rows:
         yield
         return
-    spark.conf.set(_BATCH, str(rows))
+    with setting(spark, _BATCH, str(rows)):
+        yield
+
+
+@contextlib.contextmanager
+def setting(spark: SparkSession, key: str, value: str) -> Iterator[None]:
+    """Actions inside have this setting; the session's own is put back after them."""
+    own = spark.conf.get(key, None)
+    spark.conf.set(key, value)
     try:
         yield
     finally:
-        spark.conf.set(_BATCH, own)
+        if own is None:
+            spark.conf.unset(key)
+        else:
+            spark.conf.set(key, own)
 
 
 def frugal(part: Callable) -> Callable:

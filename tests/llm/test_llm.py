@@ -5,6 +5,7 @@ import itertools
 import random
 import re
 import struct
+import time
 import zlib
 
 import numpy as np
@@ -13,7 +14,7 @@ import sentencepiece
 import zstandard
 from pyspark.sql import functions as F
 
-from quire.llm import chat_repair, components, decontaminate, exact_dedup, jump_shard, license_fuzzy, ngram_join, piece_codec, quality_gbdt, secret_scan, warc_zdict
+from quire.llm import chat_repair, components, decontaminate, exact_dedup, jump_shard, license_fuzzy, ngram_join, piece_codec, quality_gbdt, secret_scan, shared, warc_zdict
 from quire.llm.queries import MODEL
 
 DOCS = "doc_id long, text string, lang string, keep_id long"
@@ -584,3 +585,31 @@ def test_pipeline(spark):
     want = sorted((i, len(ids), zlib.crc32(np.asarray(ids, "<i4").tobytes()), hashlib.sha256(own.decode(ids).encode()).hexdigest(), own.decode(ids) == t, True) for i, t in clean for ids in (own.encode(t),))
     got = corpus_pipeline.run(spark, d)
     assert sorted(map(tuple, got.select("doc_id", "n_tokens", "ids_crc32", "decoded_sha256", "round_trip", "parity").collect())) == want
+
+
+def test_a_written_step_holds_no_shuffle_files(spark):
+    def files():
+        found = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+        return {name for name in found.mkString("\n").split("\n") if "shuffle_" in name}
+
+    key, before = "spark.sql.classic.shuffleDependency.fileCleanup.enabled", files()
+    own = spark.conf.get(key)
+    out = shared.cut(spark.range(5000).groupBy((F.col("id") % 1000).alias("k")).count(), "counted")
+    end = time.time() + 10
+    while files() - before and time.time() < end:
+        time.sleep(0.1)
+    assert not files() - before and out.count() == 1000 and spark.conf.get(key) == own
+
+
+def test_tokens_of_the_same_members_go_before_keys_are_dealt_by_size(spark):
+    rows = [(t, c, 40 + c, t + 1) for t in range(6) for c in (1, 2)] + [(9, c, 40 + c, 8) for c in (2, 3)]
+    dealt = []
+    real = ngram_join._by_size
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(ngram_join, "_by_size", lambda met, percent: dealt.append(met.count()) or real(met, percent))
+        met = ngram_join._met(spark.createDataFrame(rows, "token long, class long, n int, pos int"), 80).collect()
+    assert dealt == [4]  # token 0 for 1 and 2, token 9 for 2 and 3
+    of = {}
+    for r in met:
+        of.setdefault(r.token, set()).add((r["class"], r.pos))
+    assert {(1, 1), (2, 1)} in of.values() and {(2, 8), (3, 8)} in of.values()
