@@ -518,3 +518,12 @@ def test_classes_of_whole_paragraphs(spark, tmp_path):
         got.setdefault(r.document_id, []).append(r.content_class)
     prose = "prose_or_unknown"
     assert sorted(got.values()) == sorted([[prose, "code_block", "table", "code_block", prose], ["table"], [prose, "code_block", prose]])
+
+
+def test_abbreviations_in_a_row_end_no_sentence(spark):
+    s = sections(spark, "Ci la no. No. El ga. Y ya")
+    assert [r.text for r in units.sentences(units.paragraphs(s)).orderBy("source_order").collect()] == ["Ci la no. No. El ga.", "Y ya"]
+
+
+def test_a_title_may_end_in_a_reference_without_a_semicolon():
+    assert parse_html(b"<title>des&amp;&amp</title><p>x</p>", "memory:p", {}).metadata["html_title"] == "des&&"
