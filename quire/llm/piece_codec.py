@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import functools
 import hashlib
+import itertools
 import os
 import re
 import struct
@@ -148,12 +149,12 @@ def build(m: Model, bare: bool = False) -> Tokenizer:
     return t
 
 
-#: Words whose ids are remembered take about so many bytes, and are at most so long.
-CACHED_BYTES, CACHED_CHARS = 24 << 20, 48
+#: Words whose ids are remembered take about so many bytes, in two halves, and are at most so long.
+CACHED_BYTES, CACHED_CHARS = 20 << 20, 48
 #: What Python keeps for a word besides its characters and ids.
 ENTRY_BYTES = 200
-#: So many words go to the library at once.
-AT_ONCE = 10_000
+#: So many words go to the library at once, and so many as one text where they can be told apart again.
+AT_ONCE, TOGETHER = 10_000, 500
 _WORDS = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
 
 
@@ -179,6 +180,7 @@ class Codec:
         self.by_word = not crossed(m) and not self.user
         self.plain = m.dummy_prefix and m.escape_spaces and not m.charsmap and not m.fewer_spaces
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         self.held = 0
         self.own = None
         if checked:
@@ -195,8 +197,19 @@ class Codec:
     def bare(self) -> Tokenizer:
         return build(self.model, bare=True)
 
+    @functools.cached_property
+    def joined(self) -> Tokenizer:
+        """Takes words, each after its marker, in one text."""
+        t = build(self.model, bare=True)
+        t.pre_tokenizer = pre_tokenizers.Split(MARK, "merged_with_next")
+        return t
+
+    @functools.cached_property
+    def opens(self) -> np.ndarray:
+        return np.array([p.startswith(MARK) for p, _, _ in self.model.pieces])
+
     def forget(self) -> None:
-        self.known, self.held = {}, 0
+        self.known, self.older, self.held = {}, {}, 0
 
     def encode(self, texts: list[str]) -> list[list[int]]:
         return [np.frombuffer(raw, "<i4").tolist() for raw in self.encode_raw(texts)]
@@ -208,21 +221,45 @@ class Codec:
         if not self.by_word:
             return [_packed(e.ids) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
         cut = [self._words(t) for t in texts]
-        if self.held > CACHED_BYTES:
-            self.forget()
-        fresh = list(set(chain.from_iterable(cut)).difference(self.known))
+        if self.held > CACHED_BYTES // 2:  # words that come again are kept, rarer ones go
+            self.known, self.older, self.held = {}, self.known, 0
+        missing = set(chain.from_iterable(cut)).difference(self.known)
+        again = missing & self.older.keys()
+        self.known.update((w, self.older[w]) for w in again)
+        fresh = list(missing - again)
         for k in range(0, len(fresh), AT_ONCE):
             some = fresh[k : k + AT_ONCE]
-            whole = [w if w.startswith(MARK) else MARK + w for w in some] if self.plain else some
-            self.known.update(zip(some, (_packed(e.ids) for e in self.bare.encode_batch_fast(whole, add_special_tokens=False)), strict=True))
+            self.known.update(zip(some, self._of_words(some), strict=True))
         out = [b"".join(map(self.known.__getitem__, words)) for words in cut]
-        for w in fresh:
+        for w in missing:
             if len(w) > CACHED_CHARS:
                 del self.known[w]
             else:
                 self.held += ENTRY_BYTES + len(w) + len(self.known[w])
         return out
 
+    def _of_words(self, words: list[str]) -> list[bytes]:
+        """Each word's ids. Words of a plain model go to the library as texts of many, and their ids are cut
+        before pieces that open with a marker, which only a word's first does. Where that doesn't give as
+        many parts as words, as without a piece for the marker, each goes on its own."""
+        if not self.plain:
+            return self._singly(words)
+        bare = [w for w in words if MARK not in w]
+        parts = [bare[k : k + TOGETHER] for k in range(0, len(bare), TOGETHER)]
+        found: dict[str, bytes] = {}
+        for e, part in zip(self.joined.encode_batch_fast([MARK + MARK.join(p) for p in parts], add_special_tokens=False), parts, strict=True):
+            ids = np.array(e.ids, "<i4")
+            at = (4 * np.append(np.flatnonzero(self.opens[ids]), len(ids))).tolist()
+            if len(at) == len(part) + 1 and at[0] == 0:
+                raw = ids.tobytes()
+                found.update(zip(part, (raw[i:j] for i, j in itertools.pairwise(at)), strict=True))
+        rest = [w for w in words if w not in found]
+        found.update(zip(rest, self._singly([w if w.startswith(MARK) else MARK + w for w in rest]), strict=True))
+        return [found[w] for w in words]
+
+    def _singly(self, words: list[str]) -> list[bytes]:
+        return [_packed(e.ids) for e in self.bare.encode_batch_fast(words, add_special_tokens=False)]
+
     def _words(self, text: str) -> list[str]:
         """A text's words. Of a plain model every word begins with a marker, which is left out here where a
         word begins with just one; a text with single spaces inside then needs no pattern."""
@@ -253,6 +290,8 @@ class Codec:
 
     def agrees(self, texts: list[str], raw: list[bytes]) -> list[bool]:
         """Whether the model's own processor gives each whole text these ids."""
+        if hasattr(self.own, "encode_as_numpy"):  # without a list of Python's integers
+            return [self.own.encode_as_numpy(t).astype("<i4", copy=False).tobytes() == b for t, b in zip(texts, raw, strict=True)]
         return [_packed(a) == b for a, b in zip(self.own.encode(texts, num_threads=1), raw, strict=True)]
 
     def decode(self, ids: list[list[int]]) -> list[str]:

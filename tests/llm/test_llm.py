@@ -613,3 +613,14 @@ def test_tokens_of_the_same_members_go_before_keys_are_dealt_by_size(spark):
     for r in met:
         of.setdefault(r.token, set()).add((r["class"], r.pos))
     assert {(1, 1), (2, 1)} in of.values() and {(2, 8), (3, 8)} in of.values()
+
+
+def test_words_that_come_again_outlive_the_memory_of_rarer_ones(monkeypatch):
+    monkeypatch.setattr(piece_codec, "CACHED_BYTES", 40_000)
+    codec, fresh = piece_codec.Codec(open(MODEL, "rb").read(), checked=True), []
+    real = codec._of_words
+    monkeypatch.setattr(codec, "_of_words", lambda words: fresh.extend(words) or real(words))
+    for k in range(20):
+        texts = [f"the same words ▁ ▁▁x {' '.join(f'w{k}x{i}ñ語' for i in range(60))}", "", " two  gaps "]
+        assert all(codec.agrees(texts, codec.encode_raw(texts)))
+    assert fresh.count("same") == 1 and codec.older
