@@ -80,9 +80,23 @@ def last_only(spark: SparkSession, make: Callable[[], DataFrame]) -> DataFrame:
     # what other steps have shuffled, as of counts, goes when the driver's heap is next collected
     gc.collect()
     spark._jvm.java.lang.System.gc()
+    give_back(spark)
     return out
 
 
+def give_back(spark: SparkSession) -> None:
+    """Executors collect their whole heaps and give what is free back to the system. Joins, sorts and
+    aggregates take memory in pages that are large for the collector; to place them it was seen to grow the
+    heap to its limit with a third of it in use, and to keep it so while Python workers need theirs. One
+    short task goes to each executor that is idle; in local mode the driver's own collection does it."""
+    sc = spark.sparkContext
+    if sc.master.startswith("local") and not sc.master.startswith("local-cluster"):
+        return
+    executors = sc._jsc.sc().getExecutorMemoryStatus().size() - 1  # it has the driver too
+    if executors > 0:
+        spark.range(0, executors, 1, executors).select(F.java_method(F.lit("java.lang.System"), F.lit("gc"))).write.format("noop").mode("overwrite").save()
+
+
 def discard(df: DataFrame) -> None:
     """Delete the table of a frame that cut() gave, which nothing reads any more."""
     for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:

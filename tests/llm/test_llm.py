@@ -2,13 +2,18 @@
 
 import hashlib
 import itertools
+import os
 import random
 import re
 import struct
+import subprocess
+import sys
 import time
 import zlib
+from pathlib import Path
 
 import numpy as np
+import pyspark
 import pytest
 import sentencepiece
 import zstandard
@@ -624,3 +629,54 @@ def test_words_that_come_again_outlive_the_memory_of_rarer_ones(monkeypatch):
         texts = [f"the same words ▁ ▁▁x {' '.join(f'w{k}x{i}ñ語' for i in range(60))}", "", " two  gaps "]
         assert all(codec.agrees(texts, codec.encode_raw(texts)))
     assert fresh.count("same") == 1 and codec.older
+
+
+def test_executors_give_back_memory(tmp_path):
+    """In a process of its own, as it needs an executor: memory of its JVM, without and with pages taken, and after a step."""
+    code = '''
+import os, re, pyarrow as pa
+from pyspark.sql import SparkSession, functions as F
+from quire.llm import shared
+
+spark = SparkSession.builder.getOrCreate()
+
+def size(batches):
+    list(batches)
+    jvm = [x for x in (int(p) for p in os.listdir("/proc") if p.isdigit()) if own(x)]
+    yield pa.RecordBatch.from_arrays([pa.array([max(map(mb, jvm))], pa.int64())], ["mb"])
+
+def own(pid):
+    try:
+        return b"CoarseGrainedExecutorBackend" in open(f"/proc/{pid}/cmdline", "rb").read() and os.environ["MARK"].encode() in open(f"/proc/{pid}/environ", "rb").read()
+    except OSError:
+        return False
+
+def mb(pid):
+    return sum(map(int, re.findall(r"\\nPss_Anon:\\s+(\\d+)", open(f"/proc/{pid}/smaps_rollup").read()))) // 1024
+
+taken = lambda: spark.range(1).coalesce(1).mapInArrow(size, "mb long").first()[0]
+taken()
+spark.range(0, 6_000_000, 1, 1).select(F.array(*[F.col("id") + k for k in range(8)]).alias("a"), F.rand(1).alias("r")).sortWithinPartitions("r").write.format("noop").mode("overwrite").save()
+before = taken()
+shared.last_only(spark, lambda: shared.cut(spark.range(10).toDF("id"), "step"))
+time = __import__("time")
+for _ in range(10):
+    after = taken()
+    if after < before - 200:
+        break
+    time.sleep(0.5)
+print("MB", before, after)
+spark.stop()
+'''
+    home = tmp_path / "home"
+    (home / "work").mkdir(parents=True)
+    for p in Path(pyspark.__file__).parent.iterdir():  # executors' logs go to work in Spark's home
+        if p.name != "work":
+            (home / p.name).symlink_to(p)
+    conf = {"spark.executor.memory": "1000m", "spark.ui.enabled": "false", "spark.checkpoint.dir": f"file://{tmp_path}/shared", "spark.executor.extraJavaOptions": "-XX:+UseG1GC", "spark.executorEnv.MARK": str(tmp_path)}
+    args = " ".join(f"--conf {k}={v}" for k, v in conf.items())
+    env = os.environ | {"MARK": str(tmp_path), "SPARK_HOME": str(home), "SPARK_SCALA_VERSION": "2.13", "SPARK_LOCAL_IP": "127.0.0.1", "PYSPARK_PYTHON": sys.executable, "PYTHONPATH": str(Path(shared.__file__).parents[2]), "PYSPARK_SUBMIT_ARGS": f"--master local-cluster[1,1,1000] {args} pyspark-shell"}
+    ran = subprocess.run([sys.executable, "-c", code], env=env, capture_output=True, text=True, timeout=180)
+    assert (found := re.search(r"^MB (\d+) (\d+)$", ran.stdout, re.M)), ran.stderr[-3000:]
+    before, after = map(int, found.groups())
+    assert after < before - 200
