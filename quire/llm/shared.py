@@ -87,7 +87,7 @@ def last_only(spark: SparkSession, make: Callable[[], DataFrame]) -> DataFrame:
 def give_back(spark: SparkSession) -> None:
     """Executors collect their whole heaps and give what is free back to the system. Joins, sorts and
     aggregates take memory in pages that are large for the collector; to place them it was seen to grow the
-    heap to its limit with a third of it in use, and to keep it so while Python workers need theirs. One
+    heap to 1500 of 1800 MB with a third of that in use, and to keep it so while Python workers need theirs. One
     short task goes to each executor that is idle; in local mode the driver's own collection does it."""
     sc = spark.sparkContext
     if sc.master.startswith("local") and not sc.master.startswith("local-cluster"):
