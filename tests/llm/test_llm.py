@@ -631,6 +631,18 @@ def test_words_that_come_again_outlive_the_memory_of_rarer_ones(monkeypatch):
     assert fresh.count("same") == 1 and codec.older
 
 
+def test_words_of_a_large_vocabulary_are_encoded_once(monkeypatch):
+    codec, fresh = piece_codec.Codec(open(MODEL, "rb").read(), checked=True), []
+    real = codec._of_words
+    monkeypatch.setattr(codec, "_of_words", lambda words: fresh.extend(words) or real(words))
+    words = [f"w{k}é" for k in range(120_000)]
+    for _ in range(2):
+        for k in range(0, len(words), 5_000):
+            texts = [" ".join(words[k : k + 5_000])]
+            assert codec.agrees(texts, codec.encode_raw(texts)) == [True]
+    assert len(fresh) == len(words) and not codec.older
+
+
 def test_executors_give_back_memory(tmp_path):
     """In a process of its own, as it needs an executor: memory of its JVM, without and with pages taken, and after a step."""
     code = '''
