@@ -34,6 +34,7 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Regex, Tokenizer, decoders, models, normalizers, pre_tokenizers
@@ -151,7 +152,7 @@ def build(m: Model, bare: bool = False) -> Tokenizer:
 
 #: Words whose ids are remembered take about so many bytes, in two halves, and are at most so long. With 20 MB,
 #: 44 % of the words that were encoded in 8,000 long texts had been encoded before.
-CACHED_BYTES, CACHED_CHARS = 128 << 20, 48
+CACHED_BYTES, CACHED_CHARS = 256 << 20, 48
 #: What Python keeps for a word besides its characters and ids.
 ENTRY_BYTES = 200
 #: So many words go to the library at once, and so many as one text where they can be told apart again.
@@ -319,18 +320,25 @@ def parity(data: bytes, texts: list[str]) -> list[bool]:
 
 
 _held: dict[tuple[bytes, bool], Codec] = {}
+_stage: int | None = None
 
 
 def codec_of(data: bytes, checked: bool) -> Codec:
     """The codec of a model, built once in each worker: workers are reused, and some 11 MB of every
-    further one that is built were seen not to come back. It starts without remembered words. The library
+    further one that is built were seen not to come back. It starts without remembered words, but for those of
+    the same stage's earlier tasks where these were kept. The library
     encodes in the worker's own thread: handing over to others only costs time where each core has a worker."""
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
     key = (hashlib.sha256(data).digest(), checked)
     if key not in _held:
         _held.clear()
         _held[key] = Codec(data, checked)
-    _held[key].forget()
+    global _stage
+    context = TaskContext.get()
+    stage = context.stageId() if context else None
+    if stage is None or stage != _stage:
+        _held[key].forget()
+    _stage = stage
     return _held[key]
 
 
@@ -380,9 +388,10 @@ def encode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: s
     return docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("text")).mapInArrow(frugal(part), f"_id {own}, ids array<int>, decoded string").withColumnRenamed("_id", id_col)
 
 
-def digest(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def digest(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text", keep_words: bool = False) -> DataFrame:
     """For every row the number of its ids, their digests (as little-endian 32-bit words), the digest
-    of the decoded text, whether that is the text, and whether the model's processor agrees."""
+    of the decoded text, whether that is the text, and whether the model's processor agrees. keep_words: workers
+    remember words between tasks of a stage, and after it until they end or the next stage that encodes."""
     data = docs.sparkSession.sparkContext.broadcast(open(model_path, "rb").read())
     own = docs.schema[id_col].dataType.simpleString()
 
@@ -396,6 +405,7 @@ def digest(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: s
                 back = codec.decode([np.frombuffer(raw, "<i4").tolist()])[0]
                 rows.append((len(raw) // 4, zlib.crc32(raw), hashlib.sha256(raw).hexdigest(), hashlib.sha256(back.encode()).hexdigest(), back == t, same))
             yield pa.RecordBatch.from_arrays([at, *[pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)]], names)
-        codec.forget()
+        if not keep_words:
+            codec.forget()
 
     return docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("text")).mapInArrow(frugal(part), f"_id {own}, {OUT}").withColumnRenamed("_id", id_col)

@@ -35,7 +35,7 @@ def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return piece_codec.digest(table(spark, sf_dir, "documents"), MODEL)
+    return piece_codec.digest(table(spark, sf_dir, "documents"), MODEL, keep_words=True)
 
 
 def op7_warc_zdict(spark: SparkSession, sf_dir: str) -> DataFrame:

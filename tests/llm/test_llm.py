@@ -643,6 +643,20 @@ def test_words_of_a_large_vocabulary_are_encoded_once(monkeypatch):
     assert len(fresh) == len(words) and not codec.older
 
 
+def test_words_are_kept_between_tasks_of_one_stage_only(monkeypatch):
+    class Task:
+        def __init__(self, stage):
+            self.stageId = lambda: stage
+
+    data, kept = open(MODEL, "rb").read(), []
+    for stage in (1, 1, 2, None, None):
+        monkeypatch.setattr(piece_codec.TaskContext, "get", lambda at=stage: at and Task(at))
+        codec = piece_codec.codec_of(data, False)
+        kept.append(len(codec.known))
+        codec.encode(["two words"])
+    assert kept == [0, 2, 0, 0, 0]
+
+
 def test_executors_give_back_memory(tmp_path):
     """In a process of its own, as it needs an executor: memory of its JVM, without and with pages taken, and after a step."""
     code = '''
