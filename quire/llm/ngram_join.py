@@ -52,8 +52,11 @@ from .shared import cut, discard, frugal, if_small, last_only, one_of_each, salt
 SKETCH_BITS, SKETCH_BLOCKS = 20, 16
 #: Global token orders, and centres for each token and round.
 ORDERS, CENTRES, ROUNDS = 3, 4, 2
-#: Bits of the parity filter: in the last join, and for single pairs. Powers of two.
+#: Bits of the parity filter: in the last join, and for single pairs (sets of more tokens have more). Powers of two.
 BITS, WIDE = 512, 2048
+#: Tokens that prefixes share are found, and pairs verified, in parts one after another, each of a PART_OF-th of the
+#: corpus's tokens or of PART_LEAST tokens, so that what is shuffled at once is a fraction of the input.
+PART_OF, PART_LEAST = 4, 8_000_000
 #: Members of a key are compared pair by pair while that makes at most DENSE pairs for each row. Where it
 #: makes more, members of keys with more than LIGHT members outside their largest component are dealt
 #: again by what tells them from a centre, LEVELS times at most and as long as that halves the pairs.
@@ -216,9 +219,11 @@ def prefix(s: np.ndarray, common: np.ndarray, levels: np.ndarray, order: int, pe
 
 
 def parity(s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """BITS and WIDE bits, each the parity of how many tokens hash to it: two sets differ in at least
-    as many tokens as these differ in bits. The few are the many, folded."""
-    odd = (np.bincount((mix(s) & _U(WIDE - 1)).astype(np.int64), minlength=WIDE) & 1).astype(np.uint8)
+    """BITS bits and WIDE or more, at least one for each token, as of fewer, half are set in any large set. Each is
+    the parity of how many tokens hash to it: two sets differ in at least as many tokens as these differ in
+    bits. The few are the many, folded."""
+    wide = max(WIDE, 1 << (len(s) - 1).bit_length())
+    odd = (np.bincount((mix(s) & _U(wide - 1)).astype(np.int64), minlength=wide) & 1).astype(np.uint8)
     few = odd.reshape(-1, BITS).sum(axis=0, dtype=np.uint8) & 1
     return np.packbits(few).view(np.int64), np.packbits(odd).view(np.int64)
 
@@ -380,18 +385,22 @@ class Corpus:
 
     def __init__(self, docs: DataFrame, reps: DataFrame, marks: DataFrame, width: int, percent: int, once, held):
         self.held = held
-        self.many = marks.count()  # what a join with them reads counts towards its tasks
+        self.many, tokens = marks.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()  # what a join with them reads counts towards its tasks
+        self.part = max(PART_LEAST, tokens // PART_OF)
         self.docs, self.reps, self.marks, self.width, self.percent, self.once = docs, reps, marks, width, percent, once
 
-    def filtered(self, pairs: DataFrame) -> DataFrame:
-        """pairs that pass the parity filter, share a prefix token under every further order, and differ
+    def near(self, pairs: DataFrame) -> DataFrame:
+        """pairs that pass the parity filter, and how many tokens both have together (size)."""
+        named = cut(self._classes(pairs), "named", 2 * pairs.count())
+        marks = self.marks.select("class", "n", "wide").join(if_small(named, 1_000_000), "class", "left_semi")
+        near = _with_both(pairs, marks, ["n", "wide"]).where(_close_wide(self.percent, "x_n", "y_n", "x_wide", "y_wide"))
+        return cut(near.select("a", "b", (F.col("x_n") + F.col("y_n")).cast("long").alias("size")), "near", pairs.count() + self.many)
+
+    def filtered(self, near: DataFrame) -> DataFrame:
+        """Of near pairs, a written table, those that share a prefix token under every further order, and differ
         little enough where both prefixes reach: up to the lesser of their last places, all tokens of
         both sets are known."""
         percent, held, orders = self.percent, self.held, range(1, ORDERS)
-        named = cut(self._classes(pairs), "named", 2 * pairs.count())
-        marks = self.marks.select("class", "n", "wide").join(if_small(named, 1_000_000), "class", "left_semi")
-        near = _with_both(pairs, marks, ["n", "wide"]).where(_close(percent, WIDE, "x_n", "y_n", "x_wide", "y_wide"))
-        near = cut(near.select("a", "b"), "near", pairs.count() + self.many)
 
         def further(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             levels = held.value[0]
@@ -430,7 +439,18 @@ class Corpus:
         return last_only(pairs.sparkSession, lambda: self._links(pairs))
 
     def _links(self, pairs: DataFrame) -> DataFrame:
-        passed = cut(self.filtered(pairs), "passed", pairs.count() + self.many)  # both are counts of written tables
+        """Joins with prefixes and sets repeat those of a class for each of its pairs: pairs go in parts of so many
+        tokens."""
+        near = self.near(pairs)
+        parts = -(-near.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0] // self.part)
+        if parts <= 1:
+            return self._verified(near.select("a", "b"))
+        at = lambda i: near.where(F.pmod(F.xxhash64("a", "b"), F.lit(parts)) == i).select("a", "b")
+        found = [last_only(pairs.sparkSession, functools.partial(self._verified, at(i))) for i in range(parts)]
+        return cut(functools.reduce(DataFrame.union, found), "links", near.count())
+
+    def _verified(self, near: DataFrame) -> DataFrame:
+        passed = cut(self.filtered(near), "passed", near.count() + self.many)  # both are counts of written tables
         sets, percent = self.sets(passed, exact=True), self.percent
 
         def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -570,13 +590,9 @@ def _classes_and_links(docs: DataFrame, width: int, percent: int, id_col: str, t
     repeated = rows.groupBy("id", "tkey").count().where("count > 1").limit(1).count() > 0  # rows equal in id and text
     once = (lambda x: x.dropDuplicates(["class"])) if repeated else (lambda x: x)
     prefixes = cut(once(_prefixes(of_rows(d, reps), width, percent, held)), "prefixes")
-    met = prefixes.select("class", "n", F.posexplode("p0").alias("pos", "token")).withColumn("pos", F.col("pos") + 1)
-    # tokens that several classes have: a class has each once
-    shared = cut(met.groupBy("token").count().where("count > 1").select("token"), "shared")
-    held_by = cut(met.join(shared, "token"), "shared-tokens")
+    held_by = _shared_tokens(prefixes)
     marks = cut(prefixes.select("class", "n", "bits", "wide"), "marks")
-    for done in (prefixes, shared):
-        discard(done)
+    discard(prefixes)
     met = _met(held_by, percent)
     discard(held_by)
     corpus = Corpus(d, reps, marks, width, percent, once, held)
@@ -591,6 +607,20 @@ def _classes_and_links(docs: DataFrame, width: int, percent: int, id_col: str, t
     return rows.drop("more"), label(links.union(corpus.links(rest)))
 
 
+def _shared_tokens(prefixes: DataFrame) -> DataFrame:
+    """(token, class, n, pos) of prefixes' tokens that several classes have: a class has each once. Tokens are dealt
+    to a few parts by a hash; only one part's rows are in shuffle files at a time."""
+    met = prefixes.select("class", "n", F.posexplode("p0").alias("pos", "token")).withColumn("pos", F.col("pos") + 1)
+    rows = prefixes.agg(F.coalesce(F.sum(F.size("p0")), F.lit(0))).first()[0]
+    parts, found = max(1, min(PART_OF, -(-rows // PART_LEAST))), []
+    for i in range(parts):
+        some = met.where(F.pmod(F.xxhash64("token"), F.lit(parts)) == i) if parts > 1 else met
+        shared = cut(some.groupBy("token").count().where("count > 1").select("token"), "shared")
+        found.append(cut(some.join(shared, "token"), "shared-tokens"))
+        discard(shared)
+    return functools.reduce(DataFrame.union, found)
+
+
 def _met(shared: DataFrame, percent: int) -> DataFrame:
     """(token, class, n, pos) of keys that tell which classes may be linked, from the rows of tokens that
     several have. Tokens of the same members go before keys are dealt by size, which doubles them: the first
@@ -667,6 +697,15 @@ def _close(percent: int, bits: int, n: str, m: str, x: str, y: str):
     return functools.reduce(operator.add, apart) <= F.col(n) + F.col(m) - 2 * _shared(percent, n, m)
 
 
+def _close_wide(percent: int, n: str, m: str, x: str, y: str):
+    """_close() for WIDE bits or more: where one has more than the other, they are folded to as many."""
+    few, none = F.least(F.size(x), F.size(y)), F.lit(0).cast("long")
+    folded = lambda bits, i: F.aggregate(F.sequence(i, F.size(bits) - 1, few), none, lambda a, j: a.bitwiseXOR(F.get(bits, j)))
+    apart = F.aggregate(F.sequence(F.lit(0), few - 1), F.lit(0), lambda a, i: a + F.bit_count(folded(F.col(x), i).bitwiseXOR(folded(F.col(y), i))))
+    as_usual = F.greatest(F.size(x), F.size(y)) == WIDE // 64
+    return F.when(as_usual, _close(percent, WIDE, n, m, x, y)).otherwise(apart <= F.col(n) + F.col(m) - 2 * _shared(percent, n, m))
+
+
 def _mixed(met: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of keys whose members are in several components, with their labels, the label that most
     of a key's rows have (main), and how many rows the key has (all) and have other labels (others).

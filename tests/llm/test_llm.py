@@ -620,6 +620,52 @@ def test_tokens_of_the_same_members_go_before_keys_are_dealt_by_size(spark):
     assert {(1, 1), (2, 1)} in of.values() and {(2, 8), (3, 8)} in of.values()
 
 
+def tables_of(monkeypatch):
+    """The rows of each table that the n-gram join writes, by name."""
+    made, real = {}, shared.cut
+
+    def cut(df, name, rows=None):
+        out = real(df, name, rows)
+        made.setdefault(name, []).append(out.count())
+        return out
+
+    monkeypatch.setattr(ngram_join, "cut", cut)
+    return made
+
+
+def test_long_texts_that_share_a_passage_are_not_taken_for_near_ones(spark, monkeypatch):
+    """Sets of several thousand tokens fill 2048 bits, which then tell nothing: pairs of long texts grew with their square."""
+    draw = random.Random(1)
+    # each passage is in two texts, and its words are rarer than the others
+    texts = [" ".join([f"t{k}w{draw.randrange(400)}" for _ in range(5800)] + [f"p{k // 2}w{i}" for i in range(300)]) for k in range(4)]
+    # 8190 and 8210 words: one set has twice as many bits as the other
+    near = [f"n{i}" for i in range(8194)]
+    texts += [" ".join(near), " ".join(near + [f"more{i}" for i in range(16)]), " ".join(near[:4000])]
+    made = tables_of(monkeypatch)
+    got = sorted(tuple(r) for r in ngram_join.report(frame(spark, texts), 5, 80).collect())
+    assert [c for *_, c in got] == [0, 1, 2, 3, 4, 4, 6]
+    assert sum(made["pairs"]) > 2 and sum(made["near"]) == 1
+
+
+def test_pairs_and_tokens_in_parts_lose_no_link(spark, monkeypatch):
+    draw = random.Random(5)
+    vocab = [f"w{i}" for i in range(400)]
+    texts = []
+    for _ in range(12):
+        base = [draw.choice(vocab) for _ in range(80)]
+        for _ in range(6):
+            c = list(base)
+            for _ in range(draw.randint(0, 2)):
+                c[draw.randrange(80)] = draw.choice(vocab)
+            texts.append(" ".join(c))
+    made = tables_of(monkeypatch)
+    monkeypatch.setattr(ngram_join, "PART_LEAST", 1000)
+    got = sorted(tuple(r) for r in ngram_join.report(frame(spark, texts), 5, 80).collect())
+    assert got == brute_components(texts, 5, 80)
+    # each of the first two has all prefixes or pairs at once else
+    assert 1 < len(made["shared"]) <= 4 and len(made["sets"]) > len(made["near"])
+
+
 def test_words_that_come_again_outlive_the_memory_of_rarer_ones(monkeypatch):
     monkeypatch.setattr(piece_codec, "CACHED_BYTES", 40_000)
     codec, fresh = piece_codec.Codec(open(MODEL, "rb").read(), checked=True), []
