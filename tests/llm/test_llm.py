@@ -659,7 +659,7 @@ def test_pairs_and_tokens_in_parts_lose_no_link(spark, monkeypatch):
                 c[draw.randrange(80)] = draw.choice(vocab)
             texts.append(" ".join(c))
     made = tables_of(monkeypatch)
-    monkeypatch.setattr(ngram_join, "PART_LEAST", 1000)
+    monkeypatch.setattr(ngram_join, "PART_LEAST", 300)
     got = sorted(tuple(r) for r in ngram_join.report(frame(spark, texts), 5, 80).collect())
     assert got == brute_components(texts, 5, 80)
     # each of the first two has all prefixes or pairs at once else
